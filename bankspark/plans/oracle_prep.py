@@ -97,3 +97,28 @@ def oracle(body: str, doubles=()) -> str:
     else:
         final = f"SELECT * FROM (\n{body}\n) q"
     return oracle_prefix() + ",\n" + PREP_CTES + "\n" + final
+
+
+def hist_sql(src: str, expr: str, bins: int, by: str | None = None, density: bool = False) -> str:
+    """Oracle text of :func:`bankspark.operators.stats.hist` (np.histogram per group)."""
+    g = by if by else "0"
+    out_g = f"grid.g AS {by}, " if by else ""
+    where_g = f" AND {by} IS NOT NULL" if by else ""
+    dens = ", CAST(COALESCE(c.cnt, 0) AS DOUBLE) / (n * ((hi - lo) / {b})) AS density".format(b=float(bins)) if density else ""
+    return f"""
+  SELECT {out_g}bin, lo + bin * ((hi - lo) / {float(bins)}) AS lower,
+         CASE WHEN bin = {bins - 1} THEN hi ELSE lo + (bin + 1) * ((hi - lo) / {float(bins)}) END AS upper,
+         CAST(COALESCE(c.cnt, 0) AS BIGINT) AS "count"{dens}
+  FROM (SELECT r.*, CAST(t.b AS INTEGER) AS bin FROM
+          (SELECT g, CASE WHEN min(v) = max(v) THEN min(v) - 0.5 ELSE min(v) END AS lo,
+                  CASE WHEN min(v) = max(v) THEN max(v) + 0.5 ELSE max(v) END AS hi, count(*) AS n
+           FROM (SELECT {g} AS g, CAST({expr} AS DOUBLE) AS v FROM {src} WHERE {expr} IS NOT NULL AND NOT isnan(CAST({expr} AS DOUBLE)){where_g}) d0
+           GROUP BY g) r, range(0, {bins}) t(b)) grid
+  LEFT JOIN (SELECT d.g, CAST(least(floor((d.v - r2.lo) * {float(bins)} / (r2.hi - r2.lo)), {bins - 1}) AS INTEGER) AS bin2,
+                    count(*) AS cnt
+             FROM (SELECT {g} AS g, CAST({expr} AS DOUBLE) AS v FROM {src} WHERE {expr} IS NOT NULL AND NOT isnan(CAST({expr} AS DOUBLE)){where_g}) d
+             JOIN (SELECT g, CASE WHEN min(v) = max(v) THEN min(v) - 0.5 ELSE min(v) END AS lo,
+                          CASE WHEN min(v) = max(v) THEN max(v) + 0.5 ELSE max(v) END AS hi
+                   FROM (SELECT {g} AS g, CAST({expr} AS DOUBLE) AS v FROM {src} WHERE {expr} IS NOT NULL AND NOT isnan(CAST({expr} AS DOUBLE)){where_g}) d1
+                   GROUP BY g) r2 ON d.g = r2.g
+             GROUP BY 1, 2) c ON grid.g = c.g AND grid.bin = c.bin2"""
