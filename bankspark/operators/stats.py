@@ -259,3 +259,58 @@ def linear_trend(df: DataFrame, x: str, y: str, points: int = 100) -> DataFrame:
             .withColumn("x", F.col("x_min") + F.col("i") * step)
             .withColumn("y_hat", F.col("slope") * F.col("x") + F.col("intercept"))
             .select("i", "slope", "intercept", "x", "y_hat"))
+
+
+# ---------------------------------------------------------------- running totals
+
+def running_totals(df: DataFrame, order_col: str, cols, by=(), ascending: bool = True, tie=(),
+                   buckets: int = 64, prefix: str = "cum_") -> DataFrame:
+    """Cumulative sums of ``cols`` in ``order_col`` order within each ``by`` group, without a one-task window.
+
+    Rows are cut into ``buckets`` ranges of the order column at exact rank boundaries
+    (:func:`select_ranks`); each range is summed, the bucket offsets (at most groups ×
+    buckets numbers) are broadcast, and a window partitioned by (group, range) adds the
+    running sum inside the range. Rows with equal order values share a range, so ties are
+    never split; ``tie`` columns order rows inside a tie. The order column must be non-NULL.
+    ``cols`` may name a column or be ``"1"`` for a running row count (``cum_1``).
+    """
+    by = list(by)
+    cols = list(cols)
+    spark = df.sparkSession
+    counts = {tuple(r[b] for b in by): r["n"] for r in
+              (df.groupBy(*by) if by else df.groupBy()).agg(F.count(F.lit(1)).alias("n")).collect() if r["n"]}
+    vals = [(F.lit(1) if c == "1" else F.col(c)).alias(f"_c{i}") for i, c in enumerate(cols)]
+    data = df.select("*", *vals)
+    wanted = {g: sorted({(n * i) // buckets for i in range(1, buckets)} - {0}) for g, n in counts.items()}
+    picked = select_ranks(df, order_col, {g: r for g, r in wanted.items() if r}, by) if counts else {}
+    v = F.col(order_col).cast("double")
+    bucket = None
+    for g in counts:
+        bounds = sorted(set((picked.get(g) or {}).values()))
+        arr = F.array(*[F.lit(float(b)) for b in bounds]) if bounds else F.array().cast("array<double>")
+        bexpr = F.size(F.filter(arr, (lambda x: x < v) if ascending else (lambda x: x > v)))
+        cond = _groups_filter(by, g)
+        bucket = F.when(cond, bexpr) if bucket is None else bucket.when(cond, bexpr)
+    data = data.withColumn("_bucket", bucket if bucket is not None else F.lit(0))
+    sums = (data.groupBy(*by, "_bucket").agg(*[F.sum(f"_c{i}").alias(f"_s{i}") for i in range(len(cols))])
+            .collect())
+    per_group: dict = {}
+    for r in sums:
+        per_group.setdefault(tuple(r[b] for b in by), []).append(r)
+    rows = []
+    for g, rs in per_group.items():
+        acc = [0] * len(cols)
+        for r in sorted(rs, key=lambda r: r["_bucket"]):
+            rows.append((*g, r["_bucket"], *acc))
+            acc = [a + (r[f"_s{i}"] or 0) for i, a in enumerate(acc)]
+    types = dict(data.dtypes)
+    schema = ", ".join([f"`{b}` {types[b]}" for b in by] + ["_bucket int"] +
+                       [f"_o{i} {'bigint' if types[f'_c{i}'] in ('int', 'bigint', 'smallint') else 'double'}"
+                        for i in range(len(cols))])
+    offsets = F.broadcast(spark.createDataFrame(rows, schema))  # groups x buckets rows at most
+    order = [F.asc(order_col) if ascending else F.desc(order_col)] + [F.asc(t) for t in ([tie] if isinstance(tie, str) else tie)]
+    w = Window.partitionBy(*by, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = data.join(offsets, by + ["_bucket"], "left")
+    for i, c in enumerate(cols):
+        out = out.withColumn(prefix + c, F.col(f"_o{i}") + F.sum(f"_c{i}").over(w))
+    return out.drop("_bucket", *[f"_c{i}" for i in range(len(cols))], *[f"_o{i}" for i in range(len(cols))])

@@ -1 +1,238 @@
-"""Registered queries."""
+"""Registered predictive queries (survey section 2.6).
+
+Data sets, splits, scaler statistics and metrics (on a fixed score column derived from
+the loan id) have DuckDB oracles. Model fits, model metrics and scoring have none: an
+iterative fit is not one SQL statement, so the driver checks their rows only.
+"""
+
+import os
+
+from pyspark.sql import functions as F
+
+from ..functions import codes
+from ..operators import predict as C
+from ..plans.session import ensure_checkpoint_dir
+from .q_prep import ML_BASE_SQL, ml_base_df
+from .registry import prepared, query
+
+FIXED_SCORE = "CAST(loan_id * 37 % 101 AS DOUBLE) / 101.0"
+
+
+def c1(spark, d):
+    return C.c1_dataset(ml_base_df(spark, d))
+
+
+def c1_split(spark, d):
+    return C.split(c1(spark, d), "loan_id", label="label")
+
+
+def c2(spark, d):
+    return C.c2_dataset(prepared(spark, d))
+
+
+def c2_split(spark, d):
+    return C.split(c2(spark, d).withColumn("row_id", F.col("account_id") * 1000 + F.col("month_num")), "row_id")
+
+
+def fixed_scored(spark, d):
+    return (c1(spark, d).withColumn("score", F.expr(FIXED_SCORE))
+            .withColumn("pred", F.when(F.col("score") > 0.5, 1).otherwise(0)))
+
+
+_C1 = f"""WITH {ML_BASE_SQL}, c1 AS (
+  SELECT loan_id, {", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in C.FEAT_C1)}, is_default AS label
+  FROM ml_base WHERE status IN ('A', 'D') AND amount IS NOT NULL AND duration IS NOT NULL
+    AND payments IS NOT NULL AND is_default IS NOT NULL)"""
+_KEY = f"(((CAST({{id}} AS BIGINT) % {C.SPLIT_PRIME}) * {C.SPLIT_MULT} + {codes.SEED}) % {C.SPLIT_PRIME})"
+_C1_SPLIT = f""", c1s AS (
+  SELECT c1.*, CASE WHEN row_number() OVER (PARTITION BY label ORDER BY {_KEY.format(id='loan_id')}, loan_id)
+                         <= ceil(0.2 * count(*) OVER (PARTITION BY label)) THEN 1 ELSE 0 END AS is_test FROM c1)"""
+_C1_DOUBLES = [c for c in C.FEAT_C1]
+
+
+@query("c1_dataset", _C1 + " SELECT * FROM c1", _C1_DOUBLES)
+def c1_dataset(spark, d):
+    return c1(spark, d)
+
+
+@query("c1_class_balance", _C1 + ' SELECT count(*) AS "rows", avg(label) * 100.0 AS default_pct FROM c1',
+       ["default_pct"])
+def c1_class_balance(spark, d):
+    return C.class_balance(c1(spark, d))
+
+
+@query("c1_split", _C1 + _C1_SPLIT + " SELECT loan_id, label, is_test FROM c1s")
+def c1_split_q(spark, d):
+    """Stratified 80/20 split: exactly ceil(0.2 n) test rows per label."""
+    return c1_split(spark, d).select("loan_id", "label", "is_test")
+
+
+def _scaler_sql(src, feats):
+    parts = [f"SELECT '{c}' AS feature, round(avg(CAST({c} AS DOUBLE)), 4) AS mean, "
+             f"round(CASE WHEN stddev_pop({c}) = 0 OR stddev_pop({c}) IS NULL THEN 1.0 ELSE stddev_pop({c}) END, 4) "
+             f"AS std FROM {src} WHERE is_test = 0" for c in feats]
+    return " UNION ALL ".join(parts)
+
+
+@query("c1_scaler", _C1 + _C1_SPLIT + " " + _scaler_sql("c1s", C.FEAT_C1), ["mean", "std"])
+def c1_scaler(spark, d):
+    """Standardisation statistics of the training part (population std; 0 -> 1), rounded to 4 places."""
+    s = C.scaler_stats(c1_split(spark, d).where("is_test = 0"), C.FEAT_C1)
+    return s.select("feature", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"))
+
+
+_FIX = f""", fs AS (SELECT c1.*, {FIXED_SCORE} AS score,
+                     CASE WHEN {FIXED_SCORE} > 0.5 THEN 1 ELSE 0 END AS pred FROM c1)"""
+
+
+@query("metric_accuracy", _C1 + _FIX + " SELECT avg(CASE WHEN label = pred THEN 1.0 ELSE 0.0 END) AS accuracy FROM fs",
+       ["accuracy"])
+def metric_accuracy(spark, d):
+    return C.accuracy(fixed_scored(spark, d))
+
+
+@query("metric_confusion", _C1 + _FIX + """
+  SELECT l.label, p.pred, count(fs.label) AS "count"
+  FROM (SELECT 0 AS label UNION ALL SELECT 1) l CROSS JOIN (SELECT 0 AS pred UNION ALL SELECT 1) p
+  LEFT JOIN fs ON fs.label = l.label AND fs.pred = p.pred GROUP BY l.label, p.pred""")
+def metric_confusion(spark, d):
+    return C.confusion(fixed_scored(spark, d))
+
+
+@query("metric_class_report", _C1 + _FIX + """, cm AS (
+  SELECT count(CASE WHEN label = 0 AND pred = 0 THEN 1 END) AS c00, count(CASE WHEN label = 0 AND pred = 1 THEN 1 END) AS c01,
+         count(CASE WHEN label = 1 AND pred = 0 THEN 1 END) AS c10, count(CASE WHEN label = 1 AND pred = 1 THEN 1 END) AS c11
+  FROM fs), pr AS (
+  SELECT *, CASE WHEN c00 + c10 = 0 THEN 0.0 ELSE c00 / (c00 + c10) END AS p0,
+            CASE WHEN c00 + c01 = 0 THEN 0.0 ELSE c00 / (c00 + c01) END AS r0,
+            CASE WHEN c11 + c01 = 0 THEN 0.0 ELSE c11 / (c11 + c01) END AS p1,
+            CASE WHEN c11 + c10 = 0 THEN 0.0 ELSE c11 / (c11 + c10) END AS r1,
+            c00 + c01 AS s0, c10 + c11 AS s1, c00 + c01 + c10 + c11 AS n FROM cm), f AS (
+  SELECT *, CASE WHEN p0 + r0 = 0 THEN 0.0 ELSE 2 * p0 * r0 / (p0 + r0) END AS f0,
+            CASE WHEN p1 + r1 = 0 THEN 0.0 ELSE 2 * p1 * r1 / (p1 + r1) END AS f1,
+            (c00 + c11) / n AS acc FROM pr)
+  SELECT '0' AS class, p0 AS precision, r0 AS recall, f0 AS f1, s0 AS support FROM f
+  UNION ALL SELECT '1', p1, r1, f1, s1 FROM f
+  UNION ALL SELECT 'accuracy', acc, acc, acc, n FROM f
+  UNION ALL SELECT 'macro avg', (p0 + p1) / 2, (r0 + r1) / 2, (f0 + f1) / 2, n FROM f
+  UNION ALL SELECT 'weighted avg', (p0 * s0 + p1 * s1) / n, (r0 * s0 + r1 * s1) / n, (f0 * s0 + f1 * s1) / n, n FROM f""",
+       ["precision", "recall", "f1"])
+def metric_class_report(spark, d):
+    return C.class_report(fixed_scored(spark, d))
+
+
+_ROC = """, g AS (
+  SELECT score, CAST(sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS BIGINT) AS pos,
+         CAST(sum(CASE WHEN label <> 1 THEN 1 ELSE 0 END) AS BIGINT) AS neg FROM fs GROUP BY score), roc AS (
+  SELECT score, CAST(sum(pos) OVER (ORDER BY score DESC) AS BIGINT) AS tp,
+         CAST(sum(neg) OVER (ORDER BY score DESC) AS BIGINT) AS fp,
+         CAST(sum(pos) OVER () AS BIGINT) AS P, CAST(sum(neg) OVER () AS BIGINT) AS N, pos, neg FROM g)"""
+
+
+@query("metric_roc_points", _C1 + _FIX + _ROC + """
+  SELECT score, tp, fp, tp / P AS tpr, fp / N AS fpr, pos, neg, P, N FROM roc""", ["score", "tpr", "fpr"])
+def metric_roc_points(spark, d):
+    return C.roc_points(fixed_scored(spark, d))
+
+
+@query("metric_auc", _C1 + _FIX + _ROC + """
+  SELECT sum(neg * (2 * tp - pos)) / (2.0 * first(P) * first(N)) AS auc FROM roc""", ["auc"])
+def metric_auc(spark, d):
+    return C.auc(fixed_scored(spark, d))
+
+
+_C2 = """WITH c2m AS (
+  SELECT account_id, year, month,
+         CAST(sum(CAST(amount AS DECIMAL(18,2))) AS DOUBLE) / count(amount) AS avg_monthly_amt
+  FROM trans_p WHERE account_id IS NOT NULL AND year IS NOT NULL AND month IS NOT NULL GROUP BY 1, 2, 3), c2 AS (
+  SELECT m.account_id, m.year, m.month, CAST((m.year - y.y0) * 12 + m.month AS INTEGER) AS month_num,
+         f.txn_count, f.avg_balance, COALESCE(cf.has_card, 0) AS has_card, m.avg_monthly_amt AS label
+  FROM c2m m CROSS JOIN (SELECT min(year) AS y0 FROM c2m) y
+  LEFT JOIN txn_feat f ON m.account_id = f.account_id LEFT JOIN card_flag cf ON m.account_id = cf.account_id
+  WHERE m.avg_monthly_amt IS NOT NULL)"""
+_C2_SPLIT = f""", c2s AS (
+  SELECT c2.*, account_id * 1000 + month_num AS row_id,
+         CASE WHEN row_number() OVER (ORDER BY {_KEY.format(id='account_id * 1000 + month_num')}, account_id * 1000 + month_num)
+                   <= ceil(0.2 * count(*) OVER ()) THEN 1 ELSE 0 END AS is_test FROM c2)"""
+
+
+@query("c2_dataset", _C2 + " SELECT * FROM c2", ["avg_balance", "label"])
+def c2_dataset(spark, d):
+    return c2(spark, d)
+
+
+@query("c2_split", _C2 + _C2_SPLIT + " SELECT row_id, is_test FROM c2s")
+def c2_split_q(spark, d):
+    """Random (unstratified) 80/20 split of the monthly rows: exactly ceil(0.2 n) test rows."""
+    return c2_split(spark, d).select("row_id", "is_test")
+
+
+@query("c2_scaler", _C2 + _C2_SPLIT + " " + _scaler_sql("c2s", C.FEAT_C2), ["mean", "std"])
+def c2_scaler(spark, d):
+    s = C.scaler_stats(c2_split(spark, d).where("is_test = 0"), C.FEAT_C2)
+    return s.select("feature", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"))
+
+
+# ---- model fits and scoring (rows-only checks)
+
+def _c1_model(spark, d):
+    s = c1_split(spark, d).persist()
+    model = C.fit_default(s.where("is_test = 0"))
+    return s, model
+
+
+@query("c1_fit_coefficients")
+def c1_fit_coefficients(spark, d):
+    """Logistic-regression coefficients per feature, ordered by absolute value."""
+    s, model = _c1_model(spark, d)
+    out = C.coefficients_df(spark, model)
+    s.unpersist()
+    return out
+
+
+@query("c1_model_metrics")
+def c1_model_metrics(spark, d):
+    """Accuracy and AUC of the default model on the held-out part."""
+    s, model = _c1_model(spark, d)
+    return C.default_metrics(C.score_default(model, s.where("is_test = 1")))
+
+
+@query("c1_model_report")
+def c1_model_report(spark, d):
+    s, model = _c1_model(spark, d)
+    return C.class_report(C.score_default(model, s.where("is_test = 1")))
+
+
+def _c2_model(spark, d):
+    s = c2_split(spark, d).persist()
+    model = C.fit_forecast(s.where("is_test = 0"))
+    return s, model
+
+
+@query("c2_model_metrics")
+def c2_model_metrics(spark, d):
+    """MAE and R² of the forecast model on the held-out part."""
+    s, model = _c2_model(spark, d)
+    return C.regression_metrics(model.transform(s.where("is_test = 1")))
+
+
+@query("c2_scatter")
+def c2_scatter(spark, d):
+    s, model = _c2_model(spark, d)
+    return C.scatter_sample(model.transform(s.where("is_test = 1")), ["row_id"], 1000)
+
+
+@query("c2_residuals")
+def c2_residuals(spark, d):
+    s, model = _c2_model(spark, d)
+    return C.residual_hist(model.transform(s.where("is_test = 1")), 40)
+
+
+@query("c_score_loans")
+def c_score_loans(spark, d):
+    """Fit, save and reload the default model, then score every loan of the data set."""
+    s, model = _c1_model(spark, d)
+    path = os.path.join(ensure_checkpoint_dir(spark), "models", "loan_default")
+    C.save_model(model, path)
+    loaded = C.load_model(path)
+    return C.score_loans(loaded, c1(spark, d)).select("loan_id", "label", "score", "pred", "risk")
