@@ -1 +1,85 @@
-"""Registered queries."""
+"""Registered source / sink queries (survey section 2.1).
+
+Round trips write the bank tables to a fresh folder under the session's checkpoint
+folder (shared storage on a cluster), read them back with the library's readers and
+return what was read, so the oracle can compare it with the tables themselves.
+"""
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..operators import quality as Q
+from ..plans.session import ensure_checkpoint_dir
+from ..sources import files as S
+from ..sources import jdbc as J
+from .registry import query, raw
+
+_TRANS_D = ["amount", "balance"]
+
+
+def _scratch(spark, tag):
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex[:12]}"
+
+
+def _csv_roundtrip(spark, d, gzip_over_mb):
+    t = raw(spark, d)
+    folder = _scratch(spark, "csv")
+    S.write_tables(t, folder, gzip_over_mb=gzip_over_mb)
+    return S.read_tables(spark, folder)
+
+
+@query("src_csv_roundtrip", "SELECT * FROM trans", _TRANS_D)
+def src_csv_roundtrip(spark, d):
+    """Transactions written as ;-CSV and read back with fixed types."""
+    return _csv_roundtrip(spark, d, 20)["transaction"]
+
+
+@query("src_csv_gz_roundtrip", "SELECT * FROM loan", ["amount", "payments"])
+def src_csv_gz_roundtrip(spark, d):
+    """Every table gzip-compressed (threshold 0 MB), read back through the .gz fallback."""
+    return _csv_roundtrip(spark, d, 0)["loan"]
+
+
+_ROW_COUNTS = """
+  SELECT 'Account' AS TableName, CAST(count(*) AS BIGINT) AS RecordCount FROM account
+  UNION ALL SELECT 'Client', count(*) FROM client
+  UNION ALL SELECT 'Disposition', count(*) FROM disp
+  UNION ALL SELECT 'Card', count(*) FROM card
+  UNION ALL SELECT 'Loan', count(*) FROM loan
+  UNION ALL SELECT 'Order', count(*) FROM bank_order
+  UNION ALL SELECT 'Transaction_Merged', count(*) FROM trans
+  UNION ALL SELECT 'District', count(*) FROM district"""
+
+
+@query("src_csv_row_counts", _ROW_COUNTS)
+def src_csv_row_counts(spark, d):
+    """Row counts of all 8 tables after a CSV round trip with a comma separator (detected on read)."""
+    t = raw(spark, d)
+    folder = _scratch(spark, "csvc")
+    S.write_tables(t, folder, sep=",")
+    return Q.row_counts(S.read_tables(spark, folder))
+
+
+_DERBY_TABLES = {"account": "ACCOUNT", "client": "CLIENT", "district": "DISTRICT", "disp": "DISP", "card": "CARD",
+                 "loan": "LOAN", "orders": "BANK_ORDER", "transaction": "TRANS"}
+
+
+@query("src_jdbc_roundtrip", "SELECT * FROM trans", _TRANS_D)
+def src_jdbc_roundtrip(spark, d):
+    """Transactions through an in-process database (embedded Derby, no server), read in 4 key ranges."""
+    url = f"jdbc:derby:memory:bank{uuid.uuid4().hex[:8]};create=true"
+    _, props = J.jdbc_options(url=url, driver="org.apache.derby.jdbc.EmbeddedDriver")
+    J.write_tables_jdbc(raw(spark, d), url, props, tables=_DERBY_TABLES)
+    back = J.read_tables_jdbc(spark, url, props, tables=_DERBY_TABLES, quote="ansi", partitions=4)
+    return back["transaction"]
+
+
+@query("src_merge_years", "SELECT * FROM trans", _TRANS_D)
+def src_merge_years(spark, d):
+    """An empty clone of the transaction table, then one yearly slice appended per year (UNION ALL)."""
+    trans = raw(spark, d)["transaction"]
+    years = [r[0] for r in trans.select(F.year("Date")).distinct().collect()]
+    parts = [trans.where(F.year("Date") == y) for y in years if y is not None]
+    parts.append(trans.where(F.col("Date").isNull()))
+    return S.merge_years(S.empty_like(trans), *parts)
