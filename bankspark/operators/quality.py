@@ -158,6 +158,16 @@ def top_amounts(df: DataFrame, id_col: str, n: int = 10) -> DataFrame:
     return top_n(df, "amount", n, tie=id_col)
 
 
+# Columns profiled for NULLs per table, as in the data-quality script.
+NULL_CHECK_COLS = {
+    "account": ["account_id", "district_id", "frequency", "date", "Account_type"],
+    "client": ["client_id", "birth_number", "district_id"],
+    "disp": ["disp_id", "client_id", "account_id", "type"],
+    "card": ["card_id", "disp_id", "type", "issued_date"],
+    "loan": ["loan_id", "account_id", "date", "amount", "duration", "payments", "status"],
+    "transaction": ["trans_id", "account_id", "Date", "Type", "amount", "balance", "operation", "Purpose", "bank"],
+}
+
 KEYS = {"account": "account_id", "client": "client_id", "loan": "loan_id", "card": "card_id",
         "orders": "order_id", "transaction": "trans_id", "disp": "disp_id"}
 
@@ -170,8 +180,8 @@ def run_checks(t: dict) -> DataFrame:
     parts = []
     for tab, key in KEYS.items():
         parts.append(one(duplicate_keys(t[tab], key).agg(F.count(F.lit(1)).alias("v")), "duplicate_keys", tab))
-    for tab in ["account", "client", "disp", "card", "loan", "transaction"]:
-        prof = null_profile(t[tab])
+    for tab, cols in NULL_CHECK_COLS.items():
+        prof = null_profile(t[tab], [c for c in cols if c in t[tab].columns])
         for c in prof.columns:
             parts.append(one(prof, c, tab, c))
     refs = [("transaction", "account", "account_id", "account_id"), ("loan", "account", "account_id", "account_id"),

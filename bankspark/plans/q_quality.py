@@ -24,14 +24,7 @@ for _a in _DUP:
     _reg_dup(*_a)
 
 # ---- NULL profiles
-_NULLS = {
-    "account": ["account_id", "district_id", "frequency", "date", "Account_type"],
-    "client": ["client_id", "birth_number", "district_id"],
-    "disp": ["disp_id", "client_id", "account_id", "type"],
-    "card": ["card_id", "disp_id", "type", "issued_date"],
-    "loan": ["loan_id", "account_id", "date", "amount", "duration", "payments", "status"],
-    "transaction": ["trans_id", "account_id", "Date", "Type", "amount", "balance", "operation", "Purpose", "bank"],
-}
+_NULLS = Q.NULL_CHECK_COLS
 
 
 def _reg_null(table, cols):

@@ -53,4 +53,4 @@ def prepared(spark, d) -> dict:
 
 
 # the modules below register their queries on import
-from . import q_quality, q_prep, q_describe, q_diagnose, q_predict, q_sources  # noqa: E402,F401
+from . import q_quality, q_prep, q_describe, q_diagnose, q_predict, q_sources, q_kpi  # noqa: E402,F401
