@@ -13,12 +13,15 @@ from ..functions.columns import flag, money_mean, money_sum, money_sum_where, pc
 from .stats import hist, top_n, value_counts, with_share
 
 
-def one_row_join(*frames: DataFrame) -> DataFrame:
-    """Side-by-side join of one-row aggregates (each is a global aggregate: exactly one row)."""
-    out = frames[0].withColumn("_one", F.lit(1))
-    for f in frames[1:]:
-        out = out.join(F.broadcast(f.withColumn("_one", F.lit(1))), "_one")
-    return out.drop("_one")
+def attach_scalars(df: DataFrame, *one_row: DataFrame) -> DataFrame:
+    """``df`` with every column of the one-row frames attached as scalar subqueries.
+
+    Each extra frame is a global aggregate (exactly one row). Scalar subqueries run once
+    and enter the plan as values, so no join (and no cartesian product) is planned;
+    Catalyst merges subqueries over the same aggregate into one.
+    """
+    extra = [f.select(c).scalar().alias(c) for f in one_row for c in f.columns]
+    return df.select("*", *extra)
 
 
 def pivot_counts(df: DataFrame, index, col: str, values) -> DataFrame:
@@ -169,7 +172,7 @@ def a4_amount_hist(p: dict, bins: int = 25) -> DataFrame:
 def a5_card_summary(p: dict) -> DataFrame:
     cards = p["card"].agg(F.count(F.lit(1)).alias("total_cards"))
     accs = p["account"].agg(F.countDistinct("account_id").alias("total_accounts"))
-    return (one_row_join(cards, accs)
+    return (attach_scalars(cards, accs)
             .withColumn("penetration", safe_div(F.col("total_cards"), F.col("total_accounts")) * F.lit(100.0))
             .withColumn("accounts_without_card", F.col("total_accounts") - F.col("total_cards")))
 

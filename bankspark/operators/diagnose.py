@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import flag, money_mean, money_sum, money_sum_where, pct, safe_div
 from ..plans.sizing import small_side
-from .describe import one_row_join
+from .describe import attach_scalars
 from .stats import boxplot, exact_quantiles, hist, linear_trend, quantile_bins, top_n
 
 
@@ -191,7 +191,7 @@ def b5_dormant(p: dict) -> DataFrame:
     act = active_ids(p["transaction"]).agg(F.count(F.lit(1)).alias("active_accounts"))
     tot = p["account"].agg(F.countDistinct("account_id").alias("total_accounts"))
     dor = b5_dormant_ids(p).agg(F.count(F.lit(1)).alias("dormant_accounts"))
-    return (one_row_join(act, tot, dor)
+    return (attach_scalars(act, tot, dor)
             .withColumn("dormant_rate", safe_div(F.col("dormant_accounts"), F.col("total_accounts")) * F.lit(100.0)))
 
 

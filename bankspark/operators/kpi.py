@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .describe import a1_demographics, a2_account_summary, a3_txn_summary, a4_loan_summary, a5_card_summary, one_row_join
+from .describe import a1_demographics, a2_account_summary, a3_txn_summary, a4_loan_summary, a5_card_summary, attach_scalars
 from .diagnose import b1_high_debit, b2_default_rate, b3_penetration, b4_adoption, b5_dormant
 
 KPI_ORDER = ["total_clients", "avg_age", "female_pct", "total_accounts", "total_txns", "total_credit", "total_debit",
@@ -34,7 +34,7 @@ def kpi_summary(p: dict, c1: DataFrame | None = None, c2: DataFrame | None = Non
     if c2 is not None:
         parts.append(c2.select(F.col("r2").alias("forecast_r2")))
         extra.append("forecast_r2")
-    return one_row_join(*parts).select(*KPI_ORDER, *extra)
+    return attach_scalars(*parts).select(*KPI_ORDER, *extra)
 
 
 def kpi_long(wide: DataFrame) -> DataFrame:

@@ -155,10 +155,20 @@ def hist(df: DataFrame, col, bins: int, by=None, density: bool = False, name: st
            .withColumn("_hi", F.when(F.col("_mn") == F.col("_mx"), F.col("_mx") + 0.5).otherwise(F.col("_mx")))
            .drop("_mn", "_mx"))
     # one row per group: AQE broadcasts it from the measured size of the aggregate
-    b = F.least(F.floor((F.col(name) - F.col("_lo")) * F.lit(float(bins)) / (F.col("_hi") - F.col("_lo"))),
-                F.lit(bins - 1)).cast("int")
-    counts = (data.join(rng, keys).withColumn("bin", b)
-              .groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("count")))
+    b0 = F.least(F.floor((F.col(name) - F.col("_lo")) * F.lit(float(bins)) / (F.col("_hi") - F.col("_lo"))),
+                 F.lit(bins - 1)).cast("int")
+
+    def edge(i):
+        return i * ((F.col("_hi") - F.col("_lo")) / F.lit(float(bins))) + F.col("_lo")
+
+    # the same edge corrections as np.histogram, so values on a rounded edge land alike
+    b = (F.when(F.col(name) < edge(b0), b0 - 1)
+         .when((b0 != bins - 1) & (F.col(name) >= edge(b0 + 1)), b0 + 1).otherwise(b0))
+    if by_cols:
+        joined = data.join(rng, keys)
+    else:  # one range for all rows: attach it as scalar subqueries instead of a join
+        joined = data.select("*", *[rng.select(c).scalar().alias(c) for c in ("_lo", "_hi")])
+    counts = joined.withColumn("bin", b).groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("count"))
     grid = rng.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     width = (F.col("_hi") - F.col("_lo")) / F.lit(float(bins))
     out = (grid.join(counts, keys + ["bin"], "left")

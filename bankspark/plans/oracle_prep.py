@@ -114,11 +114,14 @@ def hist_sql(src: str, expr: str, bins: int, by: str | None = None, density: boo
                   CASE WHEN min(v) = max(v) THEN max(v) + 0.5 ELSE max(v) END AS hi, count(*) AS n
            FROM (SELECT {g} AS g, CAST({expr} AS DOUBLE) AS v FROM {src} WHERE {expr} IS NOT NULL AND NOT isnan(CAST({expr} AS DOUBLE)){where_g}) d0
            GROUP BY g) r, range(0, {bins}) t(b)) grid
-  LEFT JOIN (SELECT d.g, CAST(least(floor((d.v - r2.lo) * {float(bins)} / (r2.hi - r2.lo)), {bins - 1}) AS INTEGER) AS bin2,
-                    count(*) AS cnt
+  LEFT JOIN (SELECT g, CASE WHEN v < b0 * ((hi - lo) / {float(bins)}) + lo THEN b0 - 1
+                              WHEN b0 <> {bins - 1} AND v >= (b0 + 1) * ((hi - lo) / {float(bins)}) + lo THEN b0 + 1
+                              ELSE b0 END AS bin2, count(*) AS cnt FROM (
+             SELECT d.g, d.v, r2.lo, r2.hi,
+                    CAST(least(floor((d.v - r2.lo) * {float(bins)} / (r2.hi - r2.lo)), {bins - 1}) AS INTEGER) AS b0
              FROM (SELECT {g} AS g, CAST({expr} AS DOUBLE) AS v FROM {src} WHERE {expr} IS NOT NULL AND NOT isnan(CAST({expr} AS DOUBLE)){where_g}) d
              JOIN (SELECT g, CASE WHEN min(v) = max(v) THEN min(v) - 0.5 ELSE min(v) END AS lo,
                           CASE WHEN min(v) = max(v) THEN max(v) + 0.5 ELSE max(v) END AS hi
                    FROM (SELECT {g} AS g, CAST({expr} AS DOUBLE) AS v FROM {src} WHERE {expr} IS NOT NULL AND NOT isnan(CAST({expr} AS DOUBLE)){where_g}) d1
-                   GROUP BY g) r2 ON d.g = r2.g
+                   GROUP BY g) r2 ON d.g = r2.g) e
              GROUP BY 1, 2) c ON grid.g = c.g AND grid.bin = c.bin2"""
