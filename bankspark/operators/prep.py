@@ -33,7 +33,7 @@ from ..functions.columns import (
     safe_div,
     status_label,
 )
-from ..plans.sizing import small_side
+from ..plans.sizing import BROADCAST_MAX_ROWS, row_count_at_most, small_side
 
 log = logging.getLogger(__name__)
 
@@ -160,40 +160,52 @@ def card_flag(disp: DataFrame, card: DataFrame) -> DataFrame:
             .withColumn("has_card", F.lit(1)))
 
 
-def _district_dim(district_p: DataFrame, cols) -> DataFrame:
-    return small_side(district_p.select(*cols))
+def _district_dim(district_p: DataFrame, cols, small: bool | None = None) -> DataFrame:
+    d = district_p.select(*cols)
+    if small is None:
+        return small_side(d)
+    return F.broadcast(d) if small else d
+
+
+def district_is_small(district_p: DataFrame) -> bool:
+    """One bounded count decides whether the district dimension is broadcast in every join."""
+    return row_count_at_most(district_p, BROADCAST_MAX_ROWS) <= BROADCAST_MAX_ROWS
 
 
 def acc_cli(account_p: DataFrame, own: DataFrame, client_p: DataFrame, district_p: DataFrame,
-            holders: DataFrame | None = None) -> DataFrame:
-    """account ⟕ owners ⟕ client ⟕ district (+ has_card). Several owners give several rows."""
-    out = (account_p
-           .join(own, "account_id", "left")
-           .join(client_p.select("client_id", "gender", "age", "age_group"), "client_id", "left")
-           .join(_district_dim(district_p, ["district_id", "name", "region", "population", "avg_salary",
-                                            "unemp_96"]), "district_id", "left"))
+            holders: DataFrame | None = None, district_small: bool | None = None) -> DataFrame:
+    """account ⟕ card holders ⟕ owners ⟕ client ⟕ district (+ has_card). Several owners give several rows.
+
+    Both account_id joins come first, so one hash partitioning of the accounts serves both.
+    """
+    out = account_p
     if holders is not None:
         out = (out.join(holders, "account_id", "left")
                .withColumn("has_card", F.coalesce(F.col("has_card"), F.lit(0))))
-    return out
+    return (out
+            .join(own, "account_id", "left")
+            .join(client_p.select("client_id", "gender", "age", "age_group"), "client_id", "left")
+            .join(_district_dim(district_p, ["district_id", "name", "region", "population", "avg_salary",
+                                             "unemp_96"], district_small), "district_id", "left"))
 
 
 def loan_cli(loan_p: DataFrame, own: DataFrame, client_p: DataFrame, account: DataFrame,
-             district_p: DataFrame) -> DataFrame:
-    """loan ⟕ owners ⟕ client ⟕ account(district) ⟕ district."""
+             district_p: DataFrame, district_small: bool | None = None) -> DataFrame:
+    """loan ⟕ owners ⟕ account(district) ⟕ client ⟕ district (the two account_id joins share a partitioning)."""
     return (loan_p
             .join(own, "account_id", "left")
-            .join(client_p.select("client_id", "gender", "age", "age_group"), "client_id", "left")
             .join(account.select("account_id", "district_id"), "account_id", "left")
-            .join(_district_dim(district_p, ["district_id", "name", "avg_salary", "unemp_96"]),
+            .join(client_p.select("client_id", "gender", "age", "age_group"), "client_id", "left")
+            .join(_district_dim(district_p, ["district_id", "name", "avg_salary", "unemp_96"], district_small),
                   "district_id", "left"))
 
 
-def acc_district(account: DataFrame, district_p: DataFrame) -> DataFrame:
+def acc_district(account: DataFrame, district_p: DataFrame, district_small: bool | None = None) -> DataFrame:
     """Accounts per district (NULL district dropped) ⟕ district, acc_per_1000."""
     counts = (account.where(F.col("district_id").isNotNull())
               .groupBy("district_id").agg(F.count("account_id").alias("acc_count")))
-    dim = _district_dim(district_p, ["district_id", "name", "region", "population", "avg_salary", "unemp_96"])
+    dim = _district_dim(district_p, ["district_id", "name", "region", "population", "avg_salary", "unemp_96"],
+                        district_small)
     return (counts.join(dim, "district_id", "left")
             .withColumn("acc_per_1000", safe_div(F.col("acc_count"), F.col("population")) * F.lit(1000.0)))
 
@@ -218,7 +230,7 @@ def ml_base(loan_cli_df: DataFrame, txn_feat_df: DataFrame, card_flag_df: DataFr
     The medians are exact (linear interpolation) and computed over all loans, before any
     status filter. They come from a distributed selection, not from one task.
     """
-    from .stats import exact_quantiles
+    from .stats import exact_quantiles_cols
 
     base = (loan_cli_df
             .join(txn_feat_df, "account_id", "left")
@@ -228,7 +240,7 @@ def ml_base(loan_cli_df: DataFrame, txn_feat_df: DataFrame, card_flag_df: DataFr
     cols = [c for c in ML_MEDIAN_COLS if _has(base, c)]
     base.persist()
     try:
-        meds = {c: exact_quantiles(base, c, [0.5])[()][0] for c in cols}
+        meds = {c: v[0] for c, v in exact_quantiles_cols(base, cols, [0.5]).items()}
     finally:
         base.unpersist()
     fills = {c: F.coalesce(F.col(c).cast("double"), F.lit(meds[c]).cast("double")) for c in cols}
@@ -246,12 +258,13 @@ def prepare(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
     disp = t["disp"]
     own = owners(disp)
     holders = card_holders(disp, card)
+    small = district_is_small(district)
     return {
         "account": account, "client": client, "district": district, "disp": disp, "card": card,
         "loan": loan, "orders": t["orders"], "transaction": trans, "owners": own,
-        "acc_cli": acc_cli(account, own, client, district, holders),
-        "loan_cli": loan_cli(loan, own, client, account, district),
-        "acc_district": acc_district(account, district),
+        "acc_cli": acc_cli(account, own, client, district, holders, small),
+        "loan_cli": loan_cli(loan, own, client, account, district, small),
+        "acc_district": acc_district(account, district, small),
         "txn_feat": txn_feat(trans),
         "card_flag": card_flag(disp, card),
         "card_holders": holders,

@@ -36,8 +36,11 @@ def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str
     """Count of child rows whose key has no parent row (NULL keys count as orphans)."""
     parent_key = parent_key or child_key
     per_key = child.groupBy(F.col(child_key).alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
-    parents = parent.select(F.col(parent_key).alias("_k")).where(F.col("_k").isNotNull()).distinct()
-    missing = per_key.join(parents, "_k", "left_anti")
+    parents = (parent.select(F.col(parent_key).alias("_k")).where(F.col("_k").isNotNull())
+               .groupBy("_k").agg(F.lit(1).alias("_p")))
+    # an outer join (not an anti join) keeps the child aggregate below the join: Catalyst
+    # does not push it under the aggregation, so the shuffle carries one row per key
+    missing = per_key.join(parents, "_k", "left").where(F.col("_p").isNull())
     return missing.agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias(name))
 
 

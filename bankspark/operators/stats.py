@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 # Buckets per refinement pass, and the bucket size that may be gathered directly.
 SELECT_BUCKETS = 4096
 SELECT_SMALL = 50_000
+# Rows per group that one window partition may hold in running_totals.
+RUNNING_ONE_RANGE = 200_000
 
 
 def _groups_filter(by, key) -> Column:
@@ -28,15 +30,22 @@ def _groups_filter(by, key) -> Column:
 
 
 def select_ranks(df: DataFrame, col: str, ranks: dict, by=(), buckets: int = SELECT_BUCKETS,
-                 small: int = SELECT_SMALL) -> dict:
+                 small: int = SELECT_SMALL, counts: dict | None = None) -> dict:
     """Exact order statistics of a numeric column, per group.
 
     ``ranks`` maps group key tuple -> iterable of 0-based ranks among the group's non-NULL,
-    non-NaN values in ascending order. Returns group -> {rank: value}.
+    non-NaN values in ascending order. Returns group -> {rank: value}. When ``counts``
+    (group -> number of values) shows every wanted group holds at most ``small`` values,
+    the sorted values of those groups are read in one job instead of refining.
     """
     by = list(by)
     data = (df.select(*[F.col(b) for b in by], F.col(col).cast("double").alias("_v"))
             .where(F.col("_v").isNotNull() & ~F.isnan(F.col("_v"))))
+    if counts is not None and all(counts.get(g, 0) <= small for g in ranks):
+        grouped = data.groupBy(*by) if by else data.groupBy()
+        got = {tuple(r[b] for b in by): r["vs"] for r in
+               grouped.agg(F.sort_array(F.collect_list("_v")).alias("vs")).collect()}
+        return {g: {r: got[g][r] for r in rs} for g, rs in ranks.items() if g in got}
     data.persist()
     try:
         stats = {tuple(r[b] for b in by): (r["lo"], r["hi"]) for r in
@@ -116,7 +125,7 @@ def exact_quantiles(df: DataFrame, col: str, probs, by=()) -> dict:
             for p in probs:
                 h = (n - 1) * p
                 want[g].update({int(math.floor(h)), int(math.ceil(h))})
-    vals = select_ranks(df, col, want, by) if want else {}
+    vals = select_ranks(df, col, want, by, counts=counts) if want else {}
     res = {}
     for g, n in counts.items():
         if not n:
@@ -132,6 +141,16 @@ def exact_quantiles(df: DataFrame, col: str, probs, by=()) -> dict:
     return res
 
 
+def exact_quantiles_cols(df: DataFrame, cols, probs) -> dict:
+    """Quantiles of several numeric columns at once: the columns are stacked into
+    (column, value) rows and selected together, so every pass serves all columns."""
+    stacked = df.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("_col"), F.col(c).cast("double").alias("_x")) for c in cols])).alias("_s")
+    ).select("_s._col", "_s._x")
+    res = exact_quantiles(stacked, "_x", probs, by=["_col"])
+    return {c: res.get((c,), [None] * len(probs)) for c in cols}
+
+
 # ---------------------------------------------------------------- histograms
 
 def hist(df: DataFrame, col, bins: int, by=None, density: bool = False, name: str = "value") -> DataFrame:
@@ -274,7 +293,7 @@ def linear_trend(df: DataFrame, x: str, y: str, points: int = 100) -> DataFrame:
 # ---------------------------------------------------------------- running totals
 
 def running_totals(df: DataFrame, order_col: str, cols, by=(), ascending: bool = True, tie=(),
-                   buckets: int = 64, prefix: str = "cum_") -> DataFrame:
+                   buckets: int = 64, prefix: str = "cum_", one_range_max: int = RUNNING_ONE_RANGE) -> DataFrame:
     """Cumulative sums of ``cols`` in ``order_col`` order within each ``by`` group, without a one-task window.
 
     Rows are cut into ``buckets`` ranges of the order column at exact rank boundaries
@@ -291,8 +310,11 @@ def running_totals(df: DataFrame, order_col: str, cols, by=(), ascending: bool =
               (df.groupBy(*by) if by else df.groupBy()).agg(F.count(F.lit(1)).alias("n")).collect() if r["n"]}
     vals = [(F.lit(1) if c == "1" else F.col(c)).alias(f"_c{i}") for i, c in enumerate(cols)]
     data = df.select("*", *vals)
+    if all(n <= one_range_max for n in counts.values()):
+        buckets = 1  # every group fits one window partition of bounded size
     wanted = {g: sorted({(n * i) // buckets for i in range(1, buckets)} - {0}) for g, n in counts.items()}
-    picked = select_ranks(df, order_col, {g: r for g, r in wanted.items() if r}, by) if counts else {}
+    need = {g: r for g, r in wanted.items() if r}
+    picked = select_ranks(df, order_col, need, by, counts=counts) if need else {}
     v = F.col(order_col).cast("double")
     bucket = None
     for g in counts:

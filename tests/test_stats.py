@@ -23,6 +23,10 @@ def test_exact_quantiles_match_numpy(spark, xs):
     want = np.quantile(np.array(xs), probs)
     for g, w in zip(got, want):
         assert math.isclose(g, w, rel_tol=1e-9, abs_tol=1e-9)
+    n = len(xs)
+    ranks = sorted({int(math.floor((n - 1) * p)) for p in probs})
+    refined = S.select_ranks(df, "v", {(): ranks}, buckets=4, small=3)[()]
+    assert [refined[r] for r in ranks] == [sorted(xs)[r] for r in ranks]
 
 
 def test_select_ranks_multi_pass_and_ties(spark):
@@ -72,7 +76,9 @@ def test_quantile_bins_match_qcut(spark, xs):
 def test_running_totals_match_cumsum(spark):
     xs = [(i, (i * 7919) % 101, i % 2) for i in range(500)]
     df = spark.createDataFrame(xs, "id int, s int, g int")
-    out = S.running_totals(df, "s", ["1", "s"], by=["g"], tie=["id"], buckets=7).collect()
+    out = S.running_totals(df, "s", ["1", "s"], by=["g"], tie=["id"], buckets=7, one_range_max=0).collect()
+    small = S.running_totals(df, "s", ["1"], by=["g"], tie=["id"]).collect()
+    assert sorted((r["id"], r["cum_1"]) for r in small) == sorted((r["id"], r["cum_1"]) for r in out)
     for g in (0, 1):
         rows = sorted((r for r in xs if r[2] == g), key=lambda r: (r[1], r[0]))
         want = {r[0]: (i + 1, sum(x[1] for x in rows[: i + 1])) for i, r in enumerate(rows)}
