@@ -185,8 +185,9 @@ def run_checks(t: dict) -> DataFrame:
         parts.append(one(duplicate_keys(t[tab], key).agg(F.count(F.lit(1)).alias("v")), "duplicate_keys", tab))
     for tab, cols in NULL_CHECK_COLS.items():
         prof = null_profile(t[tab], [c for c in cols if c in t[tab].columns])
-        for c in prof.columns:
-            parts.append(one(prof, c, tab, c))
+        # one pass per table, unpivoted to one row per column
+        parts.append(prof.unpivot([], prof.columns, "check", "value")
+                     .select("check", F.lit(tab).alias("table"), F.col("value").cast("long").alias("value")))
     refs = [("transaction", "account", "account_id", "account_id"), ("loan", "account", "account_id", "account_id"),
             ("orders", "account", "account_id", "account_id"), ("card", "disp", "disp_id", "disp_id"),
             ("disp", "client", "client_id", "client_id"), ("disp", "account", "account_id", "account_id"),
@@ -199,9 +200,9 @@ def run_checks(t: dict) -> DataFrame:
                      "card_before_account", "card"))
     amounts = counts_where(t["transaction"], {"a": F.col("amount") <= 0, "b": F.col("balance") <= 0,
                                               "c": F.col("balance") < 0})
-    parts += [one(amounts, "non_positive_amount", "transaction", "a"),
-              one(amounts, "non_positive_balance", "transaction", "b"),
-              one(amounts, "negative_balance", "transaction", "c")]
+    parts.append(amounts.selectExpr(
+        "stack(3, 'non_positive_amount', a, 'non_positive_balance', b, 'negative_balance', c) AS (check, value)")
+        .select("check", F.lit("transaction").alias("table"), F.col("value").cast("long").alias("value")))
     parts.append(one(count_where(t["loan"], F.col("amount") <= 0, "v"), "non_positive_loan_amount", "loan"))
     parts.append(one(status_outside(t["loan"]).agg(F.count(F.lit(1)).alias("v")), "status_outside_domain", "loan"))
     parts.append(one(birth_length(t["client"]), "invalid_birth_number_length", "client",

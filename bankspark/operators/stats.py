@@ -46,7 +46,9 @@ def select_ranks(df: DataFrame, col: str, ranks: dict, by=(), buckets: int = SEL
         got = {tuple(r[b] for b in by): r["vs"] for r in
                grouped.agg(F.sort_array(F.collect_list("_v")).alias("vs")).collect()}
         return {g: {r: got[g][r] for r in rs} for g, rs in ranks.items() if g in got}
-    data.persist()
+    cached = df.storageLevel.useMemory or df.storageLevel.useDisk
+    if not cached:
+        data.persist()
     try:
         stats = {tuple(r[b] for b in by): (r["lo"], r["hi"]) for r in
                  (data.groupBy(*by) if by else data.groupBy()).agg(F.min("_v").alias("lo"), F.max("_v").alias("hi")).collect()}
@@ -103,7 +105,8 @@ def select_ranks(df: DataFrame, col: str, ranks: dict, by=(), buckets: int = SEL
             active = nxt
         return out
     finally:
-        data.unpersist()
+        if not cached:
+            data.unpersist()
 
 
 def exact_quantiles(df: DataFrame, col: str, probs, by=()) -> dict:
@@ -113,9 +116,20 @@ def exact_quantiles(df: DataFrame, col: str, probs, by=()) -> dict:
     the single key is ``()``.
     """
     by = list(by)
+    # project the value once and keep it for the count and selection passes, so the
+    # upstream plan (joins, aggregations) runs a single time
+    data = (df.select(*[F.col(b) for b in by], F.col(col).cast("double").alias("_q"))
+            .where(F.col("_q").isNotNull() & ~F.isnan(F.col("_q"))))
+    data.persist()
+    try:
+        return _quantiles_of(data, "_q", probs, by)
+    finally:
+        data.unpersist()
+
+
+def _quantiles_of(df: DataFrame, col: str, probs, by) -> dict:
     counts = {tuple(r[b] for b in by): r["n"] for r in
-              (df.groupBy(*by) if by else df.groupBy())
-              .agg(F.count(F.when(~F.isnan(F.col(col).cast("double")), F.col(col))).alias("n")).collect()}
+              (df.groupBy(*by) if by else df.groupBy()).agg(F.count(F.lit(1)).alias("n")).collect()}
     if not by and () not in counts:
         counts[()] = 0
     want = {}
