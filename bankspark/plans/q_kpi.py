@@ -78,3 +78,24 @@ def _run_checks_sql():
 def dq_run_checks(spark, d):
     """Every counting check of the data-quality script as one long table (check, table, value)."""
     return Q.run_checks(raw(spark, d))
+
+
+@query("kpi_summary_with_models")
+def kpi_summary_with_models(spark, d):
+    """The whole analysis with prepared tables cached: 15 KPIs plus model AUC and forecast R² (rows only)."""
+    from ..plans.pipeline import run_all
+
+    return run_all(spark, raw(spark, d))["kpis"]
+
+
+@query("prep_parse_guard", """
+  SELECT "table", "column", "rows", parsed, CASE WHEN "rows" > 0 AND parsed = 0 THEN 1 ELSE 0 END AS all_null FROM (
+    SELECT 'loan' AS "table", 'date' AS "column", count(*) AS "rows", count(date) AS parsed FROM loan
+    UNION ALL SELECT 'account', 'date', count(*), count(date) FROM account
+    UNION ALL SELECT 'transaction', 'Date', count(*), count(Date) FROM trans
+    UNION ALL SELECT 'transaction', 'type_lbl', count(*), count(type_lbl) FROM trans_p) g""")
+def prep_parse_guard(spark, d):
+    """Rows and parsed values of the parsed date / type columns; all_null flags a silent parse failure."""
+    from ..plans.pipeline import parse_report
+
+    return parse_report(prepared(spark, d))

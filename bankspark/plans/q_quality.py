@@ -252,3 +252,8 @@ def fix_client_gender(spark, d):
 @query("dq_full_scan_transactions", "SELECT * FROM trans", doubles=["amount", "balance"])
 def dq_full_scan_transactions(spark, d):
     return raw(spark, d)["transaction"]
+
+
+@query("dq_full_scan_clients", "SELECT * FROM client")
+def dq_full_scan_clients(spark, d):
+    return raw(spark, d)["client"]

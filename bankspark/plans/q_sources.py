@@ -83,3 +83,16 @@ def src_merge_years(spark, d):
     parts = [trans.where(F.year("Date") == y) for y in years if y is not None]
     parts.append(trans.where(F.col("Date").isNull()))
     return S.merge_years(S.empty_like(trans), *parts)
+
+
+@query("export_jdbc_to_csv", "SELECT * FROM loan", ["amount", "payments"])
+def export_jdbc_to_csv(spark, d):
+    """The export run: database tables (embedded Derby here) -> ;-CSV files in key ranges -> read back."""
+    from .pipeline import export
+
+    url = f"jdbc:derby:memory:exp{uuid.uuid4().hex[:8]};create=true"
+    _, props = J.jdbc_options(url=url, driver="org.apache.derby.jdbc.EmbeddedDriver")
+    J.write_tables_jdbc(raw(spark, d), url, props, tables=_DERBY_TABLES)
+    folder = _scratch(spark, "export")
+    export(spark, url, props, folder, tables=_DERBY_TABLES, partitions=4)
+    return S.read_tables(spark, folder)["loan"]

@@ -19,7 +19,7 @@ def con():
 def test_every_query_has_an_oracle_or_is_a_model_query():
     rows_only = {n for n in QUERIES if n not in SQL}
     assert rows_only <= {"c1_fit_coefficients", "c1_model_metrics", "c1_model_report", "c2_model_metrics",
-                         "c2_scatter", "c2_residuals", "c_score_loans"}
+                         "c2_scatter", "c2_residuals", "c_score_loans", "kpi_summary_with_models"}
 
 
 def test_entry_smoke(spark):

@@ -104,3 +104,29 @@ def test_attach_scalars_has_no_cartesian(spark):
     plan = A.attach_scalars(a, b)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert tuple(A.attach_scalars(a, b).first()) == (10, 5)
+
+
+def test_require_rows_raises_with_hint(spark):
+    import pytest
+
+    from bankspark.operators.predict import require_rows
+
+    with pytest.raises(RuntimeError, match="check the date"):
+        require_rows(spark.range(0), "C2 set", "check the date column")
+    require_rows(spark.range(1), "C2 set", "unused")
+
+
+def test_model_fit_and_reload(spark, tmp_path):
+    from bankspark.operators import predict as C
+
+    rows = [(i, float(i % 50), float((i * 7) % 13), int(i % 50 > 35)) for i in range(1, 401)]
+    df = spark.createDataFrame(rows, "loan_id bigint, amount double, duration double, label int")
+    model = C.fit_default(df, features=["amount", "duration"])
+    path = str(tmp_path / "m")
+    C.save_model(model, path)
+    scored = C.score_loans(C.load_model(path), df)
+    acc = C.accuracy(scored).first()[0]
+    assert acc > 0.8
+    assert {r["risk"] for r in scored.select("risk").distinct().collect()} <= {"HIGH", "LOW"}
+    names = [f for f, _ in C.coefficients(model)]
+    assert sorted(names) == ["amount", "duration"]
