@@ -310,10 +310,10 @@ def running_totals(df: DataFrame, order_col: str, cols, by=(), ascending: bool =
                    buckets: int = 64, prefix: str = "cum_", one_range_max: int = RUNNING_ONE_RANGE) -> DataFrame:
     """Cumulative sums of ``cols`` in ``order_col`` order within each ``by`` group, without a one-task window.
 
-    Rows are cut into ``buckets`` ranges of the order column at exact rank boundaries
-    (:func:`select_ranks`); each range is summed, the bucket offsets (at most groups ×
-    buckets numbers) are broadcast, and a window partitioned by (group, range) adds the
-    running sum inside the range. Rows with equal order values share a range, so ties are
+    Rows are cut into ``buckets`` ranges of the order column at approximate quantiles (one
+    sketch job; the limits only balance the work); each range is summed, the range offsets
+    (at most groups × buckets numbers) are broadcast, and a window partitioned by (group,
+    range) adds the running sum inside the range, so the totals are exact. Rows with equal order values share a range, so ties are
     never split; ``tie`` columns order rows inside a tie. The order column must be non-NULL.
     ``cols`` may name a column or be ``"1"`` for a running row count (``cum_1``).
     """
@@ -324,15 +324,19 @@ def running_totals(df: DataFrame, order_col: str, cols, by=(), ascending: bool =
               (df.groupBy(*by) if by else df.groupBy()).agg(F.count(F.lit(1)).alias("n")).collect() if r["n"]}
     vals = [(F.lit(1) if c == "1" else F.col(c)).alias(f"_c{i}") for i, c in enumerate(cols)]
     data = df.select("*", *vals)
-    if all(n <= one_range_max for n in counts.values()):
-        buckets = 1  # every group fits one window partition of bounded size
-    wanted = {g: sorted({(n * i) // buckets for i in range(1, buckets)} - {0}) for g, n in counts.items()}
-    need = {g: r for g, r in wanted.items() if r}
-    picked = select_ranks(df, order_col, need, by, counts=counts) if need else {}
+    picked: dict = {}
+    if not all(n <= one_range_max for n in counts.values()):
+        # range limits only balance the window partitions; the sums stay exact whatever the
+        # limits are, so approximate quantiles (a bounded sketch, one job) are enough
+        probs = [i / buckets for i in range(1, buckets)]
+        grouped = df.groupBy(*by) if by else df.groupBy()
+        for r in grouped.agg(F.percentile_approx(F.col(order_col).cast("double"), probs, 10 * buckets)
+                             .alias("_b")).collect():
+            picked[tuple(r[b] for b in by)] = r["_b"] or []
     v = F.col(order_col).cast("double")
     bucket = None
     for g in counts:
-        bounds = sorted(set((picked.get(g) or {}).values()))
+        bounds = sorted(set(picked.get(g) or []))
         arr = F.array(*[F.lit(float(b)) for b in bounds]) if bounds else F.array().cast("array<double>")
         bexpr = F.size(F.filter(arr, (lambda x: x < v) if ascending else (lambda x: x > v)))
         cond = _groups_filter(by, g)

@@ -65,7 +65,7 @@ def run_all(spark: SparkSession, tables: dict, model_dir: str | None = None, cac
         m1 = C.fit_default(c1.where("is_test = 0"))
         auc = C.auc(C.score_default(m1, c1.where("is_test = 1")))
         c2 = C.c2_dataset(p)
-        c2 = C.split(c2.withColumn("row_id", c2["account_id"] * 1000 + c2["month_num"]), "row_id").persist()
+        c2 = C.split(c2.withColumn("row_id", c2["account_id"] * 100000 + c2["month_num"]), "row_id").persist()
         m2 = C.fit_forecast(c2.where("is_test = 0"))
         r2 = C.regression_metrics(m2.transform(c2.where("is_test = 1")))
         if model_dir:

@@ -31,7 +31,7 @@ def c2(spark, d):
 
 
 def c2_split(spark, d):
-    return C.split(c2(spark, d).withColumn("row_id", F.col("account_id") * 1000 + F.col("month_num")), "row_id")
+    return C.split(c2(spark, d).withColumn("row_id", F.col("account_id") * 100000 + F.col("month_num")), "row_id")
 
 
 def fixed_scored(spark, d):
@@ -151,8 +151,8 @@ _C2 = """WITH c2m AS (
   LEFT JOIN txn_feat f ON m.account_id = f.account_id LEFT JOIN card_flag cf ON m.account_id = cf.account_id
   WHERE m.avg_monthly_amt IS NOT NULL)"""
 _C2_SPLIT = f""", c2s AS (
-  SELECT c2.*, account_id * 1000 + month_num AS row_id,
-         CASE WHEN row_number() OVER (ORDER BY {_KEY.format(id='account_id * 1000 + month_num')}, account_id * 1000 + month_num)
+  SELECT c2.*, account_id * 100000 + month_num AS row_id,
+         CASE WHEN row_number() OVER (ORDER BY {_KEY.format(id='account_id * 100000 + month_num')}, account_id * 100000 + month_num)
                    <= ceil(0.2 * count(*) OVER ()) THEN 1 ELSE 0 END AS is_test FROM c2)"""
 
 

@@ -18,13 +18,30 @@ DEFAULT_CONF = {
 }
 
 
+# Settings for a large cluster (about 100 TB of input, ~1000 executors): many initial shuffle
+# partitions that AQE coalesces to ~256 MB each, scan splits of 256 MB, skewed partitions
+# split when 5x the median, and hand broadcasts still bounded by plans/sizing.py.
+CLUSTER_CONF = {
+    "spark.sql.shuffle.partitions": "8000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64m",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.parquet.filterPushdown": "true",
+}
+
+
 def get_session(master: str | None = None, app: str = "bankspark", shuffle_partitions: int | None = None,
-                conf: dict | None = None) -> SparkSession:
-    """A session with AQE (coalescing, skew join) on and the UI off."""
+                conf: dict | None = None, profile: str = "local") -> SparkSession:
+    """A session with AQE (coalescing, skew join) on and the UI off; ``profile='cluster'`` adds CLUSTER_CONF."""
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
     settings = dict(DEFAULT_CONF)
+    if profile == "cluster":
+        settings.update(CLUSTER_CONF)
     if shuffle_partitions:
         settings["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     settings.update(conf or {})
