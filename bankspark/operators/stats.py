@@ -288,8 +288,9 @@ def top_n(df: DataFrame, by: str, n: int = 10, tie=None, ascending: bool = False
 
 
 def with_share(df: DataFrame, count_col: str = "count", name: str = "share") -> DataFrame:
-    """Add each row's share (percent) of the column total; meant for small aggregated frames."""
-    return df.withColumn(name, F.col(count_col) * F.lit(100.0) / F.sum(count_col).over(Window.partitionBy()))
+    """Add each row's share (percent) of the column total (the total is a scalar subquery)."""
+    total = df.agg(F.sum(count_col).alias("_total")).select("_total").scalar()
+    return df.withColumn(name, F.col(count_col) * F.lit(100.0) / total)
 
 
 def linear_trend(df: DataFrame, x: str, y: str, points: int = 100) -> DataFrame:
