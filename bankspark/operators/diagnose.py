@@ -28,7 +28,7 @@ def b1_debit_ratio(p: dict) -> DataFrame:
     return (t.groupBy("account_id")
             .agg(money_sum_where("amount", F.col("type_lbl") == F.lit("Credit")).alias("Credit"),
                  money_sum_where("amount", F.col("type_lbl") == F.lit("Debit")).alias("Debit"))
-            .withColumn("debit_ratio", F.col("Debit") / (F.col("Credit") + F.col("Debit") + F.lit(1.0))))
+            .withColumn("debit_ratio", safe_div(F.col("Debit"), F.col("Credit") + F.col("Debit") + F.lit(1.0))))
 
 
 def high_debit_threshold(ratios: DataFrame, threshold: float | None = None) -> float | None:

@@ -72,7 +72,7 @@ loan_cli AS (
   LEFT JOIN district_p di ON a.district_id = di.district_id),
 acc_district AS (
   SELECT k.district_id, k.acc_count, di.name, di.region, di.population, di.avg_salary, di.unemp_96,
-         CAST(k.acc_count AS DOUBLE) / CAST(di.population AS DOUBLE) * 1000.0 AS acc_per_1000
+         CAST(k.acc_count AS DOUBLE) / NULLIF(CAST(di.population AS DOUBLE), 0) * 1000.0 AS acc_per_1000
   FROM (SELECT district_id, count(account_id) AS acc_count FROM account
         WHERE district_id IS NOT NULL GROUP BY district_id) k
   LEFT JOIN district_p di ON k.district_id = di.district_id),
@@ -92,7 +92,8 @@ card_flag AS (
 def oracle(body: str, doubles=()) -> str:
     """Full oracle statement: bank views + prepared tables + ``body``; DOUBLE columns rounded to 6 places."""
     if doubles:
-        rep = ", ".join(f"round({c}, 6) AS {c}" for c in doubles)
+        # "+ 0" turns a rounded -0.0 into 0.0, as Spark's decimal-based round returns
+        rep = ", ".join(f"round({c}, 6) + CAST(0 AS DOUBLE) AS {c}" for c in doubles)
         final = f"SELECT * REPLACE ({rep}) FROM (\n{body}\n) q"
     else:
         final = f"SELECT * FROM (\n{body}\n) q"

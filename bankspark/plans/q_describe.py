@@ -88,7 +88,7 @@ _reg("hist_loan_amount_by_status", A.a4_amount_hist,
      hist_sql("loan_p", "amount / 1000.0", 25, by="status_lbl"), ["lower", "upper"])
 
 _reg("a5_card_summary", A.a5_card_summary,
-     """SELECT total_cards, total_accounts, CAST(total_cards AS DOUBLE) / total_accounts * 100.0 AS penetration,
+     """SELECT total_cards, total_accounts, CAST(total_cards AS DOUBLE) / NULLIF(total_accounts, 0) * 100.0 AS penetration,
                total_accounts - total_cards AS accounts_without_card
         FROM (SELECT count(*) AS total_cards FROM card) c, (SELECT count(DISTINCT account_id) AS total_accounts FROM account) a""",
      ["penetration"])

@@ -12,7 +12,7 @@ def _reg(name, fn, sql, doubles=()):
 
 
 _RATIO = """(
-  SELECT account_id, Credit, Debit, Debit / (Credit + Debit + 1.0) AS debit_ratio FROM (
+  SELECT account_id, Credit, Debit, Debit / NULLIF(Credit + Debit + 1.0, 0) AS debit_ratio FROM (
     SELECT account_id,
            CAST(COALESCE(sum(CASE WHEN type_lbl = 'Credit' THEN CAST(amount AS DECIMAL(18,2)) END), 0) AS DOUBLE) AS Credit,
            CAST(COALESCE(sum(CASE WHEN type_lbl = 'Debit' THEN CAST(amount AS DECIMAL(18,2)) END), 0) AS DOUBLE) AS Debit
@@ -126,7 +126,7 @@ _DORM = f"""(SELECT a.*, CASE WHEN d.account_id IS NULL THEN 0 ELSE 1 END AS is_
 _reg("b5_dormant_ids", G.b5_dormant_ids, f"SELECT * FROM {_DORM_IDS} d")
 _reg("b5_dormant", G.b5_dormant,
      f"""SELECT active_accounts, total_accounts, dormant_accounts,
-                CAST(dormant_accounts AS DOUBLE) / total_accounts * 100.0 AS dormant_rate FROM
+                CAST(dormant_accounts AS DOUBLE) / NULLIF(total_accounts, 0) * 100.0 AS dormant_rate FROM
           (SELECT count(DISTINCT account_id) AS active_accounts FROM trans) x,
           (SELECT count(DISTINCT account_id) AS total_accounts FROM account) y,
           (SELECT count(*) AS dormant_accounts FROM {_DORM_IDS} d) z""", ["dormant_rate"])
@@ -144,7 +144,7 @@ _reg("b6_year_type", G.b6_year_type,
                CAST(sum(CASE WHEN type_lbl = 'Debit' THEN CAST(amount AS DECIMAL(18,2)) END) AS DOUBLE) AS Debit
         FROM trans_p WHERE year IS NOT NULL AND type_lbl IS NOT NULL GROUP BY year""", ["Credit", "Debit"])
 _reg("b6_yoy", G.b6_yoy,
-     f"""SELECT year, type_lbl, amount, prev_amount, (amount - prev_amount) / prev_amount * 100.0 AS yoy_growth_pct
+     f"""SELECT year, type_lbl, amount, prev_amount, (amount - prev_amount) / NULLIF(prev_amount, 0) * 100.0 AS yoy_growth_pct
          FROM (SELECT *, lag(amount) OVER (PARTITION BY type_lbl ORDER BY year) AS prev_amount FROM {_YT} y) z""",
      ["amount", "prev_amount", "yoy_growth_pct"])
 _reg("b6_op_heatmap", G.b6_op_heatmap,

@@ -6,7 +6,7 @@ from .registry import prepared, query, raw
 
 _KPI_SQL = """
 WITH ratio AS (
-  SELECT Debit / (Credit + Debit + 1.0) AS debit_ratio FROM (
+  SELECT Debit / NULLIF(Credit + Debit + 1.0, 0) AS debit_ratio FROM (
     SELECT account_id,
            CAST(COALESCE(sum(CASE WHEN type_lbl = 'Credit' THEN CAST(amount AS DECIMAL(18,2)) END), 0) AS DOUBLE) AS Credit,
            CAST(COALESCE(sum(CASE WHEN type_lbl = 'Debit' THEN CAST(amount AS DECIMAL(18,2)) END), 0) AS DOUBLE) AS Debit
@@ -25,8 +25,8 @@ w AS (
     (SELECT count(*) FROM loan) AS total_loans,
     (SELECT CAST(COALESCE(sum(CAST(amount AS DECIMAL(18,2))), 0) AS DOUBLE) FROM loan) AS total_exposure,
     (SELECT avg(is_default) * 100.0 FROM loan_cli) AS default_rate,
-    (SELECT CAST(count(*) AS DOUBLE) FROM card) / (SELECT count(DISTINCT account_id) FROM account) * 100.0 AS card_penetration,
-    (SELECT CAST(n AS DOUBLE) FROM dorm) / (SELECT count(DISTINCT account_id) FROM account) * 100.0 AS dormant_rate,
+    (SELECT CAST(count(*) AS DOUBLE) FROM card) / NULLIF((SELECT count(DISTINCT account_id) FROM account), 0) * 100.0 AS card_penetration,
+    (SELECT CAST(n AS DOUBLE) FROM dorm) / NULLIF((SELECT count(DISTINCT account_id) FROM account), 0) * 100.0 AS dormant_rate,
     (SELECT avg(CASE WHEN debit_ratio > (SELECT quantile_cont(debit_ratio, 0.75) FROM ratio) THEN 1 ELSE 0 END) * 100.0
        FROM ratio) AS high_debit_rate,
     (SELECT avg(acc_per_1000) FROM acc_district) AS avg_penetration,

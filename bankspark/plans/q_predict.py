@@ -130,13 +130,13 @@ _ROC = """, g AS (
 
 
 @query("metric_roc_points", _C1 + _FIX + _ROC + """
-  SELECT score, tp, fp, tp / P AS tpr, fp / N AS fpr, pos, neg, P, N FROM roc""", ["score", "tpr", "fpr"])
+  SELECT score, tp, fp, tp / NULLIF(P, 0) AS tpr, fp / NULLIF(N, 0) AS fpr, pos, neg, P, N FROM roc""", ["score", "tpr", "fpr"])
 def metric_roc_points(spark, d):
     return C.roc_points(fixed_scored(spark, d))
 
 
 @query("metric_auc", _C1 + _FIX + _ROC + """
-  SELECT sum(neg * (2 * tp - pos)) / (2.0 * first(P) * first(N)) AS auc FROM roc""", ["auc"])
+  SELECT sum(neg * (2 * tp - pos)) / NULLIF(2.0 * first(P) * first(N), 0) AS auc FROM roc""", ["auc"])
 def metric_auc(spark, d):
     return C.auc(fixed_scored(spark, d))
 

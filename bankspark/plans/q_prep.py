@@ -95,12 +95,12 @@ def join_owners(spark, d):
     return P.owners(raw(spark, d)["disp"])
 
 
-@query("join_acc_cli", "SELECT * FROM acc_cli", doubles=["avg_salary", "unemp_96"])
+@query("join_acc_cli", "SELECT * FROM acc_cli", doubles=["unemp_96"])
 def join_acc_cli(spark, d):
     return prepared(spark, d)["acc_cli"]
 
 
-@query("join_loan_cli", "SELECT * FROM loan_cli", doubles=["amount", "payments", "avg_salary", "unemp_96"])
+@query("join_loan_cli", "SELECT * FROM loan_cli", doubles=["amount", "payments", "unemp_96"])
 def join_loan_cli(spark, d):
     return prepared(spark, d)["loan_cli"]
 
@@ -115,7 +115,7 @@ def join_card_flag(spark, d):
     return prepared(spark, d)["card_flag"]
 
 
-@query("agg_acc_district", "SELECT * FROM acc_district", doubles=["avg_salary", "unemp_96", "acc_per_1000"])
+@query("agg_acc_district", "SELECT * FROM acc_district", doubles=["unemp_96", "acc_per_1000"])
 def agg_acc_district(spark, d):
     return prepared(spark, d)["acc_district"]
 
