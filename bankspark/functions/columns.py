@@ -33,22 +33,35 @@ def flag(cond: Column) -> Column:
 
 
 def money(c) -> Column:
-    """Amount as exact cents, so sums do not depend on summation order."""
+    """Amount as an exact DECIMAL(18,2), so sums do not depend on summation order."""
     return col_(c).cast("decimal(18,2)")
 
 
-def money_sum(c) -> Column:
+def cents(c) -> Column:
+    """Amount as whole cents in a BIGINT (exact, and summed on the fast integer path)."""
+    return F.round(col_(c).cast("double") * F.lit(100.0)).cast("long")
+
+
+def _sum(c, per_key: bool) -> Column:
+    # per_key: the sum of one account (or account-month) cannot reach 9e16 currency units, so
+    # BIGINT cents are exact and fast; totals over whole tables use DECIMAL, which cannot overflow
+    if per_key:
+        return F.sum(cents(c)).cast("double") / F.lit(100.0)
+    return F.sum(money(c)).cast("double")
+
+
+def money_sum(c, per_key: bool = False) -> Column:
     """Exact sum of an amount column returned as DOUBLE; 0 over no rows (pandas)."""
-    return F.coalesce(F.sum(money(c)), F.lit(0).cast("decimal(28,2)")).cast("double")
+    return F.coalesce(_sum(c, per_key), F.lit(0.0))
 
 
-def money_sum_where(c, cond: Column) -> Column:
-    return F.coalesce(F.sum(F.when(cond, money(c))), F.lit(0).cast("decimal(28,2)")).cast("double")
+def money_sum_where(c, cond: Column, per_key: bool = False) -> Column:
+    return F.coalesce(_sum(F.when(cond, col_(c)), per_key), F.lit(0.0))
 
 
-def money_mean(c) -> Column:
+def money_mean(c, per_key: bool = False) -> Column:
     """Mean of an amount column from its exact sum; NULL over no rows."""
-    return (F.sum(money(c)).cast("double") / F.count(col_(c))).cast("double")
+    return (_sum(c, per_key) / F.count(col_(c))).cast("double")
 
 
 def pct(cond_or_flag: Column) -> Column:

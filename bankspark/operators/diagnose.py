@@ -26,8 +26,8 @@ def b1_debit_ratio(p: dict) -> DataFrame:
     """
     t = p["transaction"].where(F.col("type_lbl").isNotNull() & F.col("account_id").isNotNull())
     return (t.groupBy("account_id")
-            .agg(money_sum_where("amount", F.col("type_lbl") == F.lit("Credit")).alias("Credit"),
-                 money_sum_where("amount", F.col("type_lbl") == F.lit("Debit")).alias("Debit"))
+            .agg(money_sum_where("amount", F.col("type_lbl") == F.lit("Credit"), per_key=True).alias("Credit"),
+                 money_sum_where("amount", F.col("type_lbl") == F.lit("Debit"), per_key=True).alias("Debit"))
             .withColumn("debit_ratio", safe_div(F.col("Debit"), F.col("Credit") + F.col("Debit") + F.lit(1.0))))
 
 
@@ -145,8 +145,8 @@ def b4_adoption(p: dict) -> DataFrame:
 
 def txn_by_account(trans: DataFrame) -> DataFrame:
     return (trans.where(F.col("account_id").isNotNull()).groupBy("account_id")
-            .agg(F.count("trans_id").alias("txn_count"), money_mean("amount").alias("avg_txn"),
-                 money_mean("balance").alias("avg_bal")))
+            .agg(F.count("trans_id").alias("txn_count"), money_mean("amount", per_key=True).alias("avg_txn"),
+                 money_mean("balance", per_key=True).alias("avg_bal")))
 
 
 def b4_txn_by_account(p: dict) -> DataFrame:

@@ -215,10 +215,10 @@ def txn_feat(trans_p: DataFrame) -> DataFrame:
     return (trans_p.where(F.col("account_id").isNotNull())
             .groupBy("account_id")
             .agg(F.count("trans_id").alias("txn_count"),
-                 money_mean("amount").alias("avg_txn_amount"),
-                 money_mean("balance").alias("avg_balance"),
-                 money_sum_where("amount", F.col("type_lbl") == F.lit("Credit")).alias("total_credit"),
-                 money_sum_where("amount", F.col("type_lbl") == F.lit("Debit")).alias("total_debit")))
+                 money_mean("amount", per_key=True).alias("avg_txn_amount"),
+                 money_mean("balance", per_key=True).alias("avg_balance"),
+                 money_sum_where("amount", F.col("type_lbl") == F.lit("Credit"), per_key=True).alias("total_credit"),
+                 money_sum_where("amount", F.col("type_lbl") == F.lit("Debit"), per_key=True).alias("total_debit")))
 
 
 ML_MEDIAN_COLS = ["age", "avg_salary", "avg_txn_amount", "avg_balance", "txn_count"]
