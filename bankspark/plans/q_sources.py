@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from ..operators import quality as Q
 from ..plans.session import ensure_checkpoint_dir
 from ..sources import files as S
-from ..sources import jdbc as J
 from .registry import query, raw
 
 _TRANS_D = ["amount", "balance"]
@@ -61,20 +60,6 @@ def src_csv_row_counts(spark, d):
     return Q.row_counts(S.read_tables(spark, folder))
 
 
-_DERBY_TABLES = {"account": "ACCOUNT", "client": "CLIENT", "district": "DISTRICT", "disp": "DISP", "card": "CARD",
-                 "loan": "LOAN", "orders": "BANK_ORDER", "transaction": "TRANS"}
-
-
-@query("src_jdbc_roundtrip", "SELECT * FROM trans", _TRANS_D)
-def src_jdbc_roundtrip(spark, d):
-    """Transactions through an in-process database (embedded Derby, no server), read in 4 key ranges."""
-    url = f"jdbc:derby:memory:bank{uuid.uuid4().hex[:8]};create=true"
-    _, props = J.jdbc_options(url=url, driver="org.apache.derby.jdbc.EmbeddedDriver")
-    J.write_tables_jdbc(raw(spark, d), url, props, tables=_DERBY_TABLES)
-    back = J.read_tables_jdbc(spark, url, props, tables=_DERBY_TABLES, quote="ansi", partitions=4)
-    return back["transaction"]
-
-
 @query("src_merge_years", "SELECT * FROM trans", _TRANS_D)
 def src_merge_years(spark, d):
     """An empty clone of the transaction table, then one yearly slice appended per year (UNION ALL)."""
@@ -84,15 +69,3 @@ def src_merge_years(spark, d):
     parts.append(trans.where(F.col("Date").isNull()))
     return S.merge_years(S.empty_like(trans), *parts)
 
-
-@query("export_jdbc_to_csv", "SELECT * FROM loan", ["amount", "payments"])
-def export_jdbc_to_csv(spark, d):
-    """The export run: database tables (embedded Derby here) -> ;-CSV files in key ranges -> read back."""
-    from .pipeline import export
-
-    url = f"jdbc:derby:memory:exp{uuid.uuid4().hex[:8]};create=true"
-    _, props = J.jdbc_options(url=url, driver="org.apache.derby.jdbc.EmbeddedDriver")
-    J.write_tables_jdbc(raw(spark, d), url, props, tables=_DERBY_TABLES)
-    folder = _scratch(spark, "export")
-    export(spark, url, props, folder, tables=_DERBY_TABLES, partitions=4)
-    return S.read_tables(spark, folder)["loan"]
