@@ -314,8 +314,8 @@ def running_totals(df: DataFrame, order_col: str, cols, by=(), ascending: bool =
     Rows are cut into ``buckets`` ranges of the order column at approximate quantiles (one
     sketch job; the limits only balance the work); each range is summed, the range offsets
     (at most groups × buckets numbers) are broadcast, and a window partitioned by (group,
-    range) adds the running sum inside the range, so the totals are exact. Rows with equal order values share a range, so ties are
-    never split; ``tie`` columns order rows inside a tie. The order column must be non-NULL.
+    range) adds the running sum inside the range, so the totals are exact. Groups of at most
+    ``one_range_max`` rows skip the ranges. Rows with equal order values share a range, so ties are never split; ``tie`` columns order rows inside a tie. The order column must be non-NULL.
     ``cols`` may name a column or be ``"1"`` for a running row count (``cum_1``).
     """
     by = list(by)
@@ -334,6 +334,14 @@ def running_totals(df: DataFrame, order_col: str, cols, by=(), ascending: bool =
         for r in grouped.agg(F.percentile_approx(F.col(order_col).cast("double"), probs, 10 * buckets)
                              .alias("_b")).collect():
             picked[tuple(r[b] for b in by)] = r["_b"] or []
+    order = [F.asc(order_col) if ascending else F.desc(order_col)] + [F.asc(t) for t in ([tie] if isinstance(tie, str) else tie)]
+    w = Window.partitionBy(*by, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    if not picked:
+        # one range per group (each at most one_range_max rows): no offsets to add
+        out = data.withColumn("_bucket", F.lit(0))
+        for i, c in enumerate(cols):
+            out = out.withColumn(prefix + c, F.sum(f"_c{i}").over(w))
+        return out.drop("_bucket", *[f"_c{i}" for i in range(len(cols))])
     v = F.col(order_col).cast("double")
     bucket = None
     for g in counts:
@@ -359,8 +367,6 @@ def running_totals(df: DataFrame, order_col: str, cols, by=(), ascending: bool =
                        [f"_o{i} {'bigint' if types[f'_c{i}'] in ('int', 'bigint', 'smallint') else 'double'}"
                         for i in range(len(cols))])
     offsets = F.broadcast(spark.createDataFrame(rows, schema))  # groups x buckets rows at most
-    order = [F.asc(order_col) if ascending else F.desc(order_col)] + [F.asc(t) for t in ([tie] if isinstance(tie, str) else tie)]
-    w = Window.partitionBy(*by, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = data.join(offsets, by + ["_bucket"], "left")
     for i, c in enumerate(cols):
         out = out.withColumn(prefix + c, F.col(f"_o{i}") + F.sum(f"_c{i}").over(w))
