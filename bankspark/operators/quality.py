@@ -175,19 +175,42 @@ KEYS = {"account": "account_id", "client": "client_id", "loan": "loan_id", "card
         "orders": "order_id", "transaction": "trans_id", "disp": "disp_id"}
 
 
+def row_checks(t: dict) -> dict:
+    """Per table, every check that looks at one row at a time: {table: {check name: condition}}."""
+    checks: dict = {}
+    for tab, cols in NULL_CHECK_COLS.items():
+        if tab in t:
+            checks[tab] = {f"null_{c.lower()}": F.col(c).isNull() for c in cols if c in t[tab].columns}
+    checks["transaction"].update({
+        "non_positive_amount": F.col("amount") <= 0,
+        "non_positive_balance": F.col("balance") <= 0,
+        "negative_balance": F.col("balance") < 0})
+    checks["loan"].update({
+        "non_positive_loan_amount": F.col("amount") <= 0,
+        "status_outside_domain": ~F.col("status").isin(VALID_STATUS)})
+    m = birth_month_raw("birth_number", True)
+    checks["client"].update({
+        "invalid_birth_number_length": ~F.length(birth_text("birth_number", pad=False)).isin(5, 6),
+        "invalid_month_in_birth_number": ~m.between(1, 12) & ~m.between(51, 62)})
+    return checks
+
+
 def run_checks(t: dict) -> DataFrame:
-    """All counting checks as one long table: check, table, value (BIGINT)."""
+    """All counting checks as one long table: check, table, value (BIGINT).
+
+    Row-level checks of a table are fused into one aggregation (one scan per table);
+    duplicate, orphan and date-order checks need their own grouping or join.
+    """
     def one(df, check, table, col="v"):
         return df.select(F.lit(check).alias("check"), F.lit(table).alias("table"), F.col(col).cast("long").alias("value"))
 
     parts = []
+    for tab, conds in row_checks(t).items():
+        wide = counts_where(t[tab], conds)
+        parts.append(wide.unpivot([], wide.columns, "check", "value")
+                     .select("check", F.lit(tab).alias("table"), F.col("value").cast("long").alias("value")))
     for tab, key in KEYS.items():
         parts.append(one(duplicate_keys(t[tab], key).agg(F.count(F.lit(1)).alias("v")), "duplicate_keys", tab))
-    for tab, cols in NULL_CHECK_COLS.items():
-        prof = null_profile(t[tab], [c for c in cols if c in t[tab].columns])
-        # one pass per table, unpivoted to one row per column
-        parts.append(prof.unpivot([], prof.columns, "check", "value")
-                     .select("check", F.lit(tab).alias("table"), F.col("value").cast("long").alias("value")))
     refs = [("transaction", "account", "account_id", "account_id"), ("loan", "account", "account_id", "account_id"),
             ("orders", "account", "account_id", "account_id"), ("card", "disp", "disp_id", "disp_id"),
             ("disp", "client", "client_id", "client_id"), ("disp", "account", "account_id", "account_id"),
@@ -198,15 +221,4 @@ def run_checks(t: dict) -> DataFrame:
                      "loan_before_account", "loan"))
     parts.append(one(card_before_account(t["card"], t["disp"], t["account"]).agg(F.count(F.lit(1)).alias("v")),
                      "card_before_account", "card"))
-    amounts = counts_where(t["transaction"], {"a": F.col("amount") <= 0, "b": F.col("balance") <= 0,
-                                              "c": F.col("balance") < 0})
-    parts.append(amounts.selectExpr(
-        "stack(3, 'non_positive_amount', a, 'non_positive_balance', b, 'negative_balance', c) AS (check, value)")
-        .select("check", F.lit("transaction").alias("table"), F.col("value").cast("long").alias("value")))
-    parts.append(one(count_where(t["loan"], F.col("amount") <= 0, "v"), "non_positive_loan_amount", "loan"))
-    parts.append(one(status_outside(t["loan"]).agg(F.count(F.lit(1)).alias("v")), "status_outside_domain", "loan"))
-    parts.append(one(birth_length(t["client"]), "invalid_birth_number_length", "client",
-                     "invalid_birth_number_length"))
-    parts.append(one(birth_month_invalid(t["client"]), "invalid_month_in_birth_number", "client",
-                     "invalid_month_in_birth_number"))
     return reduce(DataFrame.unionByName, parts)
