@@ -16,7 +16,7 @@ TYPE_CODES = {
     "D": "Debit",
 }
 
-# Notebook variant 1: only the two Czech codes, matched as they are.
+# Notebook variant 1: only the two original codes, matched as they are.
 TYPE_CODES_NOTEBOOK = {"PRIJEM": "Credit", "VYDAJ": "Debit"}
 
 # Notebook variant 2: value replacement that keeps every other value.
