@@ -254,7 +254,13 @@ def prepare(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
     disp = t["disp"]
     own = owners(disp)
     holders = card_holders(disp, card)
-    small = district_is_small(district)
+    small = getattr(t["district"], "_bankspark_small", None)
+    if small is None:  # one bounded count per district plan object
+        small = district_is_small(district)
+        try:
+            t["district"]._bankspark_small = small
+        except AttributeError:
+            pass
     return {
         "account": account, "client": client, "district": district, "disp": disp, "card": card,
         "loan": loan, "orders": t["orders"], "transaction": trans, "owners": own,
