@@ -83,7 +83,7 @@ def dq_run_checks(spark, d):
 @query("kpi_summary_with_models")
 def kpi_summary_with_models(spark, d):
     """The whole analysis with prepared tables cached: 15 KPIs plus model AUC and forecast R² (rows only)."""
-    from ..plans.pipeline import run_all
+    from ..plans.full_run import run_all
 
     return run_all(spark, raw(spark, d))["kpis"]
 
@@ -96,6 +96,6 @@ def kpi_summary_with_models(spark, d):
     UNION ALL SELECT 'transaction', 'type_lbl', count(*), count(type_lbl) FROM trans_p) g""")
 def prep_parse_guard(spark, d):
     """Rows and parsed values of the parsed date / type columns; all_null flags a silent parse failure."""
-    from ..plans.pipeline import parse_report
+    from ..plans.full_run import parse_report
 
     return parse_report(prepared(spark, d))

@@ -93,7 +93,7 @@ def test_read_tables_jdbc_all_eight(spark, raw0001):
 
 
 def test_export_jdbc_to_csv(spark, raw0001):
-    from bankspark.plans.pipeline import export
+    from bankspark.plans.full_run import export
 
     url, props = _derby("bankexp")
     J.write_tables_jdbc(raw0001, url, props, tables=DERBY_TABLES)
