@@ -2,7 +2,9 @@
 and the database-to-CSV export.
 
 Prepared tables that several analyses read are persisted once (MEMORY_AND_DISK: lost
-blocks are recomputed from lineage) and released at the end.
+blocks are recomputed from lineage) and released at the end. Only the joined and
+per-account tables are kept: the transaction table itself is the largest input by far,
+and a column-pruned parquet re-scan per analysis is cheaper than spilling all of it.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from ..sources import jdbc as J
 
 log = logging.getLogger(__name__)
 
-CACHED = ("transaction", "acc_cli", "loan_cli")
+CACHED = ("acc_cli", "loan_cli", "txn_feat", "card_flag")
 
 
 def persist_prepared(p: dict, names=CACHED) -> dict:
