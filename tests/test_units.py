@@ -130,3 +130,55 @@ def test_model_fit_and_reload(spark, tmp_path):
     assert {r["risk"] for r in scored.select("risk").distinct().collect()} <= {"HIGH", "LOW"}
     names = [f for f, _ in C.coefficients(model)]
     assert sorted(names) == ["amount", "duration"]
+
+
+def test_safe_div_by_zero_is_null(spark):
+    from bankspark.functions.columns import safe_div
+
+    df = spark.createDataFrame([(1.0, 0.0), (4.0, 2.0)], "a double, b double")
+    assert [r[0] for r in df.select(safe_div(F.col("a"), F.col("b"))).collect()] == [None, 2.0]
+
+
+def test_birth_number_stored_as_float(spark):
+    df = spark.createDataFrame([(1, 95412.0, 1)], "client_id bigint, birth_number double, district_id int")
+    r = P.prep_client(df).first()
+    assert r["birth_number"] == "095412" and r["gender"] == "F" and r["birth_year"] == 1909
+
+
+def test_top_n_nulls_last(spark):
+    df = spark.createDataFrame([(1, None), (2, 5.0), (3, 1.0), (4, 1.0)], "id int, v double")
+    asc = [r["id"] for r in S.top_n(df, "v", 3, tie="id", ascending=True).collect()]
+    desc = [r["id"] for r in S.top_n(df, "v", 4, tie="id").collect()]
+    assert asc == [3, 4, 2] and desc == [2, 3, 4, 1]
+
+
+def test_scaler_uses_population_std(spark):
+    from bankspark.operators.predict import scaler_stats
+
+    df = spark.createDataFrame([(1.0, 7.0), (2.0, 7.0), (3.0, 7.0), (4.0, 7.0)], "x double, c double")
+    st = {r["feature"]: (r["mean"], r["std"]) for r in scaler_stats(df, ["x", "c"]).collect()}
+    assert st["x"][0] == 2.5 and abs(st["x"][1] - 1.118033988749895) < 1e-12
+    assert st["c"] == (7.0, 1.0)  # zero spread -> 1
+
+
+def test_hist_bins_partition_rows(spark):
+    df = spark.range(0, 997).selectExpr("id % 13 AS g", "sqrt(id) * 3.7 AS v")
+    h = S.hist(df, "v", 17, by="g")
+    per_group = {r["g"]: r["n"] for r in h.groupBy("g").agg(F.sum("count").alias("n")).collect()}
+    want = {r["g"]: r["count"] for r in df.groupBy("g").count().collect()}
+    assert per_group == want
+
+
+def test_pivot_totals_equal_group_totals(spark):
+    df = spark.range(0, 500).selectExpr("CAST(id % 7 AS STRING) AS k", "IF(id % 3 = 0, 'F', 'M') AS g")
+    piv = {r["k"]: r["F"] + r["M"] for r in A.pivot_counts(df, "k", "g", ["F", "M"]).collect()}
+    assert piv == {r["k"]: r["count"] for r in df.groupBy("k").count().collect()}
+
+
+def test_orphans_plus_matched_is_all(spark):
+    child = spark.range(0, 300).selectExpr("IF(id % 10 = 0, NULL, id % 37) AS k")
+    parent = spark.range(0, 20).selectExpr("id AS k")
+    orph = Q.orphans(child, parent, "k").first()[0]
+    matched = child.join(parent.distinct(), "k", "left_semi").count()
+    assert orph + matched == child.count()
+    assert Q.orphan_rows(child, parent, "k").count() == orph  # NULL keys never match: they are orphans too
