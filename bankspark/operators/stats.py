@@ -307,6 +307,25 @@ def linear_trend(df: DataFrame, x: str, y: str, points: int = 100) -> DataFrame:
 
 # ---------------------------------------------------------------- running totals
 
+def range_index(v: Column, bounds, ascending: bool = True) -> Column:
+    """Index of the range of ``v`` among sorted ``bounds``: the number of bounds below ``v``
+    (above it when descending). A balanced CASE tree: log2(len(bounds)) comparisons per row,
+    all inside generated code."""
+    bounds = [float(b) for b in bounds]
+    k = len(bounds)
+
+    def node(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        if ascending:   # index >= mid + 1  <=>  bounds[mid] < v
+            return F.when(F.lit(bounds[mid]) < v, node(mid + 1, hi)).otherwise(node(lo, mid))
+        # descending: index = k - #(bounds <= v); bounds[k-1-mid] > v  <=>  index >= mid + 1
+        return F.when(F.lit(bounds[k - 1 - mid]) > v, node(mid + 1, hi)).otherwise(node(lo, mid))
+
+    return node(0, k)
+
+
 def running_totals(df: DataFrame, order_col: str, cols, by=(), ascending: bool = True, tie=(),
                    buckets: int = 64, prefix: str = "cum_", one_range_max: int = RUNNING_ONE_RANGE) -> DataFrame:
     """Cumulative sums of ``cols`` in ``order_col`` order within each ``by`` group, without a one-task window.
@@ -346,8 +365,7 @@ def running_totals(df: DataFrame, order_col: str, cols, by=(), ascending: bool =
     bucket = None
     for g in counts:
         bounds = sorted(set(picked.get(g) or []))
-        arr = F.array(*[F.lit(float(b)) for b in bounds]) if bounds else F.array().cast("array<double>")
-        bexpr = F.size(F.filter(arr, (lambda x: x < v) if ascending else (lambda x: x > v)))
+        bexpr = range_index(v, bounds, ascending)
         cond = _groups_filter(by, g)
         bucket = F.when(cond, bexpr) if bucket is None else bucket.when(cond, bexpr)
     data = data.withColumn("_bucket", bucket if bucket is not None else F.lit(0))

@@ -105,3 +105,19 @@ def test_boxplot_matches_pandas(spark):
     assert math.isclose(r["q1"], q1) and math.isclose(r["q3"], q3) and math.isclose(r["median"], s.median())
     inside = s[(s >= q1 - 1.5 * (q3 - q1)) & (s <= q3 + 1.5 * (q3 - q1))]
     assert r["whisker_lo"] == inside.min() and r["whisker_hi"] == inside.max() and r["outliers"] == 2
+
+
+def test_range_index_matches_count(spark):
+    import random
+
+    rnd = random.Random(7)
+    bounds = sorted(rnd.sample(range(-500, 500), 37))
+    xs = [float(rnd.randint(-600, 600)) for _ in range(300)] + [float(b) for b in bounds]
+    df = spark.createDataFrame([(x,) for x in xs], "v double")
+    from pyspark.sql import functions as F
+
+    got = df.select("v", S.range_index(F.col("v"), bounds).alias("a"),
+                    S.range_index(F.col("v"), bounds, ascending=False).alias("d")).collect()
+    for r in got:
+        assert r["a"] == sum(1 for b in bounds if b < r["v"])
+        assert r["d"] == sum(1 for b in bounds if b > r["v"])
