@@ -69,3 +69,11 @@ def src_merge_years(spark, d):
     parts.append(trans.where(F.col("Date").isNull()))
     return S.merge_years(S.empty_like(trans), *parts)
 
+
+
+@query("src_parquet_roundtrip", "SELECT * FROM trans", _TRANS_D)
+def src_parquet_roundtrip(spark, d):
+    """The 8 tables written as Parquet and read back with the typed Parquet reader."""
+    folder = _scratch(spark, "parquet")
+    S.write_parquet_tables(raw(spark, d), folder)
+    return S.read_parquet_tables(spark, folder)["transaction"]

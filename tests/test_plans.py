@@ -11,7 +11,7 @@ from .conftest import SF0001
 
 # queries that write or fit before returning (their plans are checked through the parts they reuse)
 SKIP = {"kpi_summary_with_models", "c1_fit_coefficients", "c1_model_metrics", "c1_model_report",
-        "c2_model_metrics", "c2_scatter", "c2_residuals", "c_score_loans", "src_csv_roundtrip", "src_csv_gz_roundtrip", "src_csv_row_counts"}
+        "c2_model_metrics", "c2_scatter", "c2_residuals", "c_score_loans", "src_csv_roundtrip", "src_parquet_roundtrip", "src_csv_gz_roundtrip", "src_csv_row_counts"}
 NAMES = sorted(n for n in E.queries() if n not in SKIP)
 # running totals over at most RUNNING_ONE_RANGE rows may use one ordered window (a proven bound);
 # larger inputs switch to range-partitioned windows (test_running_totals_plan_is_partitioned)
