@@ -69,7 +69,9 @@ def select_ranks(df: DataFrame, col: str, ranks: dict, by=(), buckets: int = SEL
             key = None
             for i, ((g, lo, hi, _), _) in enumerate(ivs):
                 inside = _groups_filter(by, g) & (F.col("_v") >= F.lit(lo)) & (F.col("_v") <= F.lit(hi))
-                b = F.least(F.floor((F.col("_v") - F.lit(lo)) * F.lit(buckets / (hi - lo))),
+                # (v - lo) / (hi - lo) stays in [0, 1] even for tiny ranges, so lo lands in the
+                # first bucket and hi in the last: every pass splits the interval
+                b = F.least(F.floor((F.col("_v") - F.lit(lo)) / F.lit(hi - lo) * F.lit(float(buckets))),
                             F.lit(buckets - 1)).cast("long")
                 k = F.lit(i * buckets).cast("long") + b
                 key = F.when(inside, k) if key is None else key.when(inside, k)

@@ -121,3 +121,11 @@ def test_range_index_matches_count(spark):
     for r in got:
         assert r["a"] == sum(1 for b in bounds if b < r["v"])
         assert r["d"] == sum(1 for b in bounds if b > r["v"])
+
+
+def test_select_ranks_tiny_ranges_terminate(spark):
+    xs = [1e-310 * i for i in range(1, 40)] + [5e-324, 0.0, -5e-324]
+    df = spark.createDataFrame([(x,) for x in xs], "v double")
+    srt = sorted(xs)
+    got = S.select_ranks(df, "v", {(): [0, 7, 20, 41]}, buckets=4, small=2)[()]
+    assert [got[r] for r in (0, 7, 20, 41)] == [srt[r] for r in (0, 7, 20, 41)]
