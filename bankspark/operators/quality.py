@@ -44,6 +44,25 @@ def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str
     return missing.agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias(name))
 
 
+def orphans_many(children: dict, parent: DataFrame, parent_key: str, name: str = "orphans") -> DataFrame:
+    """Orphan counts of several child tables against one parent in a single join.
+
+    ``children`` maps a label to (child DataFrame, child key). The children's per-key counts
+    are tagged and unioned, joined once to the parent's distinct keys, and summed per label.
+    Returns (child, ``name``) with one row per label (0 when none).
+    """
+    from functools import reduce as _reduce
+
+    tagged = [df.groupBy(F.col(key).alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
+              .select(F.lit(label).alias("child"), "_k", "_n") for label, (df, key) in children.items()]
+    keys = _reduce(DataFrame.unionByName, tagged)
+    parents = (parent.select(F.col(parent_key).alias("_k")).where(F.col("_k").isNotNull())
+               .groupBy("_k").agg(F.lit(1).alias("_p")))
+    joined = keys.join(parents, "_k", "left")
+    return (joined.groupBy("child")
+            .agg(F.sum(F.when(F.col("_p").isNull(), F.col("_n")).otherwise(F.lit(0))).cast("long").alias(name)))
+
+
 def orphan_rows(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str | None = None) -> DataFrame:
     """The child rows themselves whose key has no parent."""
     parent_key = parent_key or child_key
@@ -211,12 +230,15 @@ def run_checks(t: dict) -> DataFrame:
                      .select("check", F.lit(tab).alias("table"), F.col("value").cast("long").alias("value")))
     for tab, key in KEYS.items():
         parts.append(one(duplicate_keys(t[tab], key).agg(F.count(F.lit(1)).alias("v")), "duplicate_keys", tab))
-    refs = [("transaction", "account", "account_id", "account_id"), ("loan", "account", "account_id", "account_id"),
-            ("orders", "account", "account_id", "account_id"), ("card", "disp", "disp_id", "disp_id"),
-            ("disp", "client", "client_id", "client_id"), ("disp", "account", "account_id", "account_id"),
-            ("account", "district", "district_id", "A1"), ("client", "district", "district_id", "A1")]
-    for ch, pa, ck, pk in refs:
-        parts.append(one(orphans(t[ch], t[pa], ck, pk, "v"), f"orphans_{pa}", ch))
+    # one join per parent table, however many children point at it
+    refs = {("account", "account_id"): [("transaction", "account_id"), ("loan", "account_id"),
+                                        ("orders", "account_id"), ("disp", "account_id")],
+            ("disp", "disp_id"): [("card", "disp_id")],
+            ("client", "client_id"): [("disp", "client_id")],
+            ("district", "A1"): [("account", "district_id"), ("client", "district_id")]}
+    for (pa, pk), kids in refs.items():
+        many = orphans_many({ch: (t[ch], ck) for ch, ck in kids}, t[pa], pk, "value")
+        parts.append(many.select(F.lit(f"orphans_{pa}").alias("check"), F.col("child").alias("table"), "value"))
     parts.append(one(date_order(t["loan"], t["account"], "account_id", "date", "date").agg(F.count(F.lit(1)).alias("v")),
                      "loan_before_account", "loan"))
     parts.append(one(card_before_account(t["card"], t["disp"], t["account"]).agg(F.count(F.lit(1)).alias("v")),

@@ -182,3 +182,11 @@ def test_orphans_plus_matched_is_all(spark):
     matched = child.join(parent.distinct(), "k", "left_semi").count()
     assert orph + matched == child.count()
     assert Q.orphan_rows(child, parent, "k").count() == orph  # NULL keys never match: they are orphans too
+
+
+def test_orphans_many_matches_single(spark):
+    a = spark.range(0, 200).selectExpr("IF(id % 9 = 0, NULL, id % 41) AS k")
+    b = spark.range(0, 100).selectExpr("id % 53 AS j")
+    parent = spark.range(0, 30).selectExpr("id AS p")
+    many = {r["child"]: r["orphans"] for r in Q.orphans_many({"a": (a, "k"), "b": (b, "j")}, parent, "p").collect()}
+    assert many == {"a": Q.orphans(a, parent, "k", "p").first()[0], "b": Q.orphans(b, parent, "j", "p").first()[0]}
