@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.codes import AGE_LABELS
 from ..functions.columns import flag, money_mean, money_sum, money_sum_where, pct, safe_div
 from .stats import hist, top_n, value_counts, with_share
 
@@ -53,9 +54,16 @@ def a1_age_counts(p: dict) -> DataFrame:
     return c.groupBy("age_group", "age_group_ord").agg(F.count(F.lit(1)).alias("count"))
 
 
-def a1_age_by_gender(p: dict) -> DataFrame:
-    """Present age bands × gender (F, M), 0-filled."""
-    return pivot_counts(p["client"], ["age_group", "age_group_ord"], "gender", ["F", "M"])
+def a1_age_by_gender(p: dict, all_bands: bool = False) -> DataFrame:
+    """Age bands × gender (F, M), 0-filled. Only bands that occur, unless ``all_bands`` adds
+    the empty ones with zeros (older pandas versions emit them)."""
+    counts = pivot_counts(p["client"], ["age_group", "age_group_ord"], "gender", ["F", "M"])
+    if not all_bands:
+        return counts
+    spark = p["client"].sparkSession
+    bands = spark.createDataFrame(list(zip(AGE_LABELS, range(len(AGE_LABELS)))), "age_group string, age_group_ord int")
+    return (F.broadcast(bands).join(counts, ["age_group", "age_group_ord"], "left")
+            .fillna(0, subset=["F", "M"]))
 
 
 def a1_age_hist(p: dict, bins: int = 25) -> DataFrame:

@@ -190,3 +190,12 @@ def test_orphans_many_matches_single(spark):
     parent = spark.range(0, 30).selectExpr("id AS p")
     many = {r["child"]: r["orphans"] for r in Q.orphans_many({"a": (a, "k"), "b": (b, "j")}, parent, "p").collect()}
     assert many == {"a": Q.orphans(a, parent, "k", "p").first()[0], "b": Q.orphans(b, parent, "j", "p").first()[0]}
+
+
+def test_age_by_gender_all_bands(spark):
+    c = spark.createDataFrame([(1, "F", 30, "25-35", 1), (2, "M", 30, "25-35", 1), (3, "F", 70, "65+", 5)],
+                              "client_id bigint, gender string, age int, age_group string, age_group_ord int")
+    present = A.a1_age_by_gender({"client": c}).collect()
+    assert sorted((r["age_group"], r["F"], r["M"]) for r in present) == [("25-35", 1, 1), ("65+", 1, 0)]
+    full = {r["age_group"]: (r["F"], r["M"]) for r in A.a1_age_by_gender({"client": c}, all_bands=True).collect()}
+    assert len(full) == 6 and full["<25"] == (0, 0) and full["25-35"] == (1, 1)
