@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import flag, money_mean, money_sum, money_sum_where, pct, safe_div
+from ..plans.session import keep
 from ..plans.sizing import small_side
 from .describe import attach_scalars
 from .stats import boxplot, exact_quantiles, hist, linear_trend, quantile_bins, top_n
@@ -39,7 +40,8 @@ def high_debit_threshold(ratios: DataFrame, threshold: float | None = None) -> f
 
 
 def b1_flags(p: dict, threshold: float | None = None) -> DataFrame:
-    ratios = b1_debit_ratio(p)
+    # per-account ratios are read by the quantile passes and by the final plan: compute them once
+    ratios = keep(b1_debit_ratio(p))
     thr = high_debit_threshold(ratios, threshold)
     return ratios.withColumn("threshold", F.lit(thr).cast("double")).withColumn(
         "is_high_debit", flag(F.col("debit_ratio") > F.col("threshold")))

@@ -33,6 +33,7 @@ from ..functions.columns import (
     safe_div,
     status_label,
 )
+from ..plans.session import keep
 from ..plans.sizing import BROADCAST_MAX_ROWS, row_count_at_most, small_side
 
 log = logging.getLogger(__name__)
@@ -238,6 +239,7 @@ def ml_base(loan_cli_df: DataFrame, txn_feat_df: DataFrame, card_flag_df: DataFr
             .withColumn("has_card", F.coalesce(F.col("has_card"), F.lit(0)))
             .withColumn("is_female", flag(F.col("gender") == F.lit("F"))))
     cols = [c for c in ML_MEDIAN_COLS if _has(base, c)]
+    base = keep(base)  # read by the median passes and by every later use of ml_base
     meds = {c: v[0] for c, v in exact_quantiles_cols(base, cols, [0.5]).items()}
     fills = {c: F.coalesce(F.col(c).cast("double"), F.lit(meds[c]).cast("double")) for c in cols}
     return base.withColumns(fills)

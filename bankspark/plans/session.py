@@ -69,3 +69,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Cache an intermediate that several jobs of one operator read (MEMORY_AND_DISK).
+
+    Lost or evicted blocks are recomputed from lineage. Spark's cache manager shares one
+    copy among identical plans, so repeated calls reuse it instead of stacking copies.
+    """
+    from pyspark import StorageLevel
+
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
