@@ -79,7 +79,7 @@ def b2_split(p: dict) -> DataFrame:
 def b2_salary_quintile(p: dict, q: int = 5) -> DataFrame:
     """Default rate (%) per quantile bin of district salary over loan rows (pd.qcut, duplicate edges dropped)."""
     sal = p["loan_cli"].where(F.col("avg_salary").isNotNull() & F.col("is_default").isNotNull())
-    sal = sal.select("avg_salary", "is_default")
+    sal = keep(sal.select("avg_salary", "is_default"))  # read by the edge passes and the binning
     binned = quantile_bins(sal, "avg_salary", q, label="bin")
     return (binned.where(F.col("bin").isNotNull()).groupBy("bin")
             .agg(F.count(F.lit(1)).alias("loans"), pct(F.col("is_default")).alias("default_rate")))

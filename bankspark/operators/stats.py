@@ -14,6 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.session import keep
 
 # Buckets per refinement pass, and the bucket size that may be gathered directly.
 SELECT_BUCKETS = 4096
@@ -246,7 +247,8 @@ def quantile_bins(df: DataFrame, col: str, q: int = 5, label: str = "bin") -> Da
 def boxplot(df: DataFrame, col, by: str, name: str = "value") -> DataFrame:
     """Five-number summary per group: q1, median, q3, whiskers at the last values within 1.5 IQR, outliers."""
     v = (F.col(col) if isinstance(col, str) else col).cast("double")
-    data = df.select(F.col(by), v.alias(name)).where(F.col(name).isNotNull() & ~F.isnan(name))
+    # two columns, read by the quantile passes and by the fence pass: computed once
+    data = keep(df.select(F.col(by), v.alias(name)).where(F.col(name).isNotNull() & ~F.isnan(name)))
     qs = exact_quantiles(data, name, [0.25, 0.5, 0.75], by=[by])
     rows = [(k[0], *vals) for k, vals in qs.items() if vals[0] is not None]
     spark = df.sparkSession
