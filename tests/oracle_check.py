@@ -31,11 +31,14 @@ def duck(sf_dir):
     return con
 
 
-def norm(v):
+STRICT = os.environ.get("ORACLE_STRICT") == "1"
+
+
+def norm(v, strict=STRICT):
     if isinstance(v, float):
         if math.isnan(v):
             return ("nan",)
-        return round(v, 4)
+        return v if strict else round(v, 4)
     if hasattr(v, "isoformat"):
         return v.isoformat()[:10]
     if hasattr(v, "tolist"):
@@ -49,7 +52,7 @@ def key(row):
     return tuple((0, "") if x is None else (1, str(x)) for x in row)
 
 
-def compare(spark, con, name, fn, sql, sf_dir):
+def compare(spark, con, name, fn, sql, sf_dir, strict=STRICT):
     t0 = time.time()
     sdf = fn(spark, sf_dir)
     s_schema = [(f.name, f.dataType.simpleString()) for f in sdf.schema.fields]
@@ -70,8 +73,8 @@ def compare(spark, con, name, fn, sql, sf_dir):
         return "MISMATCH", f"types {bad_t}"
     order = [c for c in d_cols]
     s_idx = [[n for n, _ in s_schema].index(c) for c in order]
-    s_norm = sorted((tuple(norm(r[i]) for i in s_idx) for r in s_rows), key=key)
-    d_norm = sorted((tuple(norm(x) for x in r) for r in d_rows), key=key)
+    s_norm = sorted((tuple(norm(r[i], strict) for i in s_idx) for r in s_rows), key=key)
+    d_norm = sorted((tuple(norm(x, strict) for x in r) for r in d_rows), key=key)
     if len(s_norm) != len(d_norm):
         return "MISMATCH", f"rows spark={len(s_norm)} duck={len(d_norm)}"
     for a, b in zip(s_norm, d_norm):
