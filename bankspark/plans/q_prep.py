@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import bank_date
 from ..operators import prep as P
-from .registry import prepared, query, raw
+from .registry import per_data, prepared, query, raw
 
 
 @query("prep_birth", """SELECT client_id, district_id, birth_number, month_raw, gender, birth_month, birth_year, age,
@@ -149,7 +149,9 @@ ML_DOUBLES = ["amount", "payments", "age", "avg_salary", "unemp_96", "avg_txn_am
               "total_credit", "total_debit"]
 
 
+@per_data
 def ml_base_df(spark, d):
+    """ml_base with its medians computed once per session and data."""
     p = prepared(spark, d)
     return P.ml_base(p["loan_cli"], p["txn_feat"], p["card_flag"])
 

@@ -15,7 +15,7 @@ from pyspark.sql.types import DoubleType, FloatType
 
 from ..operators import prep as P
 from .oracle_prep import oracle
-from ..sources.bankviews import bank_tables
+from ..sources.bankviews import _signature, bank_tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -44,13 +44,37 @@ def query(name: str, sql: str | None = None, doubles=()):
     return deco
 
 
+def per_data(fn):
+    """Reuse ``fn(spark, sf_dir)`` (lazy plans, or values derived once from the data) for as long
+    as the session and the files under ``sf_dir`` are unchanged."""
+    memo: dict = {}
+
+    def wrapped(spark, d):
+        key = (id(spark), d.rstrip("/"))
+        sig = _signature(spark, d)
+        hit = memo.get(key)
+        if hit is not None and hit[0] == sig and hit[1] is spark:
+            return hit[2]
+        val = fn(spark, d)
+        memo[key] = (sig, spark, val)
+        return val
+
+    wrapped.__doc__ = fn.__doc__
+    return wrapped
+
+
 def raw(spark, d) -> dict:
     return bank_tables(spark, d)
 
 
-def prepared(spark, d) -> dict:
+@per_data
+def _prepared(spark, d) -> dict:
     return P.prepare(bank_tables(spark, d))
 
 
+def prepared(spark, d) -> dict:
+    return dict(_prepared(spark, d))
+
+
 # the modules below register their queries on import
 from . import q_quality, q_prep, q_describe, q_diagnose, q_predict, q_sources, q_kpi  # noqa: E402,F401
