@@ -24,6 +24,19 @@ def duplicate_keys(df: DataFrame, keys, name: str = "cnt") -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name)).where(F.col(name) > 1)
 
 
+def duplicate_counts_many(tables: dict, name: str = "duplicate_keys") -> DataFrame:
+    """Number of duplicated key values for several tables in one aggregation.
+
+    ``tables`` maps a label to (DataFrame, key column); keys are compared as BIGINT. Returns
+    (table, ``name``) with one row per label (0 when none).
+    """
+    tagged = [df.select(F.lit(label).alias("table"), F.col(key).cast("long").alias("_k"))
+              for label, (df, key) in tables.items()]
+    keys = reduce(DataFrame.unionByName, tagged)
+    per_key = keys.groupBy("table", "_k").agg(F.count(F.lit(1)).alias("_n"))
+    return per_key.groupBy("table").agg(F.count(F.when(F.col("_n") > 1, F.lit(1))).cast("long").alias(name))
+
+
 def null_profile(df: DataFrame, cols=None, prefix: str = "null_") -> DataFrame:
     """One row: NULL count per column, named ``null_<lower-case column>``; one pass over the table."""
     cols = cols or df.columns
@@ -228,8 +241,8 @@ def run_checks(t: dict) -> DataFrame:
         wide = counts_where(t[tab], conds)
         parts.append(wide.unpivot([], wide.columns, "check", "value")
                      .select("check", F.lit(tab).alias("table"), F.col("value").cast("long").alias("value")))
-    for tab, key in KEYS.items():
-        parts.append(one(duplicate_keys(t[tab], key).agg(F.count(F.lit(1)).alias("v")), "duplicate_keys", tab))
+    dups = duplicate_counts_many({tab: (t[tab], key) for tab, key in KEYS.items()}, "value")
+    parts.append(dups.select(F.lit("duplicate_keys").alias("check"), "table", "value"))
     # one join per parent table, however many children point at it
     refs = {("account", "account_id"): [("transaction", "account_id"), ("loan", "account_id"),
                                         ("orders", "account_id"), ("disp", "account_id")],

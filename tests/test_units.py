@@ -199,3 +199,10 @@ def test_age_by_gender_all_bands(spark):
     assert sorted((r["age_group"], r["F"], r["M"]) for r in present) == [("25-35", 1, 1), ("65+", 1, 0)]
     full = {r["age_group"]: (r["F"], r["M"]) for r in A.a1_age_by_gender({"client": c}, all_bands=True).collect()}
     assert len(full) == 6 and full["<25"] == (0, 0) and full["25-35"] == (1, 1)
+
+
+def test_duplicate_counts_many_matches_single(spark):
+    a = spark.range(0, 100).selectExpr("id % 40 AS k")
+    b = spark.range(0, 50).selectExpr("IF(id < 3, NULL, id) AS j")
+    many = {r["table"]: r["duplicate_keys"] for r in Q.duplicate_counts_many({"a": (a, "k"), "b": (b, "j")}).collect()}
+    assert many == {"a": Q.duplicate_keys(a, "k").count(), "b": Q.duplicate_keys(b, "j").count()}
