@@ -151,3 +151,10 @@ _reg("b6_op_heatmap", G.b6_op_heatmap,
      """PIVOT (SELECT operation, CAST(year AS VARCHAR) AS year, trans_id FROM trans_p
                WHERE operation IS NOT NULL AND year IS NOT NULL)
         ON year USING count(trans_id) GROUP BY operation""")
+
+_reg("b1_high_debit_accounts", lambda p: G.b1_flags(p),
+     f"SELECT * FROM {_FLAGS} f", ["Credit", "Debit", "debit_ratio", "threshold"])
+_reg("b5_dormant_accounts", G.dormant_accounts,
+     f"""SELECT a.*, CASE WHEN d.account_id IS NULL THEN 0 ELSE 1 END AS is_dormant, di.name, di.region, di.avg_salary
+         FROM account_p a LEFT JOIN {_DORM_IDS} d ON a.account_id = d.account_id
+         LEFT JOIN district_p di ON a.district_id = di.district_id""")
