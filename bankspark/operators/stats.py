@@ -123,6 +123,8 @@ def exact_quantiles(df: DataFrame, col: str, probs, by=()) -> dict:
     # upstream plan (joins, aggregations) runs a single time
     data = (df.select(*[F.col(b) for b in by], F.col(col).cast("double").alias("_q"))
             .where(F.col("_q").isNotNull() & ~F.isnan(F.col("_q"))))
+    if df.storageLevel.useMemory or df.storageLevel.useDisk:
+        return _quantiles_of(data, "_q", probs, by)  # the input is cached already: read it from there
     data.persist()
     try:
         return _quantiles_of(data, "_q", probs, by)
