@@ -10,9 +10,11 @@ and a column-pruned parquet re-scan per analysis is cheaper than spilling all of
 from __future__ import annotations
 
 import logging
+from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import kpi as K
 from ..operators import predict as C
@@ -39,14 +41,8 @@ def release(p: dict, names=CACHED) -> None:
 
 
 def parse_report(p: dict) -> DataFrame:
-    """Per parsed column: rows, parsed (non-NULL) values, and all_null = 1 when nothing parsed.
-
-    Warns for each column that came out entirely NULL in a non-empty table.
-    """
-    from functools import reduce
-
-    from pyspark.sql import functions as F
-
+    """Per parsed column: rows, parsed (non-NULL) values, and all_null = 1 when a non-empty
+    table's column came out entirely NULL (a silent parse failure; ``run_all`` logs a warning)."""
     checks = [("loan", "date"), ("account", "date"), ("transaction", "Date"), ("transaction", "type_lbl")]
     parts = [p[t].agg(F.count(F.lit(1)).alias("rows"), F.count(c).alias("parsed"))
              .select(F.lit(t).alias("table"), F.lit(c).alias("column"), "rows", "parsed") for t, c in checks]
