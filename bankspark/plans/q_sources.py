@@ -70,7 +70,6 @@ def src_merge_years(spark, d):
     return S.merge_years(S.empty_like(trans), *parts)
 
 
-
 @query("src_parquet_roundtrip", "SELECT * FROM trans", _TRANS_D)
 def src_parquet_roundtrip(spark, d):
     """The 8 tables written as Parquet and read back with the typed Parquet reader."""
