@@ -143,7 +143,7 @@ def item_blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[i
         yield block
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, min_piece: int = 12,
+def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, min_piece: int = 20,
                block_chars: int = 8_000_000) -> DataFrame:
     """Test items inside documents: doc_id, item_id, distance, begin, end (in the normalised text).
 
@@ -173,7 +173,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, min_pie
     return out if out is not None else d.sparkSession.createDataFrame([], HITS)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, min_piece: int = 12) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, min_piece: int = 20) -> DataFrame:
     """``docs`` without the rows that hold a test item; null ids and texts stay."""
     leaks = find_leaks(docs, benchmark, rate, min_piece).select("doc_id").distinct()
     return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)

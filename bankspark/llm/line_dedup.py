@@ -83,7 +83,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maps, counts = [], []
         for drops in b.column("drops"):
             at = np.asarray(drops.values.to_numpy(zero_copy_only=False))
-            keep = np.ones(int(at.max()) + 1, dtype=np.uint8)
+            keep = np.ones(-(-(int(at.max()) + 1) // 8) * 8, dtype=np.uint8)
             keep[at] = 0
             maps.append(zlib.compress(np.packbits(keep).tobytes()))
             counts.append(len(at))

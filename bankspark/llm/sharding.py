@@ -44,7 +44,8 @@ def directory(sizes: DataFrame, limit: int, extra_bits: int = 3) -> DataFrame:
         # every leaf adds to its ancestors of all depths from `at` to `deep`
         up = leaves.select(F.explode(F.sequence(F.lit(at), F.lit(deep))).alias("depth"), "_leaf", "_b", "_r")
         up = up.withColumn("prefix", F.expr(f"shiftright(_leaf, {deep} - depth)"))
-        nodes = up.groupBy("depth", "prefix").agg(F.sum("_b").alias("bytes"), F.sum("_r").alias("rows"))
+        nodes = stage(up.groupBy("depth", "prefix").agg(F.sum("_b").alias("bytes"), F.sum("_r").alias("rows")),
+                      "shard-nodes")
         parent = nodes.select((F.col("depth") + 1).alias("depth"), F.col("prefix").alias("_up"),
                               F.col("bytes").alias("_parent"))
         # a node is a bucket if it fits and its parent does not (or it is a root of this step)
@@ -60,7 +61,7 @@ def directory(sizes: DataFrame, limit: int, extra_bits: int = 3) -> DataFrame:
         large = joined.where((F.col("depth") == deep) & (F.col("bytes") > limit)).select("prefix")
         if large.isEmpty():
             return done
-        rest = rest.join(large, _prefix(F.col("_h"), deep) == large["prefix"], "left_semi")
+        rest = stage(rest.join(large, _prefix(F.col("_h"), deep) == large["prefix"], "left_semi"), "shard-rest")
         at = deep
 
 

@@ -31,9 +31,9 @@ _U = np.uint64
 @dataclass(frozen=True)
 class Params:
     buckets: int = 1 << 18
-    prior: float = 500.0    # pseudo-tokens of the Dirichlet prior in each class
-    noise: float = 2.0      # standard errors taken off a token's log-odds
-    drift: float = 0.25     # cost of every token, so that clean text scores negative
+    prior: float = 0.01     # pseudo-tokens of the Dirichlet prior in each class, as a share of all labelled tokens
+    noise: float = 1.5      # standard errors taken off a token's log-odds
+    drift: float = 0.5     # cost of every token, so that clean text scores negative
     alpha: float = 1e-3     # significance of a reported segment
 
 
@@ -83,7 +83,8 @@ def count_tokens(docs: DataFrame, p: Params) -> DataFrame:
 def log_odds(n0: np.ndarray, n1: np.ndarray, p: Params) -> np.ndarray:
     """Log-odds with a Dirichlet prior, pulled to zero by its standard error, less the drift."""
     share = (n0 + n1 + 1e-3) / (n0 + n1 + 1e-3).sum()
-    a0, a1 = n0 + p.prior * share, n1 + p.prior * share
+    pseudo = p.prior * (n0.sum() + n1.sum()) * share
+    a0, a1 = n0 + pseudo, n1 + pseudo
     delta = np.log(a1 / (a1.sum() - a1)) - np.log(a0 / (a0.sum() - a0))
     error = np.sqrt(1 / a0 + 1 / a1)
     return np.sign(delta) * np.maximum(0.0, np.abs(delta) - p.noise * np.minimum(error, 1e6)) - p.drift
