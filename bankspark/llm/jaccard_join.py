@@ -9,7 +9,7 @@
    sets) and verified by exact intersection.
 
 Large groups of near copies do not make all pairs: first every group meets one
-representative per token (a star), links become components, and only pairs whose components
+representative per token (a star round the one with the fewest rarer tokens), links become components, and only pairs whose components
 still differ are expanded in the last, exhaustive pass. A pair inside one component cannot change
 the result, so components are exact. Copies of a set are one class and are never expanded.
 """
@@ -29,6 +29,7 @@ from bankspark.llm.text import mix, pieces, shingle_sets
 
 _U = np.uint64
 CELL_BITS, BLOCK_BITS = 22, 16
+BITS = ["b0", "b1", "b2", "b3"]
 _LOW58 = _U((1 << 58) - 1)
 
 
@@ -73,6 +74,14 @@ def set_hash(items: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
     return (sums[ends[1:]] - sums[ends[:-1]]).view(np.int64)
 
 
+def parity_bits(items: np.ndarray, rows: np.ndarray, n_rows: int) -> np.ndarray:
+    """256 parity bits of each set (4 longs): every item flips one bit, so two sets differ in at least as
+    many items as their bits differ."""
+    bit = (mix(items ^ _U(7)) >> _U(56)).astype(np.int64)
+    odd = (np.bincount(rows * 256 + bit, minlength=n_rows * 256) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(n_rows, 256), axis=1).view(np.int64)
+
+
 def prefix_rows(docs: DataFrame, sketch: np.ndarray, k: int, percent: int) -> DataFrame:
     """doc_id, n, s1, s2 (hash of the set), p1 (hash of the prefix), prefix (ordered tokens, rare first)."""
     sent = docs.sparkSession.sparkContext.broadcast(sketch)
@@ -93,12 +102,15 @@ def prefix_rows(docs: DataFrame, sketch: np.ndarray, k: int, percent: int) -> Da
                 ends = np.concatenate([[0], np.cumsum(keep)])
                 s1, s2 = set_hash(h, start, 3), set_hash(h, start, 5)
                 p1 = set_hash(token.view(np.uint64), ends, 9)
+                bits = parity_bits(h, rows, hi - lo)
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(lo, hi - lo), pa.array(n.astype(np.int32)), pa.array(s1), pa.array(s2), pa.array(p1),
-                     pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(token))],
-                    names=["doc_id", "n", "s1", "s2", "p1", "prefix"])
+                     pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(token)),
+                     *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(4))],
+                    names=["doc_id", "n", "s1", "s2", "p1", "prefix", *BITS])
 
-    return docs.mapInArrow(run, "doc_id long, n int, s1 long, s2 long, p1 long, prefix array<long>")
+    return docs.mapInArrow(run, "doc_id long, n int, s1 long, s2 long, p1 long, prefix array<long>, "
+                                + ", ".join(f"{c} long" for c in BITS))
 
 
 def needed(n: Column, m: Column, percent: int) -> Column:
@@ -113,6 +125,15 @@ def _passes(a: str, b: str, percent: int) -> Column:
     return ((F.lit(100) * F.least(n, m) >= F.lit(percent) * F.greatest(n, m)) & (rest >= needed(n, m, percent)))
 
 
+def _may_link(a: str, b: str, percent: int) -> Column:
+    """Exact bit map filter: the symmetric difference of linked sets of n + m items is bounded, their parity
+    bits differ no more than that. Rows without bits pass."""
+    apart = sum((F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in BITS[1:]),
+                F.bit_count(F.col(f"{a}.b0").bitwiseXOR(F.col(f"{b}.b0"))))
+    n = F.col(f"{a}.n") + F.col(f"{b}.n")
+    return F.coalesce(apart <= n - 2 * F.ceil(F.lit(percent) * n / F.lit(100 + percent)), F.lit(True))
+
+
 def verify(pairs: DataFrame, members: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Pairs (a, b) of classes (smallest document id; ``members`` has their set hashes) that reach the threshold.
 
@@ -172,20 +193,20 @@ def components(edges: DataFrame, name: str = "edges") -> DataFrame:
     Nodes are never gathered: each round is two partially aggregated minima and joins, staged.
     """
     e = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
-    state = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = (both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                 .where("u > v").distinct())
+                 .where("u > v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(low, "u").select(F.greatest("v", "m").alias("u"), F.col("m").alias("v")).where("u > v")
                  .unionByName(low.select("u", F.col("m").alias("v"))).distinct())
         e = stage(small, name)
-        now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head())
-        if now == state:
+        # done when every node has one parent and no parent has one: a forest of stars
+        roots = e.select(F.col("v").alias("u"), F.lit(2).alias("k"))
+        seen = e.select("u", F.lit(1).alias("k")).unionByName(roots.distinct())
+        if seen.groupBy("u").agg(F.count(F.lit(1)).alias("c")).where("c > 1").isEmpty():
             break
-        state = now
     return e.select(F.col("u").alias("doc_id"), F.col("v").alias("comp")).unionByName(
         e.select(F.col("v").alias("doc_id"), F.col("v").alias("comp"))).distinct()
 
@@ -202,12 +223,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, star_rounds:
     d = _texts(docs)
     sketch = count_sketch(d, k)
     sets = stage(prefix_rows(d, sketch, k, percent), "prefixes")
-    one = F.min(F.struct("s1", "s2", "n", "p1")).alias("c")
+    one = F.min(F.struct("s1", "s2", "n", "p1", *BITS)).alias("c")
     full = stage(sets.where("n > 0").groupBy("doc_id").agg(one).select("doc_id", "c.*"), "sets")
     # classes: equal sets; groups: equal prefix and size
     members = stage(full.groupBy("s1", "s2", "n", "p1").agg(F.min("doc_id").alias("cls")), "classes")
     groups = members.groupBy("n", "p1").agg(F.min("cls").alias("gid"))
     classes = stage(members.join(groups, ["n", "p1"]).select("cls", "gid"), "class-groups")
+    marks = full.select(F.col("doc_id").alias("cls"), "n", *BITS)
     tokens = (sets.join(groups.select(F.col("gid").alias("doc_id"), F.col("gid"), F.col("p1").alias("_p"), F.col("n").alias("_n")), "doc_id")
               .where("p1 = _p AND n = _n").dropDuplicates(["gid"])
               .select("gid", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "gid", "n", "pos"))
@@ -221,17 +243,22 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, star_rounds:
     edges = tested = d.sparkSession.createDataFrame([], "a long, b long")
     last = None
     for turn in range(star_rounds + 1):
-        units = shared.join(comps.groupBy("gid", "comp").agg(F.min("cls").alias("one")), "gid")
+        units = shared.join(comps.groupBy("gid", "comp").agg(
+            F.min("cls").alias("one"), F.count(F.lit(1)).alias("many")), "gid")
         mixed = units.groupBy("token").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"),
                                            F.count(F.lit(1)).alias("_c"))
         mixed = mixed.where("_lo <> _hi").select("token", "_c")
         work = mixed.agg(F.coalesce(F.sum(F.col("_c").cast("double") ** 2), F.lit(0.0))).head()[0]
-        exhaustive = turn == star_rounds or work <= 4 * rows + 1e6 or (last is not None and work > 0.7 * last)
+        # a pair is looked at in the join's condition only; what links or may link is put out
+        exhaustive = turn == star_rounds or turn and work <= 500 * rows or (last is not None and work > 0.7 * last)
         last = work
-        units = stage(units.join(mixed, "token").select("token", "gid", "n", "pos", "comp", "one"), "units")
+        units = stage(units.join(mixed, "token").select("token", "gid", "n", "pos", "comp", "one", "many"), "units")
         if exhaustive:
+            alone = marks.select(F.col("cls").alias("one"), F.lit(1).cast("long").alias("many"), *BITS)
+            units = stage(units.join(alone, ["one", "many"], "left"), "units")
             group_pairs = (units.alias("x").join(units.alias("y"), F.col("x.token") == F.col("y.token"))
-                           .where((F.col("x.comp") < F.col("y.comp")) & _passes("x", "y", percent))
+                           .where((F.col("x.comp") < F.col("y.comp")) & _passes("x", "y", percent)
+                                  & _may_link("x", "y", percent))
                            .select(F.col("x.gid").alias("g"), F.col("x.comp").alias("c"),
                                    F.col("y.gid").alias("h"), F.col("y.comp").alias("e")).distinct())
             left = comps.select(F.col("gid").alias("g"), F.col("comp").alias("c"), F.col("cls").alias("a"))
@@ -241,8 +268,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, star_rounds:
                      .where("x.comp < y.comp").select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")))
         else:
             rep = units.groupBy("token").agg(F.min(F.struct(
-                F.xxhash64("one", F.lit(turn)).alias("r"), "gid", "n", "pos", F.col("one").alias("b"),
-                F.col("comp").alias("rc"))).alias("y"))
+                (F.col("pos") if turn == 0 else F.xxhash64("one", F.lit(turn))).alias("r"), "gid", "n", "pos",
+                F.col("one").alias("b"), F.col("comp").alias("rc"))).alias("y"))
             star = units.alias("x").join(rep.select("token", "y.*").alias("y"), F.col("x.token") == F.col("y.token"))
             star = (star.where((F.col("x.comp") != F.col("y.rc")) & _passes("x", "y", percent))
                     .select(F.col("x.gid").alias("g"), F.col("x.comp").alias("c"), F.col("y.b").alias("b")).distinct())
@@ -254,7 +281,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, star_rounds:
                      .select(F.col("cls").alias("a"), "b"))
         pairs = pairs.unionByName(inner).where("a <> b").select(
             F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = stage(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        if turn:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        x, y = (marks.select(F.col("cls").alias(c), "n", *BITS).alias(c) for c in "ab")
+        near = pairs.join(x, "a").join(y, "b").where(_may_link("a", "b", percent))
+        pairs = stage(near.select("a", "b"), "pairs")
         tested = tested.unionByName(pairs)
         edges = edges.unionByName(stage(verify(pairs, members, d, k, percent), "links"))
         found = components(edges)
