@@ -243,11 +243,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, star_rounds:
     edges = tested = d.sparkSession.createDataFrame([], "a long, b long")
     last = None
     for turn in range(star_rounds + 1):
-        units = shared.join(comps.groupBy("gid", "comp").agg(
-            F.min("cls").alias("one"), F.count(F.lit(1)).alias("many")), "gid")
+        units = stage(shared.join(comps.groupBy("gid", "comp").agg(
+            F.min("cls").alias("one"), F.count(F.lit(1)).alias("many")), "gid"), "units")
         mixed = units.groupBy("token").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"),
                                            F.count(F.lit(1)).alias("_c"))
-        mixed = mixed.where("_lo <> _hi").select("token", "_c")
+        mixed = stage(mixed.where("_lo <> _hi").select("token", "_c"), "mixed-tokens")
         work = mixed.agg(F.coalesce(F.sum(F.col("_c").cast("double") ** 2), F.lit(0.0))).head()[0]
         # a pair is looked at in the join's condition only; what links or may link is put out
         exhaustive = turn == star_rounds or turn and work <= 500 * rows or (last is not None and work > 0.7 * last)
