@@ -123,7 +123,7 @@ def century_year(yy: Column) -> Column:
 # ---------------------------------------------------------------- dates
 
 def bank_date(c, dtype=None) -> Column:
-    """Parse a bank date given as DATE, TIMESTAMP, ISO text or legacy YYMMDD.
+    """Parse a bank date given as DATE, TIMESTAMP, ISO text (with or without a time of day) or legacy YYMMDD.
 
     Legacy values always get the century 19 (a bare ``yy`` pattern would give 2093
     for 93). Values that parse in neither form become NULL.
@@ -134,7 +134,8 @@ def bank_date(c, dtype=None) -> Column:
     if dtype is not None and dtype.startswith("timestamp"):
         return c.cast("date")
     text = c.cast("string")
-    iso = F.try_to_date(text, "yyyy-MM-dd")
+    iso = F.try_to_date(F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}[ T]\d"), F.substring(text, 1, 10)).otherwise(text),
+                        "yyyy-MM-dd")
     legacy_text = F.concat(F.lit("19"), F.lpad(F.regexp_replace(text, r"\.0$", ""), 6, "0"))
     legacy = F.when(F.length(F.regexp_replace(text, r"\.0$", "")) <= 6,
                     F.try_to_date(legacy_text, "yyyyMMdd"))

@@ -129,15 +129,6 @@ def prep_card(card: DataFrame) -> DataFrame:
     return card.withColumn("card_year", F.year(bank_date(col, _dtype(card, col))))
 
 
-def parse_guard(df: DataFrame, col: str, label: str) -> bool:
-    """Warn (and return False) when ``col`` is entirely NULL in a non-empty table."""
-    row = df.agg(F.count(F.lit(1)).alias("n"), F.count(F.col(col)).alias("ok")).first()
-    if row["n"] > 0 and row["ok"] == 0:
-        log.warning("every value of %s.%s is NULL after parsing; check the column name and format", label, col)
-        return False
-    return True
-
-
 # ---------------------------------------------------------------- joins
 
 def owners(disp: DataFrame) -> DataFrame:

@@ -34,7 +34,11 @@ def duplicate_counts_many(tables: dict, name: str = "duplicate_keys") -> DataFra
               for label, (df, key) in tables.items()]
     keys = reduce(DataFrame.unionByName, tagged)
     per_key = keys.groupBy("table", "_k").agg(F.count(F.lit(1)).alias("_n"))
-    return per_key.groupBy("table").agg(F.count(F.when(F.col("_n") > 1, F.lit(1))).cast("long").alias(name))
+    # one empty row per label, so that an empty table is reported with 0
+    labels = reduce(DataFrame.unionByName, [
+        keys.sparkSession.range(1).select(F.lit(label).alias("table"), F.lit(None).cast("long").alias("_k"),
+                                          F.lit(0).cast("long").alias("_n")) for label in tables])
+    return per_key.unionByName(labels).groupBy("table").agg(F.count(F.when(F.col("_n") > 1, F.lit(1))).cast("long").alias(name))
 
 
 def null_profile(df: DataFrame, cols=None, prefix: str = "null_") -> DataFrame:
@@ -68,6 +72,10 @@ def orphans_many(children: dict, parent: DataFrame, parent_key: str, name: str =
 
     tagged = [df.groupBy(F.col(key).alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
               .select(F.lit(label).alias("child"), "_k", "_n") for label, (df, key) in children.items()]
+    # one empty row per label, so that an empty child table is reported with 0
+    tagged += [parent.sparkSession.range(1).select(
+        F.lit(label).alias("child"), F.lit(None).cast(df.schema[key].dataType).alias("_k"), F.lit(0).cast("long").alias("_n"))
+        for label, (df, key) in children.items()]
     keys = _reduce(DataFrame.unionByName, tagged)
     parents = (parent.select(F.col(parent_key).alias("_k")).where(F.col("_k").isNotNull())
                .groupBy("_k").agg(F.lit(1).alias("_p")))

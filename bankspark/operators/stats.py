@@ -391,7 +391,8 @@ def running_totals(df: DataFrame, order_col: str, cols, by=(), ascending: bool =
                        [f"_o{i} {'bigint' if types[f'_c{i}'] in ('int', 'bigint', 'smallint') else 'double'}"
                         for i in range(len(cols))])
     offsets = F.broadcast(spark.createDataFrame(rows, schema))  # groups x buckets rows at most
-    out = data.join(offsets, by + ["_bucket"], "left")
+    same = [data[b].eqNullSafe(offsets[b]) for b in by + ["_bucket"]]
+    out = data.join(offsets, same, "left").drop(*[offsets[b] for b in by + ["_bucket"]])
     for i, c in enumerate(cols):
         out = out.withColumn(prefix + c, F.col(f"_o{i}") + F.sum(f"_c{i}").over(w))
     return out.drop("_bucket", *[f"_c{i}" for i in range(len(cols))], *[f"_o{i}" for i in range(len(cols))])

@@ -6,6 +6,7 @@ iterative fit is not one SQL statement, so the driver checks their rows only.
 """
 
 import os
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -232,7 +233,7 @@ def c2_residuals(spark, d):
 def c_score_loans(spark, d):
     """Fit, save and reload the default model, then score every loan of the data set."""
     s, model = _c1_model(spark, d)
-    path = os.path.join(ensure_checkpoint_dir(spark), "models", "loan_default")
+    path = os.path.join(ensure_checkpoint_dir(spark), "models", f"loan_default-{uuid.uuid4().hex[:12]}")
     C.save_model(model, path)
     loaded = C.load_model(path)
     return C.score_loans(loaded, c1(spark, d)).select("loan_id", "label", "score", "pred", "risk")

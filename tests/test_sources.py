@@ -53,6 +53,8 @@ def test_quote_ident():
     assert J.quote_ident("dbo", "order") == "[dbo].[order]"
     assert J.quote_ident("bank.dbo", "Transaction_Merged") == "[bank].[dbo].[Transaction_Merged]"
     assert J.quote_ident(None, "order", "ansi") == '"order"'
+    assert J.quote_ident("d]bo", "order") == "[d]]bo].[order]" and J.quote_ident("dbo", "t", "none") == "dbo.t"
+    assert "encrypt=true" in J.jdbc_options("s", "d")[0] and "encrypt=false" in J.jdbc_options("s", "d", encrypt=False)[0]
 
 
 def test_jdbc_derby_roundtrip(spark, raw0001):

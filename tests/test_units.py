@@ -206,3 +206,28 @@ def test_duplicate_counts_many_matches_single(spark):
     b = spark.range(0, 50).selectExpr("IF(id < 3, NULL, id) AS j")
     many = {r["table"]: r["duplicate_keys"] for r in Q.duplicate_counts_many({"a": (a, "k"), "b": (b, "j")}).collect()}
     assert many == {"a": Q.duplicate_keys(a, "k").count(), "b": Q.duplicate_keys(b, "j").count()}
+
+
+def test_bank_date_keeps_date_time_text(spark):
+    from bankspark.functions.columns import bank_date
+
+    rows = [("1993-01-05 00:00:00",), ("1993-01-05T10:00:00",), ("1993-01-05",), ("930105",), ("x",), (None,)]
+    got = [str(r[0]) for r in spark.createDataFrame(rows, "d string").select(bank_date("d")).collect()]
+    assert got == ["1993-01-05"] * 4 + ["None"] * 2
+
+
+def test_split_keeps_rows_without_label(spark):
+    from bankspark.operators.predict import split
+
+    rows = [(i, None if i % 5 == 0 else i % 2) for i in range(100)]
+    out = split(spark.createDataFrame(rows, "id long, label int"), "id", label="label")
+    assert out.count() == 100 and out.where("is_test = 1 AND label IS NULL").count() == 4
+
+
+def test_empty_tables_are_reported_with_zero(spark):
+    from bankspark.operators.quality import duplicate_counts_many, orphans_many
+
+    some, none = spark.createDataFrame([(1,), (1,), (2,)], "k long"), spark.createDataFrame([], "k long")
+    assert sorted(map(tuple, duplicate_counts_many({"a": (some, "k"), "b": (none, "k")}).collect())) == [("a", 1), ("b", 0)]
+    got = orphans_many({"a": (some, "k"), "b": (none, "k")}, spark.createDataFrame([(2,)], "k long"), "k")
+    assert sorted(map(tuple, got.collect())) == [("a", 2), ("b", 0)]
