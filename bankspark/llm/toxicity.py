@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bankspark.llm.shared import stage
 from bankspark.llm.text import RollingHash, pieces, words
 
 _U = np.uint64
@@ -180,7 +181,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str, learn: Column, p: Para
         return Model(np.full(p.buckets, -p.drift), 1.0, 1.0, 1.0, -3.0 if n0.sum() else 0.0)
     weights = log_odds(n0, n1, p)
     scale = clean_scale(weights, n0)
-    best = _best_of(rows, weights, p, ("label",))
+    # texts are shuffled once, for the counts; here every text is scanned in place and its two numbers meet the label
+    best = _best_of(docs.where("doc_id IS NOT NULL AND text IS NOT NULL"), weights, p, ("doc_id",))
+    best = stage(best.join(lab, "doc_id").select("label", "best", "n"), "segments")
     # factor: the mean of exp(lambda * best) / n over clean documents is near 1 / K for the extreme-value law,
     # taken in logs so that no document outweighs the others
     clean = best.where("label = 0 AND n > 0").agg(
