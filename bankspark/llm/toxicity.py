@@ -173,7 +173,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str, learn: Column, p: Para
     """Fit on all labelled rows that ``learn`` selects; rows without id, text or label are left out."""
     lab = (labels.where(learn & F.col("doc_id").isNotNull() & F.col(label).isin(0, 1))
            .groupBy("doc_id").agg(F.max(label).alias("label")))
-    rows = docs.where("text IS NOT NULL").select("doc_id", "text").join(lab, "doc_id").select("doc_id", "text", "label")
+    # labels grow with the documents: they meet by a shuffle at every size, never by a broadcast
+    rows = (docs.where("text IS NOT NULL").select("doc_id", "text").join(lab.hint("merge"), "doc_id")
+            .select("text", "label"))
     got = count_tokens(rows, p).toPandas()  # bounded by the number of hashed tokens
     n0, n1 = np.zeros(p.buckets), np.zeros(p.buckets)
     n0[got["token"]], n1[got["token"]] = got["n0"], got["n1"]
