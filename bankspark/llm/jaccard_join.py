@@ -30,6 +30,7 @@ from bankspark.llm.text import mix, pieces, shingle_sets
 _U = np.uint64
 CELL_BITS, BLOCK_BITS = 22, 16
 BITS = ["b0", "b1", "b2", "b3"]
+WIDE = 4096
 _LOW58 = _U((1 << 58) - 1)
 
 
@@ -134,13 +135,11 @@ def _may_link(a: str, b: str, percent: int) -> Column:
     return F.coalesce(apart <= n - 2 * F.ceil(F.lit(percent) * n / F.lit(100 + percent)), F.lit(True))
 
 
-def verify(pairs: DataFrame, members: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes (smallest document id; ``members`` has their set hashes) that reach the threshold.
+def _texts_of(pairs: DataFrame, members: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows of ``docs`` that may be in a pair, ids in a pair with their set hash).
 
-    Only texts of documents in a pair are shuffled: a bit map of fixed size (bounded, may let others through)
-    is read before the exact join.
+    The rows are chosen by a bit map of fixed size (bounded, may let others through), so no text is shuffled for it.
     """
-    spark = docs.sparkSession
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     bits = 25
     slot = F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - bits)
@@ -148,43 +147,91 @@ def verify(pairs: DataFrame, members: DataFrame, docs: DataFrame, k: int, percen
     word = ids.groupBy(F.shiftright(slot, 15).alias("w")).agg(F.collect_set(slot).alias("s"))  # 1024 sets at most
     for r in word.toLocalIterator():
         bitmap[np.asarray(r["s"], dtype=np.int64)] = True
-    sent = spark.sparkContext.broadcast(np.packbits(bitmap))
+    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(bitmap))
 
     def maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.unpackbits(sent.value).view(bool)
         for b in batches:
-            at = b.column("slot").to_numpy()
-            out = b.filter(pa.array(seen[at]))
+            out = b.filter(pa.array(seen[b.column("slot").to_numpy()]))
             if out.num_rows:
                 yield out.select(["doc_id", "text"])
 
-    def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    wanted = ids.join(members.select(F.col("cls").alias("doc_id"), "s1"), "doc_id")
+    return docs.withColumn("slot", slot).mapInArrow(maybe, "doc_id long, text string"), wanted
+
+
+def close_pairs(pairs: DataFrame, members: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs that pass the parity filter with ``WIDE`` bits: the short bit map says nothing of long documents.
+
+    The bits are made where the texts are read, only they are shuffled.
+    """
+    def to_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, buf, off in pieces(b.column("text")):
                 rows, h = shingle_sets(buf, off, k)
-                ends = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=hi - lo))])
-                right = set_hash(h, ends, 3) == b.column("s1").to_numpy()[lo:hi]  # the text the id stands for
+                n = np.bincount(rows, minlength=hi - lo)
+                ends = np.concatenate([[0], np.cumsum(n)])
+                bit = (mix(h ^ _U(11)) % _U(WIDE)).astype(np.int64)
+                packed = [np.packbits((np.bincount(bit[i:j], minlength=WIDE) & 1).astype(np.uint8)).tobytes()
+                          for i, j in zip(ends[:-1], ends[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").slice(lo, hi - lo),
-                     pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(h.view(np.int64)))],
-                    names=["doc_id", "items"]).filter(pa.array(right))
-
-    wanted = ids.join(members.select(F.col("cls").alias("doc_id"), "s1"), "doc_id")
-    sets = (docs.withColumn("slot", slot).mapInArrow(maybe, "doc_id long, text string")
-            .join(wanted, "doc_id").select("doc_id", "text", "s1").mapInArrow(to_sets, "doc_id long, items array<long>"))
+                    [b.column("doc_id").slice(lo, hi - lo), pa.array(set_hash(h, ends, 3)),
+                     pa.array(n.astype(np.int64)), pa.array(packed, pa.binary())], names=["doc_id", "s1", "n", "bits"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = np.zeros(b.num_rows, dtype=bool)
-            for i, (x, y) in enumerate(zip(b.column("x"), b.column("y"), strict=True)):
-                x, y = (np.asarray(v.values).view(np.uint64) for v in (x, y))
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep[i] = common * 100 >= percent * (len(x) + len(y) - common)
-            yield b.select(["a", "b"]).filter(pa.array(keep))
+            if not b.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(b.num_rows, -1) for c in "xy")
+            apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            n = b.column("nx").to_numpy() + b.column("ny").to_numpy()
+            yield b.select(["a", "b"]).filter(pa.array(apart <= n - 2 * -(-percent * n // (100 + percent))))
+
+    texts, wanted = _texts_of(pairs, members, docs)
+    marks = texts.mapInArrow(to_bits, "doc_id long, s1 long, n long, bits binary").join(wanted, ["doc_id", "s1"])
+    marks = marks.dropDuplicates(["doc_id"])  # the text the id stands for, once
+    left = marks.select(F.col("doc_id").alias("a"), F.col("n").alias("nx"), F.col("bits").alias("x"))
+    right = marks.select(F.col("doc_id").alias("b"), F.col("n").alias("ny"), F.col("bits").alias("y"))
+    return (pairs.join(left, "a").join(right, "b").select("a", "b", "nx", "ny", "x", "y")
+            .mapInArrow(compare, "a long, b long"))
+
+
+def common_counts(rx: np.ndarray, x: np.ndarray, ry: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
+    """Size of the intersection of the sets of each row; ``x`` and ``y`` hold distinct items per row."""
+    rows, items = np.concatenate([rx, ry]), np.concatenate([x, y])
+    order = np.lexsort((items, rows))
+    rows, items = rows[order], items[order]
+    both = (rows[1:] == rows[:-1]) & (items[1:] == items[:-1])
+    return np.bincount(rows[1:][both], minlength=n)
+
+
+def verify(pairs: DataFrame, members: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes (smallest document id; ``members`` has their set hashes) that reach the threshold.
 
-    left = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+    The texts of a pair meet, not their hashed sets: those are larger and do not compress.
+    """
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, hi, buf, off in pieces(b.column("x")):
+                rx, x = shingle_sets(buf, off, k)
+                part = b.slice(lo, hi - lo)
+                ends = np.concatenate([[0], np.cumsum(np.bincount(rx, minlength=hi - lo))])
+                right_x = set_hash(x, ends, 3) == part.column("sx").to_numpy()  # the text the id stands for
+                for i, j, buf2, off2 in pieces(part.column("y")):
+                    ry, y = shingle_sets(buf2, off2, k)
+                    m = np.bincount(ry, minlength=j - i)
+                    right_y = set_hash(y, np.concatenate([[0], np.cumsum(m)]), 3) == part.column("sy").to_numpy()[i:j]
+                    common = common_counts(rx[ends[i]: ends[j]] - i, x[ends[i]: ends[j]], ry, y, j - i)
+                    union = np.diff(ends)[i:j] + m - common
+                    keep = (common * 100 >= percent * union) & right_x[i:j] & right_y
+                    yield part.slice(i, j - i).select(["a", "b"]).filter(pa.array(keep))
+
+    texts, wanted = _texts_of(pairs, members, docs)
+    texts = texts.join(wanted, "doc_id")
+    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x"), F.col("s1").alias("sx"))
+    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y"), F.col("s1").alias("sy"))
+    return (pairs.join(left, "a").join(right, "b").select("a", "b", "x", "sx", "y", "sy")
+            .mapInArrow(compare, "a long, b long"))
 
 
 def components(edges: DataFrame, name: str = "edges") -> DataFrame:
@@ -231,7 +278,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, star_rounds:
     classes = stage(members.join(groups, ["n", "p1"]).select("cls", "gid"), "class-groups")
     marks = full.select(F.col("doc_id").alias("cls"), "n", *BITS)
     tokens = (sets.join(groups.select(F.col("gid").alias("doc_id"), F.col("gid"), F.col("p1").alias("_p"), F.col("n").alias("_n")), "doc_id")
-              .where("p1 = _p AND n = _n").dropDuplicates(["gid"])
+              .where("p1 = _p AND n = _n").dropDuplicates(["doc_id"])
               .select("gid", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "gid", "n", "pos"))
     tokens = tokens.repartitionByRange("token", "gid").sortWithinPartitions("token", "gid")
     shared = stage(tokens.mapInArrow(drop_singles("token"), "token long, gid long, n int, pos int"), "shared-tokens")
@@ -287,7 +334,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, star_rounds:
         near = pairs.join(x, "a").join(y, "b").where(_may_link("a", "b", percent))
         pairs = stage(near.select("a", "b"), "pairs")
         tested = tested.unionByName(pairs)
-        edges = edges.unionByName(stage(verify(pairs, members, d, k, percent), "links"))
+        close = stage(close_pairs(pairs, members, d, k, percent), "close-pairs")
+        edges = edges.unionByName(stage(verify(close, members, d, k, percent), "links"))
         found = components(edges)
         comps = stage(classes.join(found.select(F.col("doc_id").alias("cls"), "comp"), "cls", "left")
                       .select("cls", "gid", F.coalesce("comp", "cls").alias("comp")), "components")
