@@ -31,6 +31,7 @@ _U = np.uint64
 CELL_BITS, BLOCK_BITS = 22, 16
 BITS = ["b0", "b1", "b2", "b3"]
 WIDE = 4096
+SLOT_BITS = 25
 _LOW58 = _U((1 << 58) - 1)
 
 
@@ -135,29 +136,27 @@ def _may_link(a: str, b: str, percent: int) -> Column:
     return F.coalesce(apart <= n - 2 * F.ceil(F.lit(percent) * n / F.lit(100 + percent)), F.lit(True))
 
 
-def _texts_of(pairs: DataFrame, members: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows of ``docs`` that may be in a pair, ids in a pair with their set hash).
-
-    The rows are chosen by a bit map of fixed size (bounded, may let others through), so no text is shuffled for it.
-    """
+def _ids_of(pairs: DataFrame, members: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """Ids in a pair with their set hash, and a bit map of fixed size of them (bounded, may let others through)."""
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    bits = 25
-    slot = F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - bits)
-    bitmap = np.zeros(1 << bits, dtype=bool)
-    word = ids.groupBy(F.shiftright(slot, 15).alias("w")).agg(F.collect_set(slot).alias("s"))  # 1024 sets at most
+    bitmap = np.zeros(1 << SLOT_BITS, dtype=bool)
+    word = ids.groupBy(F.shiftright(_slot(), 15).alias("w")).agg(F.collect_set(_slot()).alias("s"))  # 1024 sets at most
     for r in word.toLocalIterator():
         bitmap[np.asarray(r["s"], dtype=np.int64)] = True
-    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(bitmap))
+    return ids.join(members.select(F.col("cls").alias("doc_id"), "s1"), "doc_id"), np.packbits(bitmap)
 
-    def maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.unpackbits(sent.value).view(bool)
-        for b in batches:
-            out = b.filter(pa.array(seen[b.column("slot").to_numpy()]))
-            if out.num_rows:
-                yield out.select(["doc_id", "text"])
 
-    wanted = ids.join(members.select(F.col("cls").alias("doc_id"), "s1"), "doc_id")
-    return docs.withColumn("slot", slot).mapInArrow(maybe, "doc_id long, text string"), wanted
+def _slot() -> Column:
+    return F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - SLOT_BITS).alias("slot")
+
+
+def _chosen(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows whose slot is set, so that no text is shuffled to find the texts of a pair."""
+    for b in batches:
+        at = b.column("slot").to_numpy()
+        out = b.filter(pa.array((bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1))
+        if out.num_rows:
+            yield out.select(["doc_id", "text"])
 
 
 def close_pairs(pairs: DataFrame, members: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -165,8 +164,11 @@ def close_pairs(pairs: DataFrame, members: DataFrame, docs: DataFrame, k: int, p
 
     The bits are made where the texts are read, only they are shuffled.
     """
+    wanted, bitmap = _ids_of(pairs, members)
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap)
+
     def to_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _chosen(batches, sent.value):
             for lo, hi, buf, off in pieces(b.column("text")):
                 rows, h = shingle_sets(buf, off, k)
                 n = np.bincount(rows, minlength=hi - lo)
@@ -187,8 +189,8 @@ def close_pairs(pairs: DataFrame, members: DataFrame, docs: DataFrame, k: int, p
             n = b.column("nx").to_numpy() + b.column("ny").to_numpy()
             yield b.select(["a", "b"]).filter(pa.array(apart <= n - 2 * -(-percent * n // (100 + percent))))
 
-    texts, wanted = _texts_of(pairs, members, docs)
-    marks = texts.mapInArrow(to_bits, "doc_id long, s1 long, n long, bits binary").join(wanted, ["doc_id", "s1"])
+    marks = docs.select("doc_id", "text", _slot()).mapInArrow(to_bits, "doc_id long, s1 long, n long, bits binary")
+    marks = marks.join(wanted, ["doc_id", "s1"])
     marks = marks.dropDuplicates(["doc_id"])  # the text the id stands for, once
     left = marks.select(F.col("doc_id").alias("a"), F.col("n").alias("nx"), F.col("bits").alias("x"))
     right = marks.select(F.col("doc_id").alias("b"), F.col("n").alias("ny"), F.col("bits").alias("y"))
@@ -226,8 +228,10 @@ def verify(pairs: DataFrame, members: DataFrame, docs: DataFrame, k: int, percen
                     keep = (common * 100 >= percent * union) & right_x[i:j] & right_y
                     yield part.slice(i, j - i).select(["a", "b"]).filter(pa.array(keep))
 
-    texts, wanted = _texts_of(pairs, members, docs)
-    texts = texts.join(wanted, "doc_id")
+    wanted, bitmap = _ids_of(pairs, members)
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap)
+    texts = docs.select("doc_id", "text", _slot()).mapInArrow(
+        lambda batches: _chosen(batches, sent.value), "doc_id long, text string").join(wanted, "doc_id")
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x"), F.col("s1").alias("sx"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y"), F.col("s1").alias("sy"))
     return (pairs.join(left, "a").join(right, "b").select("a", "b", "x", "sx", "y", "sy")
