@@ -2,8 +2,8 @@
 
 Exact quantiles use a distributed selection: each pass is one partial-aggregated
 ``groupBy`` that counts values per (interval, bucket); only the bucket holding a
-wanted rank is refined in the next pass. No group's values are ever gathered into
-one task or the driver, except a bucket proven to hold at most ``small`` values.
+wanted rank is refined in the next pass, until it holds one value. No group's values
+are ever gathered into one task or the driver; one path serves every size.
 Ties (a value held by a third of all rows) collapse into one bucket row.
 """
 
@@ -16,11 +16,8 @@ from pyspark.sql import functions as F
 
 from ..plans.session import keep
 
-# Buckets per refinement pass, and the bucket size that may be gathered directly.
+# Buckets per refinement pass.
 SELECT_BUCKETS = 4096
-SELECT_SMALL = 50_000
-# Rows per group that one window partition may hold in running_totals.
-RUNNING_ONE_RANGE = 200_000
 
 
 def _groups_filter(by, key) -> Column:
@@ -30,50 +27,53 @@ def _groups_filter(by, key) -> Column:
     return cond
 
 
-def select_ranks(df: DataFrame, col: str, ranks: dict, by=(), buckets: int = SELECT_BUCKETS,
-                 small: int = SELECT_SMALL, counts: dict | None = None) -> dict:
+def select_ranks(df: DataFrame, col: str, ranks: dict, by=(), buckets: int = SELECT_BUCKETS) -> dict:
     """Exact order statistics of a numeric column, per group.
 
     ``ranks`` maps group key tuple -> iterable of 0-based ranks among the group's non-NULL,
-    non-NaN values in ascending order. Returns group -> {rank: value}. When ``counts``
-    (group -> number of values) shows every wanted group holds at most ``small`` values,
-    the sorted values of those groups are read in one job instead of refining.
+    non-NaN values in ascending order. Returns group -> {rank: value}. Infinite values are
+    counted apart: they are the ends of the order. The groups must be few (labels, columns):
+    every wanted rank is one interval of the plan.
     """
     by = list(by)
     data = (df.select(*[F.col(b) for b in by], F.col(col).cast("double").alias("_v"))
             .where(F.col("_v").isNotNull() & ~F.isnan(F.col("_v"))))
-    if counts is not None and all(counts.get(g, 0) <= small for g in ranks):
-        grouped = data.groupBy(*by) if by else data.groupBy()
-        got = {tuple(r[b] for b in by): r["vs"] for r in
-               grouped.agg(F.sort_array(F.collect_list("_v")).alias("vs")).collect()}
-        return {g: {r: got[g][r] for r in rs} for g, rs in ranks.items() if g in got}
+    v, inf = F.col("_v"), float("inf")
     cached = df.storageLevel.useMemory or df.storageLevel.useDisk
     if not cached:
         data.persist()
     try:
-        stats = {tuple(r[b] for b in by): (r["lo"], r["hi"]) for r in
-                 (data.groupBy(*by) if by else data.groupBy()).agg(F.min("_v").alias("lo"), F.max("_v").alias("hi")).collect()}
+        finite = F.when(F.abs(v) != F.lit(inf), v)
+        stats = {tuple(r[b] for b in by): r for r in
+                 (data.groupBy(*by) if by else data.groupBy()).agg(
+                     F.min(finite).alias("lo"), F.max(finite).alias("hi"), F.count(finite).alias("n"),
+                     F.count(F.when(v == F.lit(-inf), v)).alias("below")).collect()}
         # active intervals: (group, lo, hi, base) -> set of ranks
         active: dict = {}
         out: dict = {g: {} for g in ranks}
         for g, rs in ranks.items():
             if g not in stats:
                 continue
-            lo, hi = stats[g]
+            lo, hi, n, below = (stats[g][c] for c in ("lo", "hi", "n", "below"))
             for r in rs:
-                if lo == hi:
+                if r < below:
+                    out[g][r] = -inf
+                elif r >= below + n:
+                    out[g][r] = inf
+                elif lo == hi:
                     out[g][r] = lo
                 else:
-                    active.setdefault((g, lo, hi, 0), set()).add(r)
+                    active.setdefault((g, lo, hi, below), set()).add(r)
         while active:
             ivs = list(active.items())
             key = None
             for i, ((g, lo, hi, _), _) in enumerate(ivs):
-                inside = _groups_filter(by, g) & (F.col("_v") >= F.lit(lo)) & (F.col("_v") <= F.lit(hi))
+                inside = _groups_filter(by, g) & (v >= F.lit(lo)) & (v <= F.lit(hi))
                 # (v - lo) / (hi - lo) stays in [0, 1] even for tiny ranges, so lo lands in the
                 # first bucket and hi in the last: every pass splits the interval
-                b = F.least(F.floor((F.col("_v") - F.lit(lo)) / F.lit(hi - lo) * F.lit(float(buckets))),
-                            F.lit(buckets - 1)).cast("long")
+                half = 1.0 if math.isfinite(hi - lo) else 0.5  # a range beyond the largest double
+                share = (v * F.lit(half) - F.lit(lo * half)) / F.lit(hi * half - lo * half)
+                b = F.least(F.floor(share * F.lit(float(buckets))), F.lit(buckets - 1)).cast("long")
                 k = F.lit(i * buckets).cast("long") + b
                 key = F.when(inside, k) if key is None else key.when(inside, k)
             hist = (data.select(key.alias("_k"), "_v").where(F.col("_k").isNotNull())
@@ -84,27 +84,20 @@ def select_ranks(df: DataFrame, col: str, ranks: dict, by=(), buckets: int = SEL
             for r in hist:
                 per_iv.setdefault(r["_k"] // buckets, []).append((r["_k"] % buckets, r["n"], r["lo"], r["hi"]))
             nxt: dict = {}
-            gather: dict = {}  # bucket key -> list of (group, rank, offset)
             for i, ((g, _lo, _hi, base), rs) in enumerate(ivs):
                 rows = sorted(per_iv.get(i, []))
                 for r in rs:
                     cum = base
-                    for bkt, n, blo, bhi in rows:
+                    for _, n, blo, bhi in rows:
                         if r < cum + n:
                             if blo == bhi:
                                 out[g][r] = blo
-                            elif n <= small:
-                                gather.setdefault(i * buckets + bkt, []).append((g, r, r - cum))
+                            elif (n == 2) or r in (cum, cum + n - 1):  # the bucket's ends are known
+                                out[g][r] = blo if r == cum else bhi
                             else:
                                 nxt.setdefault((g, blo, bhi, cum), set()).add(r)
                             break
                         cum += n
-            if gather:
-                got = (data.select(key.alias("_k"), "_v").where(F.col("_k").isin(list(gather)))
-                       .groupBy("_k").agg(F.sort_array(F.collect_list("_v")).alias("vs")).collect())
-                for row in got:
-                    for g, r, off in gather[row["_k"]]:
-                        out[g][r] = row["vs"][off]
             active = nxt
         return out
     finally:
@@ -144,7 +137,7 @@ def _quantiles_of(df: DataFrame, col: str, probs, by) -> dict:
             for p in probs:
                 h = (n - 1) * p
                 want[g].update({int(math.floor(h)), int(math.ceil(h))})
-    vals = select_ranks(df, col, want, by, counts=counts) if want else {}
+    vals = select_ranks(df, col, want, by) if want else {}
     res = {}
     for g, n in counts.items():
         if not n:
@@ -333,14 +326,13 @@ def range_index(v: Column, bounds, ascending: bool = True) -> Column:
 
 
 def running_totals(df: DataFrame, order_col: str, cols, by=(), ascending: bool = True, tie=(),
-                   buckets: int = 64, prefix: str = "cum_", one_range_max: int = RUNNING_ONE_RANGE) -> DataFrame:
+                   buckets: int = 64, prefix: str = "cum_") -> DataFrame:
     """Cumulative sums of ``cols`` in ``order_col`` order within each ``by`` group, without a one-task window.
 
     Rows are cut into ``buckets`` ranges of the order column at approximate quantiles (one
     sketch job; the limits only balance the work); each range is summed, the range offsets
     (at most groups × buckets numbers) are broadcast, and a window partitioned by (group,
-    range) adds the running sum inside the range, so the totals are exact. Groups of at most
-    ``one_range_max`` rows skip the ranges. Rows with equal order values share a range, so ties are never split; ``tie`` columns order rows inside a tie. The order column must be non-NULL.
+    range) adds the running sum inside the range, so the totals are exact. Rows with equal order values share a range, so ties are never split; ``tie`` columns order rows inside a tie. The order column must be non-NULL.
     ``cols`` may name a column or be ``"1"`` for a running row count (``cum_1``).
     """
     by = list(by)
@@ -351,22 +343,15 @@ def running_totals(df: DataFrame, order_col: str, cols, by=(), ascending: bool =
     vals = [(F.lit(1) if c == "1" else F.col(c)).alias(f"_c{i}") for i, c in enumerate(cols)]
     data = df.select("*", *vals)
     picked: dict = {}
-    if not all(n <= one_range_max for n in counts.values()):
-        # range limits only balance the window partitions; the sums stay exact whatever the
-        # limits are, so approximate quantiles (a bounded sketch, one job) are enough
-        probs = [i / buckets for i in range(1, buckets)]
-        grouped = df.groupBy(*by) if by else df.groupBy()
-        for r in grouped.agg(F.percentile_approx(F.col(order_col).cast("double"), probs, 10 * buckets)
-                             .alias("_b")).collect():
-            picked[tuple(r[b] for b in by)] = r["_b"] or []
+    # range limits only balance the window partitions; the sums stay exact whatever the
+    # limits are, so approximate quantiles (a bounded sketch, one job) are enough
+    probs = [i / buckets for i in range(1, buckets)]
+    grouped = df.groupBy(*by) if by else df.groupBy()
+    for r in grouped.agg(F.percentile_approx(F.col(order_col).cast("double"), probs, 10 * buckets)
+                         .alias("_b")).collect():
+        picked[tuple(r[b] for b in by)] = r["_b"] or []
     order = [F.asc(order_col) if ascending else F.desc(order_col)] + [F.asc(t) for t in ([tie] if isinstance(tie, str) else tie)]
     w = Window.partitionBy(*by, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    if not picked:
-        # one range per group (each at most one_range_max rows): no offsets to add
-        out = data.withColumn("_bucket", F.lit(0))
-        for i, c in enumerate(cols):
-            out = out.withColumn(prefix + c, F.sum(f"_c{i}").over(w))
-        return out.drop("_bucket", *[f"_c{i}" for i in range(len(cols))])
     v = F.col(order_col).cast("double")
     bucket = None
     for g in counts:

@@ -13,10 +13,6 @@ from .conftest import SF0001
 SKIP = {"kpi_summary_with_models", "c1_fit_coefficients", "c1_model_metrics", "c1_model_report",
         "c2_model_metrics", "c2_scatter", "c2_residuals", "c_score_loans", "src_csv_roundtrip", "src_parquet_roundtrip", "src_csv_gz_roundtrip", "src_csv_row_counts"}
 NAMES = sorted(n for n in E.queries() if n not in SKIP)
-# running totals over at most RUNNING_ONE_RANGE rows may use one ordered window (a proven bound);
-# larger inputs switch to range-partitioned windows (test_running_totals_plan_is_partitioned)
-BOUNDED_ONE_WINDOW = {"c2_split", "c2_scaler", "metric_auc", "metric_roc_points"}
-
 
 @pytest.mark.parametrize("name", NAMES)
 def test_plan_shape(spark, name):
@@ -25,8 +21,7 @@ def test_plan_shape(spark, name):
     physical = qe.executedPlan().toString()
     assert "CartesianProduct" not in physical
     assert "BroadcastNestedLoopJoin" not in physical
-    windows = [] if name in BOUNDED_ONE_WINDOW else re.finditer(r"windowspecdefinition\((.*?)\)",
-                                                                 qe.optimizedPlan().toString())
+    windows = re.finditer(r"windowspecdefinition\((.*?)\)", qe.optimizedPlan().toString())
     for m in windows:
         spec = m.group(1).strip()
         # a window spec starting with the order or the frame has no PARTITION BY: one task
@@ -43,7 +38,7 @@ def test_running_totals_plan_is_partitioned(spark):
     from bankspark.operators.stats import running_totals
 
     df = spark.range(0, 5000).selectExpr("id", "id * 7 % 101 AS s")
-    out = running_totals(df, "s", ["1"], tie=["id"], buckets=8, one_range_max=0)
+    out = running_totals(df, "s", ["1"], tie=["id"], buckets=8)
     opt = out._jdf.queryExecution().optimizedPlan().toString()
     specs = re.findall(r"windowspecdefinition\((.*?)\)", opt)
     assert specs and all(sp.strip().startswith("_bucket") for sp in specs)

@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -25,7 +26,7 @@ def test_exact_quantiles_match_numpy(spark, xs):
         assert math.isclose(g, w, rel_tol=1e-9, abs_tol=1e-9)
     n = len(xs)
     ranks = sorted({int(math.floor((n - 1) * p)) for p in probs})
-    refined = S.select_ranks(df, "v", {(): ranks}, buckets=4, small=3)[()]
+    refined = S.select_ranks(df, "v", {(): ranks}, buckets=4)[()]
     assert [refined[r] for r in ranks] == [sorted(xs)[r] for r in ranks]
 
 
@@ -33,7 +34,7 @@ def test_select_ranks_multi_pass_and_ties(spark):
     # many ties and a wide spread force several refinement passes with tiny buckets
     xs = [1.0] * 400 + [float(i) ** 3 for i in range(300)] + [1e12, -1e12]
     df = spark.createDataFrame([(x, i % 3) for i, x in enumerate(xs)], "v double, g int")
-    got = S.select_ranks(df, "v", {(0,): [0, 100, 233], (1,): [5, 150]}, by=["g"], buckets=8, small=10)
+    got = S.select_ranks(df, "v", {(0,): [0, 100, 233], (1,): [5, 150]}, by=["g"], buckets=8)
     for g, ranks in [(0, [0, 100, 233]), (1, [5, 150])]:
         srt = sorted(x for i, x in enumerate(xs) if i % 3 == g)
         for r in ranks:
@@ -127,5 +128,13 @@ def test_select_ranks_tiny_ranges_terminate(spark):
     xs = [1e-310 * i for i in range(1, 40)] + [5e-324, 0.0, -5e-324]
     df = spark.createDataFrame([(x,) for x in xs], "v double")
     srt = sorted(xs)
-    got = S.select_ranks(df, "v", {(): [0, 7, 20, 41]}, buckets=4, small=2)[()]
+    got = S.select_ranks(df, "v", {(): [0, 7, 20, 41]}, buckets=4)[()]
     assert [got[r] for r in (0, 7, 20, 41)] == [srt[r] for r in (0, 7, 20, 41)]
+
+
+@pytest.mark.parametrize("extra", [[float("inf")], [float("-inf"), float("inf"), float("inf")], [1.7e308, -1.7e308]])
+def test_select_ranks_of_infinite_and_huge_values(spark, extra):
+    values = sorted([float(i) for i in range(20)] + extra)
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = S.select_ranks(df, "v", {(): range(len(values))}, buckets=4)[()]
+    assert [got[r] for r in range(len(values))] == values
