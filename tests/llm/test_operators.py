@@ -104,6 +104,32 @@ def test_reputation_shrinks_and_blocks_only_on_evidence(spark):
     assert rep["new.a.org"].n == 0
 
 
+def test_units_without_labels_are_not_blocked(spark):
+    """Bad labels elsewhere, or a block rule for some paths, do not condemn what has no label."""
+    bad = [(f"http://h{i}.bad{j}.{s}/x", 0) for s in ("org", "info") for i in range(4) for j in range(5) for _ in range(6)]
+    good = [(f"http://h{i}.fine.com/x", 1) for i in range(5) for _ in range(4)]
+    new = ["http://new.bad1.org/x", "http://a.new.org/x", "http://a.b.dev/x"]  # host, domain, suffix without labels
+    rows = [(i, u, g) for i, (u, g) in enumerate([*bad, *good, *((u, None) for u in new)])]
+    pages = spark.createDataFrame(rows, "page_id long, url string, good int")
+    got = {r.page_id: r for r in url_reputation.filter_urls(pages, [], outcome=F.col("good")).collect()}
+    for i, u, g in rows:
+        assert got[i].verdict == ("block" if g == 0 else "allow"), u
+    rules = [("block", "net", "/es/"), ("allow", "com", "/"), ("block", "spam.net", "/")]
+    urls = [f"http://h{i % 4}.x{i % 3}.net/{('es', 'en', 'de')[i % 5 % 3]}/{i}" for i in range(120)]
+    urls += [f"http://c{i % 5}.com/{i}" for i in range(20)] + [f"http://a{i % 5}.spam.net/{i}" for i in range(20)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    for r in url_reputation.filter_urls(pages, rules).collect():
+        assert r.verdict == ("block" if "/es/" in urls[r.page_id] or "spam" in urls[r.page_id] else "allow"), r
+
+
+def test_uncertain_parents_widen_the_bound(spark):
+    out = [(f"h{i}.a{i}.{'org' if i % 2 else 'net'}", int(i % 2)) for i in range(40)] * 3 + [("new.b.dev", None)]
+    rep = {r.host: r for r in url_reputation.host_reputation(spark.createDataFrame(out, "host string, good int")).collect()}
+    # bounds of the whole mean alone would be within 0.12 of it
+    assert rep["new.b.dev"].upper - rep["new.b.dev"].mean > 0.3
+    assert rep["h0.a0.net"].upper < 0.5 < rep["h1.a1.org"].lower
+
+
 # ---------------------------------------------------------------- 2 lines
 
 def test_line_dedup(docs, rows, empty):
