@@ -3,7 +3,9 @@
 Texts are normalised (A-Z lower-cased, runs of ASCII white space and punctuation become one
 space). A test item that occurs in a document with at most e edits leaves one of its
 e + 1 pieces untouched, so an exact search for all pieces finds every candidate place; each is
-verified by Myers' bit-parallel approximate matching on the text round the hit.
+verified by Myers' bit-parallel approximate matching on the text round the hit. Short pieces have
+many chance hits, so the stretches round the piece are verified first: k neighbouring pieces may
+differ by k - 1 edits, and one piece of every leak lies in such stretches only, up to the whole.
 
 Documents are never shuffled: the benchmark (a stated query set) goes to the tasks in
 blocks of at most ``block_chars`` characters, each block one pass over the documents.
@@ -13,6 +15,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import ahocorasick
 import pyarrow as pa
@@ -29,9 +32,9 @@ def normalise(text: str | None) -> str:
     return _GAPS.sub(" ", text or "").translate(_ASCII_LOWER).strip()
 
 
-def error_budget(length: int, rate: float, min_piece: int) -> int:
-    """Edits allowed for an item: rate * length, but pieces keep ``min_piece`` characters."""
-    return max(0, min(int(length * rate), length // min_piece - 1))
+def error_budget(length: int, rate: float, min_piece: int = 1) -> int:
+    """Edits allowed for an item: rate * length, whatever ``min_piece``; every piece has a character."""
+    return max(0, min(int(length * rate + 1e-9), length - 1))
 
 
 def pieces_of(item: str, errors: int) -> list[tuple[int, str]]:
@@ -73,18 +76,33 @@ def masks_of(item: str) -> dict[str, int]:
     return out
 
 
+@lru_cache(maxsize=1 << 14)
+def _stretch_masks(stretch: str) -> dict[str, int]:
+    return masks_of(stretch)
+
+
+def stretches_of(piece: int, pieces: int) -> list[tuple[int, int]]:
+    """Nested ranges of pieces round one, smallest first, the whole left out: the halves of halves."""
+    out, lo, hi = [], 0, pieces
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        lo, hi = (lo, mid) if piece < mid else (mid, hi)
+        out.append((lo, hi))
+    return out[::-1]
+
+
 class Matcher:
     """Pieces of a block of items in one automaton."""
 
     def __init__(self, items: list[tuple[int, str]], rate: float, min_piece: int):
-        self.items = []
-        found: dict[str, list[tuple[int, int]]] = {}
+        self.items, self.min_piece = [], min_piece
+        found: dict[str, list[tuple[int, int, int]]] = {}
         for item_id, text in items:
             e = error_budget(len(text), rate, min_piece)
             number = len(self.items)
             self.items.append((item_id, text, e, masks_of(text), masks_of(text[::-1])))
-            for at, piece in pieces_of(text, e):
-                found.setdefault(piece, []).append((number, at))
+            for i, (at, piece) in enumerate(pieces_of(text, e)):
+                found.setdefault(piece, []).append((number, i, at))
         self.automaton = ahocorasick.Automaton()
         for piece, where in found.items():
             self.automaton.add_word(piece, (len(piece), where))
@@ -92,6 +110,23 @@ class Matcher:
             self.automaton.make_automaton()
         self.empty = not found
 
+    def _plausible(self, item: str, e: int, piece: int, shift: int, text: str) -> bool:
+        """Whether the stretches round a piece found at its place plus ``shift`` keep their edits.
+
+        Stops after the first stretch of ``min_piece`` characters; a leak passes at one of its pieces.
+        """
+        n, k = len(item), e + 1
+        for lo, hi in stretches_of(piece, k):
+            begin, end, edits = n * lo // k, n * hi // k, hi - lo - 1
+            if edits:
+                part = item[begin:end]
+                near = text[max(0, begin + shift - edits): max(0, end + shift + edits)]
+                if myers(part, _stretch_masks(part), near)[0] > edits:
+                    return False
+            if end - begin >= self.min_piece:
+                break
+        return True
+
     def search(self, text: str) -> list[tuple[int, int, int, int]]:
         """(item_id, distance, begin, end) of the best place of every item found in a normalised text."""
         if self.empty:
@@ -99,10 +134,14 @@ class Matcher:
         spans: dict[int, list[list[int]]] = {}
         for last, (length, where) in self.automaton.iter(text):
             begin = last + 1 - length
-            for number, at in where:
+            for number, piece, at in where:
                 _, item, e, _, _ = self.items[number]
                 lo, hi = max(0, begin - at - e), min(len(text), begin - at + len(item) + e)
-                have = spans.setdefault(number, [])
+                have = spans.get(number, [])
+                if have and have[-1][0] <= lo and hi <= have[-1][1] or \
+                        not self._plausible(item, e, piece, begin - at, text):
+                    continue
+                spans[number] = have
                 # hits come by their end, so windows of one item may overlap the latest ones only
                 if have and lo <= have[-1][1] and hi >= have[-1][0]:
                     have[-1][0], have[-1][1] = min(lo, have[-1][0]), max(hi, have[-1][1])
@@ -147,8 +186,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, min_pie
                block_chars: int = 8_000_000) -> DataFrame:
     """Test items inside documents: doc_id, item_id, distance, begin, end (in the normalised text).
 
-    An item of n characters may differ by e = min(rate * n, n / min_piece - 1) edits. One
-    row per document row and item (its best place). Null ids, null or empty texts and items have
+    An item of n characters may differ by e = rate * n edits, in pieces of n / (e + 1) characters; a
+    hit is verified on stretches up to ``min_piece`` characters before the whole. One row per document row and item (its best place). Null ids, null or empty texts and items have
     no rows; an empty benchmark gives none; repeated rows repeat their result.
     """
     d = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), "text")

@@ -319,6 +319,31 @@ def test_find_leaks(spark, empty):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(i) for i, _ in rows if i not in {g[0] for g in got})
 
 
+def test_leaks_with_a_tenth_of_edits(spark):
+    """Copies with substitutions, insertions and deletions up to a tenth of the item, limit taken from its length."""
+    rng = random.Random(14)
+    say = lambda n: "".join(rng.choice("abcde ") for _ in range(n)).strip().replace("  ", " a")
+    items = [(i, say(n)) for i, n in enumerate([12, 25, 39, 60, 81, 120, 137, 200])]
+    rows = []
+    for i in range(160):
+        text = list(decontaminate.normalise(items[i % 8][1]))
+        for _ in range(rng.randint(0, len(text) // 8)):
+            at, how = rng.randrange(len(text)), rng.randrange(3)
+            text[at: at + (how != 1)] = [rng.choice("abcde")] * (how != 2)
+        rows.append((i, f"{say(50)} {''.join(text)} {say(70)}"))
+    d, b = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.distance) for r in decontaminate.find_leaks(d, b).collect())
+    want = []
+    for i, t in rows:
+        for k, item in items:
+            item = decontaminate.normalise(item)
+            x = substring_distance(item, decontaminate.normalise(t))
+            if x <= len(item) // 10:
+                want.append((i, k, x))
+    assert got == sorted(want)
+    assert sum(x > len(items[k][1]) // 20 for _, k, x in got) >= 20  # more than 5 % of edits
+
+
 # ---------------------------------------------------------------- 6 Jaccard join
 
 def shingles(text, k=5):
