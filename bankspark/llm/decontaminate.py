@@ -1,6 +1,6 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
-Texts are normalised (A-Z lower-cased, runs of ASCII white space and punctuation become one
+Texts are normalised (Unicode case folded, runs of ASCII white space and punctuation become one
 space). A test item that occurs in a document with at most e edits leaves one of its
 e + 1 pieces untouched, so an exact search for all pieces finds every candidate place; each is
 verified by Myers' bit-parallel approximate matching on the text round the hit. Short pieces have
@@ -23,13 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _GAPS = re.compile(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
-_ASCII_LOWER = {i: i + 32 for i in range(65, 91)}
 HITS = "doc_id long, item_id long, distance int, begin int, end int"
 
 
 def normalise(text: str | None) -> str:
-    """A-Z lower-cased; each run of ASCII white space, punctuation or control characters is a space."""
-    return _GAPS.sub(" ", text or "").translate(_ASCII_LOWER).strip()
+    """Case folded by Unicode; each run of ASCII white space, punctuation or control characters is a space."""
+    return _GAPS.sub(" ", text or "").casefold().strip()
 
 
 def error_budget(length: int, rate: float, min_piece: int = 1) -> int:

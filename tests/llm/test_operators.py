@@ -344,6 +344,16 @@ def test_leaks_with_a_tenth_of_edits(spark):
     assert sum(x > len(items[k][1]) // 20 for _, k, x in got) >= 20  # more than 5 % of edits
 
 
+def test_leaks_in_capitals_of_any_script(spark):
+    items = ["Así la canción más añeja del niño cayó en aquél jardín según él", "Съешь же ещё этих мягких французских булок",
+             "Ξεσκεπάζω την ψυχοφθόρα βδελυγμία της χώρας", "Die große Straße führt über Öland und weiß von Äpfeln"]
+    d = spark.createDataFrame([(i, f"Before {t.upper()}! after") for i, t in enumerate(items)], "doc_id long, text string")
+    b = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.distance) for r in decontaminate.find_leaks(d, b).collect())
+    assert got == [(i, i, 0) for i in range(len(items))]
+    assert decontaminate.clean(d, b).count() == 0
+
+
 # ---------------------------------------------------------------- 6 Jaccard join
 
 def shingles(text, k=5):
