@@ -6,8 +6,9 @@ zero. Toxic passages are the segments of tokens with maximal total score, found
 one linear scan per document (all maximal segments, not only the best). Segment scores are
 calibrated by the extreme-value law of maximal segments in clean text: the scale is
 the root of E[exp(lambda s)] = 1 over clean tokens, the factor comes from clean documents'
-maxima. A document's score follows from its best segment's significance, adjusted to
-the number of its tokens.
+maxima. A document's score follows from all its maximal segments: the r best together have the
+significance of their sum (Karlin and Altschul's sum statistics), adjusted to the number of
+the document's tokens, and the r with the smallest p-value counts.
 
 Token counts cover all labelled documents; tokens are hashed to a table of fixed size, which is
 what is broadcast.
@@ -23,7 +24,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bankspark.llm.shared import stage
 from bankspark.llm.text import RollingHash, pieces, words
 
 _U = np.uint64
@@ -153,6 +153,63 @@ def significance(best: np.ndarray, n: np.ndarray, scale: float, factor: float) -
     return -np.log(np.maximum(1e-300, -np.expm1(-expected)))
 
 
+def positive_runs(weight: np.ndarray) -> np.ndarray:
+    """Scores with each run of neighbours of one sign summed: the same maximal segments' totals, fewer entries."""
+    if not len(weight):
+        return weight
+    up = weight > 0
+    return np.add.reduceat(weight, np.concatenate([[0], np.flatnonzero(up[1:] != up[:-1]) + 1]))
+
+
+def combined(segments: np.ndarray, n: int, scale: float, factor: float) -> float:
+    """Significance of a document of n tokens from the scores of all its maximal segments.
+
+    With x_i = scale * s_i - log(factor * n), the r best have the sum t and a chance of about
+    exp(-t) t^(r-1) / (r! (r-1)!); r = 1 has the chance of the best segment alone. Choosing among r costs
+    log 2 for each further segment. Segments expected by chance at least once (x <= 0) add nothing.
+    """
+    if not len(segments):
+        return 0.0
+    s = np.sort(segments)[::-1]
+    one = float(significance(s[:1], np.array([n]), scale, factor)[0])
+    x = scale * s - np.log(factor * max(1, n))
+    x = x[x > 0]
+    if len(x) < 2:
+        return one
+    t, r = np.cumsum(x)[1:], np.arange(2, len(x) + 1)
+    factorials = np.cumsum(np.log(np.arange(1, len(x) + 1)))  # log r!
+    sums = t - (r - 1) * np.log(t) + factorials[1:] + factorials[:-1] - (r - 1) * np.log(2)
+    return max(one, float(sums[t > r - 1].max(initial=0.0)))  # the chance falls with t from t = r - 1 on
+
+
+def _evidence(docs: DataFrame, weights: np.ndarray, scale: float, factor: float, p: Params,
+              keep: tuple[str, ...]) -> DataFrame:
+    """``keep`` columns of every row, best, n, sig (combined significance) and passages (significant segments)."""
+    sent = docs.sparkSession.sparkContext.broadcast(weights)
+    schema = (", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+              + ", best double, n long, sig double, passages long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            best, n = np.zeros(b.num_rows), np.zeros(b.num_rows, np.int64)
+            sig, many = np.zeros(b.num_rows), np.zeros(b.num_rows, np.int64)
+            for lo, hi, buf, off in pieces(b.column("_text")):
+                ids, row, _, _ = token_ids(buf, off, p.buckets)
+                weight = sent.value[ids]
+                best[lo:hi], n[lo:hi] = best_segments(weight, row, hi - lo)
+                at = np.searchsorted(row, np.arange(hi - lo + 1))
+                for i in np.flatnonzero(best[lo:hi] > 0):
+                    found = np.array([s for _, _, s in maximal_segments(positive_runs(weight[at[i]: at[i + 1]]))])
+                    size = int(n[lo + i])
+                    sig[lo + i] = combined(found, size, scale, factor)
+                    many[lo + i] = (significance(found, np.full(len(found), size), scale, factor) >= -np.log(p.alpha)).sum()
+            yield pa.RecordBatch.from_arrays(
+                [*(b.column(i) for i in range(len(keep))), pa.array(best), pa.array(n), pa.array(sig), pa.array(many)],
+                names=[*keep, "best", "n", "sig", "passages"])
+
+    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
+
+
 def _best_of(docs: DataFrame, weights: np.ndarray, p: Params, keep: tuple[str, ...]) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(weights)
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", best double, n long"
@@ -183,44 +240,45 @@ def train(docs: DataFrame, labels: DataFrame, label: str, learn: Column, p: Para
         return Model(np.full(p.buckets, -p.drift), 1.0, 1.0, 1.0, -3.0 if n0.sum() else 0.0)
     weights = log_odds(n0, n1, p)
     scale = clean_scale(weights, n0)
-    # texts are shuffled once, for the counts; here every text is scanned in place and its two numbers meet the label
-    best = _best_of(docs.where("doc_id IS NOT NULL AND text IS NOT NULL"), weights, p, ("doc_id",))
-    best = stage(best.join(lab, "doc_id").select("label", "best", "n"), "segments")
+    # texts are shuffled once, for the counts; here every text is scanned in place and its numbers meet the label
+    texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
     # factor: the mean of exp(lambda * best) / n over clean documents is near 1 / K for the extreme-value law,
     # taken in logs so that no document outweighs the others
-    clean = best.where("label = 0 AND n > 0").agg(
+    clean = _best_of(texts, weights, p, ("doc_id",)).join(lab, "doc_id").where("label = 0 AND n > 0").agg(
         F.avg(F.lit(scale) * F.col("best") - F.log(F.col("n").cast("double")))).head()[0]
     factor = float(np.exp((clean or 0.0) - 0.5772156649))
     # calibration: counts of both classes over steps of the significance (a bounded table)
-    e = F.lit(factor) * F.greatest(F.col("n"), F.lit(1)) * F.exp(-F.lit(scale) * F.col("best"))
-    sig = -F.log(F.greatest(F.lit(1e-300), -F.expm1(-e)))
-    step = F.round(F.least(sig, F.lit(60.0)) * 4)
-    grid = best.groupBy(step.alias("x"), "label").count().toPandas()
+    found = _evidence(texts, weights, scale, factor, p, ("doc_id",)).select("doc_id", "sig")
+    step = F.round(F.least("sig", F.lit(60.0)) * 4)
+    grid = found.join(lab, "doc_id").groupBy(step.alias("x"), "label").count().toPandas()
     slope, offset = _logistic(grid["x"].to_numpy() / 4, grid["label"].to_numpy(), grid["count"].to_numpy())
     return Model(weights, scale, factor, slope, offset)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float]:
-    """Weighted logistic fit of one variable by Newton steps with a weak ridge."""
+    """Weighted logistic fit of one variable by Newton steps with a weak ridge, halved until the loss falls."""
     a = np.stack([x, np.ones_like(x)], 1)
+    loss = lambda v: float((n * (np.logaddexp(0, a @ v) - y * (a @ v))).sum() + 5e-3 * (v @ v))
     w = np.array([0.5, -2.0])
-    for _ in range(50):
+    for _ in range(100):
         q = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
         g = a.T @ (n * (q - y)) + 1e-2 * w
         h = (a * (n * q * (1 - q))[:, None]).T @ a + 1e-2 * np.eye(2)
-        w = w - np.clip(np.linalg.solve(h, g), -1, 1)
+        step = np.linalg.solve(h, g)
+        step /= max(1.0, np.abs(step).max())
+        while np.abs(step).max() > 1e-9 and loss(w - step) > loss(w):
+            step = step / 2
+        w = w - step
     return max(1e-3, float(w[0])), float(w[1])
 
 
 def score(docs: DataFrame, m: Model, p: Params = Params(), keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns of every row, best (segment score), n (tokens) and score (0..1).
+    """``keep`` columns, best (segment score), n (tokens), sig, passages (significant segments) and score (0..1).
 
     Whole texts are scanned. Empty, blank and null texts have no segment: best 0, the lowest score.
     """
-    best = _best_of(docs, m.weights, p, keep)
-    e = F.lit(m.factor) * F.greatest(F.col("n"), F.lit(1)) * F.exp(-F.lit(m.scale) * F.col("best"))
-    sig = F.when(F.col("best") <= 0, 0.0).otherwise(F.least(-F.log(F.greatest(F.lit(1e-300), -F.expm1(-e))), F.lit(60.0)))
-    return best.withColumn("score", 1 / (1 + F.exp(-(F.lit(m.slope) * sig + F.lit(m.offset)))))
+    found = _evidence(docs, m.weights, m.scale, m.factor, p, keep)
+    return found.withColumn("score", 1 / (1 + F.exp(-(F.lit(m.slope) * F.least("sig", F.lit(60.0)) + F.lit(m.offset)))))
 
 
 def passages(docs: DataFrame, m: Model, p: Params = Params()) -> DataFrame:

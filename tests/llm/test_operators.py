@@ -539,6 +539,35 @@ def test_toxicity_finds_passages(spark):
     assert toxicity.score(d, none).count() == len(rows)
 
 
+def test_several_passages_weigh_more_than_one(spark):
+    """A long text of several moderate passages scores above one of a single passage, and all segments count."""
+    weights = np.full(toxicity.Params().buckets, -0.5)
+    buf = np.frombuffer(b"scum", dtype=np.uint8)
+    weights[toxicity.token_ids(buf, np.array([0, 4]), toxicity.Params().buckets)[0]] = 2.0
+    m = toxicity.Model(weights, 1.0, 0.1, 1.0, -6.0)
+    plain, rude = ["w"] * 300, ["scum"] * 4
+    texts = [" ".join((plain + rude) * k + plain * (6 - k)) for k in range(6)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = toxicity.score(d, m).toPandas().sort_values("doc_id")
+    assert got.best.iloc[1:].nunique() == 1  # the best segment alone cannot tell them apart
+    assert (np.diff(got.score) > 0).all() and got.score.iloc[1] < 0.3 < got.score.iloc[5]
+    assert list(got.passages) == [0] * 6
+    rng = np.random.default_rng(5)
+    for _ in range(40):
+        s = np.round(rng.normal(-0.3, 1, rng.integers(0, 60)), 3)
+        of = lambda x: sorted(v for _, _, v in toxicity.maximal_segments(x))
+        assert np.allclose(of(s), of(toxicity.positive_runs(s)))
+
+
+def test_logistic_fit_is_at_its_minimum():
+    x, y = np.array([0.0, 1, 3, 8, 12, 30, 60, 2, 14]), np.array([0, 0, 0, 0, 0, 1, 1, 1, 1])
+    n = np.array([9000, 3000, 1500, 130, 20, 600, 900, 1, 100])
+    w = np.array(toxicity._logistic(x, y, n))
+    a = np.stack([x, np.ones_like(x)], 1)
+    slope = a.T @ (n * (1 / (1 + np.exp(-a @ w)) - y)) + 1e-2 * w
+    assert np.abs(slope).max() < 1e-3
+
+
 # ---------------------------------------------------------------- 10 fingerprints
 
 def test_fingerprints(docs, rows, empty):
