@@ -81,14 +81,15 @@ def read_csv_table(spark: SparkSession, folder: str, filename: str, sep: str | N
     """Read one ``;``-separated CSV with a header (gzip picked up transparently).
 
     ``sep=None`` detects ``;`` or ``,`` from the header. With ``table`` the known columns
-    get their fixed types (see :mod:`bankspark.sources.schemas`).
+    get their fixed types (see :mod:`bankspark.sources.schemas`). Quoted values may hold line breaks, so
+    one file is read by one task, whatever its size; a table written in parts is read in as many.
     """
     path = resolve_csv_path(spark, folder, filename)
     if sep is None:
         required = [k for k in TYPES.get(table, {}) if k != "issued"][:2] if table else None
         sep = detect_sep(spark, path, required)
     df = (spark.read.option("header", True).option("sep", sep).option("inferSchema", False)
-          .option("mode", "PERMISSIVE").csv(path))
+          .option("multiLine", True).option("mode", "PERMISSIVE").csv(path))
     return apply_types(df, table) if table else df
 
 
@@ -121,25 +122,31 @@ def write_csv(df: DataFrame, path: str, sep: str = ";", compression: str | None
     w.csv(path)
 
 
+def csv_size(df: DataFrame, sep: str = ";") -> int:
+    """Bytes of ``df`` as one CSV with a header, summed without writing it."""
+    line = F.to_csv(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {
+        "sep": sep, "dateFormat": "yyyy-MM-dd", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"})
+    return len(sep.join(df.columns).encode()) + 1 + int(df.select(F.sum(F.octet_length(line) + 1)).head()[0] or 0)
+
+
 def write_tables(t: dict, folder: str, files: dict | None = None, gzip_over_mb: float = GZIP_THRESHOLD_MB,
                  sep: str = ";") -> dict:
     """Write every table as ``;``-CSV with a header; a table whose CSV exceeds ``gzip_over_mb`` MB
-    is rewritten gzip-compressed as ``<file>.gz`` and the plain copy removed.
+    is written gzip-compressed as ``<file>.gz`` instead, and a plain copy of an earlier run is removed.
 
-    Returns {table: (path, bytes)}. Each table is written by all its partitions in parallel.
+    Returns {table: (path, bytes)}. Each table is written once, by all its partitions in parallel.
     """
     files = {**DEFAULT_FILES, **(files or {})}
     out = {}
     for name, df in t.items():
         spark = df.sparkSession
-        path = join_path(folder, files.get(name, f"{name}.csv"))
-        write_csv(df, path, sep)
+        plain = join_path(folder, files.get(name, f"{name}.csv"))
+        big = csv_size(df, sep) > gzip_over_mb * 1024 * 1024
+        path = plain + ".gz" if big else plain
+        write_csv(df, path, sep, compression="gzip" if big else None)
+        if big:  # the reader takes the plain file first
+            remove_path(spark, plain)
         size = path_size(spark, path)
-        if size > gzip_over_mb * 1024 * 1024:
-            gz = path + ".gz"
-            write_csv(spark.read.option("header", True).option("sep", sep).csv(path), gz, sep, compression="gzip")
-            remove_path(spark, path)
-            path, size = gz, path_size(spark, gz)
         log.info("wrote %s (%.1f MB)", path, size / 1048576)
         out[name] = (path, size)
     return out

@@ -32,6 +32,21 @@ def test_csv_gz_fallback_and_roundtrip(spark, raw0001):
     assert sorted(back.collect()) == sorted(raw0001["card"].collect())
 
 
+@pytest.mark.parametrize("limit", [0, 0.01, 20])
+def test_line_breaks_survive_at_every_size(spark, limit):
+    """A table over the limit (0.01 MB) and one under it keep values with line breaks, quotes and separators."""
+    odd = ["a\nb", "c\r\nd", 'say "x";\n', "plain", None, "\n\nend", " kept  "]
+    rows = [(i, odd[i % len(odd)], f"v{i}") for i in range(2000)]
+    df = spark.createDataFrame(rows, "id long, note string, v string").repartition(3)
+    d = tempfile.mkdtemp()
+    path, size = S.write_tables({"notes": df, "none": df.limit(0)}, d, gzip_over_mb=limit)["notes"]
+    assert path.endswith(".gz") == (limit < 1) and size == S.path_size(spark, path)
+    assert S.path_exists(spark, f"{d}/notes.csv") != S.path_exists(spark, f"{d}/notes.csv.gz")
+    back = S.read_csv_table(spark, d, "notes.csv", sep=";")
+    assert sorted((int(r.id), r.note, r.v) for r in back.collect()) == rows
+    assert S.read_csv_table(spark, d, "none.csv", sep=";").count() == 0
+
+
 def test_merge_years_keeps_duplicates(spark):
     a = spark.createDataFrame([(1, "x")], "id int, v string")
     merged = S.merge_years(S.empty_like(a), a, a)
