@@ -57,7 +57,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("sharding", shards),
 ]
 
-#: A learned classifier is not one SQL statement; tests hold every stage against brute force.
+#: A learned classifier is not one SQL statement; tests/llm/test_pipeline.py holds every stage against planted cases.
 ORACLE_SQL = None
 
 
