@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bankspark.llm import (decontaminate, fingerprint, jaccard_join, line_dedup, mixing, quality, sharding,
-                           suffix_dedup, toxicity, url_reputation)
+from bankspark.llm import (decontaminate, fingerprint, jaccard_join, line_dedup, mixing, packing, quality, ranked_search,
+                           sharding, spelling, suffix_dedup, toxicity, url_reputation)
 from bankspark.llm.shared import table
 
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
@@ -75,9 +75,25 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.word_counts(table(spark, sf_dir, "documents"), min_length=6, drop_every=199)
+    return spelling.variants(words.where(F.col("n") >= 5))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(ranked_search.build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_url_filter, op2_line_dedup, op3_mixing, op4_suffix_dedup, op5_decontamination,
-                            op6_jaccard_join, op7_sharding, op8_quality, op9_toxicity, op10_order_minhash)}
+                            op6_jaccard_join, op7_sharding, op8_quality, op9_toxicity, op10_order_minhash,
+                            op11_packing, op12_spelling_variants, op13_ranked_search)}
 
 UP, LOW = url_reputation.UPPER, url_reputation.LOWER
 
@@ -177,5 +193,19 @@ f AS (SELECT doc_id, n_bytes, prefix, depth, bytes, row_number() OVER (PARTITION
 SELECT doc_id, n_bytes, CASE WHEN depth = 0 THEN '' ELSE right(lpad(bin(prefix), 64, '0'), depth::INT) END AS shard,
   bytes AS shard_bytes, 0 AS shard_part FROM f WHERE i = 1"""
 
+_TERMS = f"regexp_extract_all(translate(coalesce(text, ''), '{UP}', '{LOW}'), '{ranked_search.TERM}')"
+_OP13 = f"""WITH d AS (SELECT doc_id, {_TERMS} AS l FROM documents),
+s AS (SELECT doc_id, len(l)::BIGINT AS n, l FROM d WHERE len(l) > 0),
+g AS (SELECT count(*)::BIGINT AS nn, sum(n)::BIGINT AS ll FROM s),
+q AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark)),
+f AS (SELECT doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, n, unnest(l) AS term FROM s)
+  WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w
+  FROM (SELECT term, count(*) AS df FROM f GROUP BY term), g),
+p AS (SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * nn) // ll))) AS part FROM f JOIN w USING (term), g),
+r AS (SELECT item_id, doc_id, sum(part)::BIGINT AS score FROM q JOIN p USING (term) GROUP BY ALL HAVING sum(part) > 0),
+k AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM r)
+SELECT * FROM k WHERE rank <= 10"""
+
 ORACLE: dict[str, str] = {"op1_url_filter": _op1_sql(), "op2_line_dedup": _OP2, "op3_mixing": _OP3,
-                          "op6_jaccard_join": _OP6, "op7_sharding": _OP7}
+                          "op6_jaccard_join": _OP6, "op7_sharding": _OP7, "op13_ranked_search": _OP13}
