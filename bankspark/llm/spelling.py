@@ -183,6 +183,7 @@ def near_pairs(words: DataFrame, symbols: int = 8) -> DataFrame:
 
     ``words`` has distinct (word, n) over ``LETTERS``.
     """
+    words = words.select("word", F.col("n").cast("long").alias("n"))
     vocabulary = stage(words.mapInArrow(reduce_words(symbols), "word string, n long, reduced string, h long"), "spelling-words")
     least = vocabulary.agg(F.min(F.length("word"))).first()[0] or 0
     forms = vocabulary.groupBy("reduced").agg(F.min("word").alias("word"))
