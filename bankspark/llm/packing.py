@@ -15,9 +15,9 @@ or have a null id too. An empty table gives no rows; extra columns are not read.
 from __future__ import annotations
 
 import os
+import re
 import zlib
-from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -43,64 +43,93 @@ class Params:
     b: float = 0.75
 
 
+#: A word of Latin-1 letters (composed already) and the marks after it: such a chunk has one or two pre-tokens.
+_PLAIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([.,;:!?()\"-]*)")
+_PROBE = ["a", "Word", "TIME", "caf\u00c9", "\u00d1and\u00da", "Stra\u00dfe", "qzxv\u00fe\u00ff", "\u00c6\u00d8\u00e5"]
+
+
 class Encoder:
-    """Ids of texts by a tokenizer that drops white space: distinct chunks between it are encoded once.
+    """Ids of texts, as bytes of 32-bit numbers, by a tokenizer that drops white space.
 
-    The memory holds at most ``limit`` chunks of at most ``chunk`` bytes; longer ones are encoded as met.
+    Distinct chunks between white space are encoded once. Plain words of a byte-level model go to the
+    model itself, past the normaliser, if that gives the whole tokenizer's ids for a few words of
+    all their letters; everything else takes the whole way. The memory holds at most ``limit`` chunks
+    of at most ``chunk`` bytes.
     """
 
     def __init__(self, path: str, limit: int = 1 << 19, chunk: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core for one task
         from tokenizers import Tokenizer
 
-        self.tok, self.limit, self.chunk, self.known = Tokenizer.from_file(path), limit, chunk, {}
-
-    def _encode(self, chunks: list[bytes]) -> list[list[int]]:
-        return [e.ids for e in self.tok.encode_batch([c.decode() for c in chunks], add_special_tokens=False)]
-
-    def learn(self, texts: list[bytes]) -> None:
-        """Encode the chunks of these texts that are not known yet, in one call."""
-        if len(self.known) > self.limit:
+        self.tok, self.limit, self.chunk = Tokenizer.from_file(path), limit, chunk
+        self.known: dict[bytes, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        # the printable form of bytes that byte-level models use: themselves, or the next code points from 256
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = iter(range(256, 512))
+        self.form = {b: chr(b if b in printable else next(hidden)) for b in range(256)}
+        self.plain = all(self._word(w.lower()) == self._whole([w])[0] for w in _PROBE)
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+
+    def _word(self, word: str) -> bytes:
+        got = self.words.get(word)
+        if got is None:
+            parts = self.tok.model.tokenize(word.encode().decode("latin-1").translate(self.form))
+            got = self.words[word] = b"".join([t.id.to_bytes(4, "little") for t in parts])
+        return got
+
+    def _learn(self, chunks: Iterable[bytes], into: dict[bytes, bytes]) -> None:
+        rest = []
+        for c in chunks:
+            text = c.decode()
+            m = _PLAIN.fullmatch(text) if self.plain else None
+            if not m:
+                rest.append((c, text))
+                continue
+            got = self._word(m[1].lower())
+            if m[2]:
+                if m[2] not in self.words:
+                    self.words[m[2]] = self._whole([m[2]])[0]
+                got += self.words[m[2]]
+            into[c] = got
+        into.update(zip([c for c, _ in rest], self._whole([t for _, t in rest])))
+
+    def ids(self, texts: list[bytes]) -> list[bytes]:
+        chunks = [t.split() for t in texts]
+        if len(self.known) > self.limit or len(self.words) > self.limit:
             self.known.clear()
-        new: set[bytes] = set()
-        for t in texts:
-            new.update(t.split())
-            if len(new) > self.limit:
-                break
-        todo = [c for c in new if c not in self.known and len(c) <= self.chunk]
-        self.known.update(zip(todo, self._encode(todo)))
-
-    def ids(self, text: bytes) -> array:
-        out, known = array("I"), self.known
-        for c in text.split():
-            got = known.get(c)
-            out.extend(self._encode([c])[0] if got is None else got)
-        return out
+            self.words.clear()
+        new = set().union(*chunks).difference(self.known)
+        long = {c for c in new if len(c) > self.chunk}
+        self._learn(new - long, self.known)
+        if not long:
+            return [b"".join(map(self.known.__getitem__, c)) for c in chunks]
+        extra: dict[bytes, bytes] = {}
+        self._learn(long, extra)
+        return [b"".join([extra[x] if x in extra else self.known[x] for x in c]) for c in chunks]
 
 
 def pieces_of(path: str, p: Params) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows (doc_id, start, length, ids_crc32, doc_tokens, ids): a document's whole windows (ids null), then its rest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(path)
-        schema = None
+        enc, end, schema = Encoder(path), p.end_id.to_bytes(4, "little"), None
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 texts = [(t or "").encode() for t in part.column(1).to_pylist()]
-                enc.learn(texts)
                 row, start, length, crc, total, ids = [], [], [], [], [], []
-                for i, t in enumerate(texts):
-                    got = enc.ids(t)
-                    got.append(p.end_id)
-                    flat = np.asarray(got, dtype="<u4")
-                    for a in range(0, len(flat), p.window):
-                        cut = flat[a: a + p.window].tobytes()
+                for i, flat in enumerate(enc.ids(texts)):
+                    flat += end
+                    for a in range(0, len(flat), 4 * p.window):
+                        cut = flat[a: a + 4 * p.window]
                         row.append(i)
-                        start.append(a)
+                        start.append(a // 4)
                         length.append(len(cut) // 4)
                         crc.append(zlib.crc32(cut))
-                        total.append(len(flat))
+                        total.append(len(flat) // 4)
                         ids.append(None if len(cut) == 4 * p.window else cut)
                 schema = schema or pa.schema([("doc_id", part.schema.field(0).type), ("start", pa.int64()), ("length", pa.int64()),
                                               ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
@@ -131,13 +160,23 @@ class Index:
         self.lists = np.concatenate([[0], np.cumsum(df)])
         self.rows = np.searchsorted(row, np.arange(n + 1))  # a document's terms
         self.n = n
+        # lists of an eighth of the documents or more are kept as whole rows, which add up fast
+        common = np.flatnonzero(8 * df >= n)
+        self.whole = np.full(terms, -1)
+        self.whole[common] = np.arange(len(common))
+        self.table = np.zeros((len(common), n))
+        common = self.whole[self.term] >= 0
+        self.table[self.whole[self.term[common]], row[common]] = weight[common]
 
     def scores(self, seed: int) -> np.ndarray:
         """BM25 score of every document for the distinct terms of ``seed``."""
         terms = self.term[self.rows[seed]: self.rows[seed + 1]]
+        whole = self.whole[terms]
+        out = self.table[whole[whole >= 0]].sum(axis=0)
+        terms = terms[whole < 0]
         lo, count = self.lists[terms], self.lists[terms + 1] - self.lists[terms]
         at = np.repeat(lo - np.cumsum(count) + count, count) + np.arange(count.sum())
-        return np.bincount(self.doc[at], weights=self.weight[at], minlength=self.n)
+        return out + np.bincount(self.doc[at], weights=self.weight[at], minlength=self.n)
 
 
 def fill_windows(docs: list[np.ndarray], p: Params) -> list[list[tuple[int, int, int]]]:
