@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import ahocorasick
 import pyarrow as pa
@@ -75,11 +74,6 @@ def masks_of(item: str) -> dict[str, int]:
     return out
 
 
-@lru_cache(maxsize=1 << 14)
-def _stretch_masks(stretch: str) -> dict[str, int]:
-    return masks_of(stretch)
-
-
 def stretches_of(piece: int, pieces: int) -> list[tuple[int, int]]:
     """Nested ranges of pieces round one, smallest first, the whole left out: the halves of halves."""
     out, lo, hi = [], 0, pieces
@@ -95,6 +89,7 @@ class Matcher:
 
     def __init__(self, items: list[tuple[int, str]], rate: float, min_piece: int):
         self.items, self.min_piece = [], min_piece
+        self.masks: dict[str, dict[str, int]] = {}  # of stretches met, emptied when large
         found: dict[str, list[tuple[int, int, int]]] = {}
         for item_id, text in items:
             e = error_budget(len(text), rate, min_piece)
@@ -109,6 +104,14 @@ class Matcher:
             self.automaton.make_automaton()
         self.empty = not found
 
+    def _stretch_masks(self, stretch: str) -> dict[str, int]:
+        got = self.masks.get(stretch)
+        if got is None:
+            if len(self.masks) >= 1 << 14:
+                self.masks.clear()
+            got = self.masks[stretch] = masks_of(stretch)
+        return got
+
     def _plausible(self, item: str, e: int, piece: int, shift: int, text: str) -> bool:
         """Whether the stretches round a piece found at its place plus ``shift`` keep their edits.
 
@@ -120,7 +123,7 @@ class Matcher:
             if edits:
                 part = item[begin:end]
                 near = text[max(0, begin + shift - edits): max(0, end + shift + edits)]
-                if myers(part, _stretch_masks(part), near)[0] > edits:
+                if myers(part, self._stretch_masks(part), near)[0] > edits:
                     return False
             if end - begin >= self.min_piece:
                 break

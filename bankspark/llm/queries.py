@@ -98,16 +98,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 UP, LOW = url_reputation.UPPER, url_reputation.LOWER
 
 
-def _level_sql(level: str, unit: str, up: str | None, prior: str) -> str:
-    """CTEs of one level: evidence with its prior mean, strength, posterior."""
-    source = f"{level}_n u" + (f" JOIN {up}_p v USING ({unit})" if up else ", whole v")
+def _level_sql(level: str, source: str) -> str:
+    """CTEs of one level: evidence with its prior's mean and variance, strength, posterior."""
     return f"""
-{level}_e AS (SELECT u.*, v.m AS m0 FROM {source}),
+{level}_e AS (SELECT u.*, m AS m0, v AS v0 FROM {level}_n u{source}),
 {level}_s AS (SELECT sum(n * (good / n - m0) ** 2) FILTER (n > 0) AS spread, sum(m0 * (1 - m0)) FILTER (n > 0) AS noise,
   sum((n - 1) * m0 * (1 - m0)) FILTER (n > 0) AS over_ FROM {level}_e),
 {level}_r AS (SELECT CASE WHEN over_ > 0 THEN (spread - noise) / over_ ELSE 0.5 END AS rho FROM {level}_s),
-{level}_k AS (SELECT coalesce(round(least(greatest((1 - rho) / greatest(rho, 1e-9), 2.0), 200.0), 6), 2.0) AS k FROM {level}_r),
-{level}_q AS (SELECT e.*, k, (good + k * m0) / (n + k) AS m FROM {level}_e e, {level}_k),"""
+{level}_k AS (SELECT coalesce(round(least(greatest((1 - rho) / greatest(rho, 1e-9), 2.0), 200.0), 6), 2.0) AS strength FROM {level}_r),
+{level}_w AS (SELECT e.*, m0 * (1 - m0) / ((m0 * (1 - m0) - v0) / (strength + 1) + v0) - 1 AS k FROM {level}_e e, {level}_k),
+{level}_m AS (SELECT *, (good + k * m0) / (n + k) AS mean FROM {level}_w),
+{level}_q AS (SELECT * EXCLUDE (mean), mean AS m, mean * (1 - mean) / (n + k + 1) AS v FROM {level}_m),"""
 
 
 def _op1_sql() -> str:
@@ -129,14 +130,15 @@ host_n AS (SELECT host, n, good, array_to_string(l[-c:], '.') AS suffix_,
   CASE WHEN len(l) <= c + 1 THEN host ELSE array_to_string(l[-(c + 1):], '.') END AS domain FROM host_u),
 domain_n AS (SELECT suffix_, domain, sum(n) AS n, sum(good) AS good FROM host_n GROUP BY 1, 2),
 suffix_n AS (SELECT suffix_, sum(n) AS n, sum(good) AS good FROM domain_n GROUP BY 1),
-whole AS (SELECT (sum(good) + 1) / (sum(n) + 2) AS m FROM suffix_n),
-{_level_sql('suffix', 'suffix_', None, 'm')}
-suffix_p AS (SELECT suffix_, m FROM suffix_q),
-{_level_sql('domain', 'suffix_', 'suffix', 'm')}
-domain_p AS (SELECT domain, m FROM domain_q),
-{_level_sql('host', 'domain', 'domain', 'm')}
-rep AS (SELECT host, least(1.0, m + 1.645 * sqrt(m * (1 - m) / (n + k + 1))) AS upper_ FROM host_q)
-SELECT page_id, host, path, rule, coalesce(rv, CASE WHEN round(upper_, 9) < 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+all_ AS (SELECT (sum(good) + 1) / (sum(n) + 2) AS m, sum(n) + 2 AS k FROM suffix_n),
+whole AS (SELECT m, m * (1 - m) / (k + 1) AS v FROM all_),
+{_level_sql('suffix', ', whole')}
+suffix_p AS (SELECT suffix_, m, v FROM suffix_q),
+{_level_sql('domain', ' JOIN suffix_p USING (suffix_)')}
+domain_p AS (SELECT domain, m, v FROM domain_q),
+{_level_sql('host', ' JOIN domain_p USING (domain)')}
+rep AS (SELECT host, n, least(1.0, m + 1.645 * sqrt(v)) AS upper_ FROM host_q)
+SELECT page_id, host, path, rule, coalesce(rv, CASE WHEN n > 0 AND round(upper_, 9) < 0.5 THEN 'block' ELSE 'allow' END) AS verdict
 FROM judged LEFT JOIN rep USING (host)"""
 
 

@@ -118,10 +118,10 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], limit: floa
                 outcome: Column | None = None, z: float = 1.645, salts: int = 16) -> DataFrame:
     """Judge every page: page_id, host, path, rule, verdict, n_labelled, upper.
 
-    ``outcome``: 1, 0 or null per page (a column of ``pages``); by default the verdicts of rules for
-    whole hosts label the pages they fit. A rule with a path says nothing about pages off that
-    path, so it judges its pages but labels no host. Pages without a rule are blocked if their host has
-    labelled pages and its upper bound is under ``limit``. Null or odd urls have an empty host; repeated rows are
+    ``outcome``: 1, 0 or null per page (a column of ``pages``); by default the verdict of a page's rule is
+    its outcome. Outcomes are evidence about their own host and reach other hosts as an uncertain
+    prior only. Pages without a rule are blocked if their host has labelled pages of its own and its
+    upper bound is under ``limit``; a host without any is allowed. Null or odd urls have an empty host; repeated rows are
     judged one by one; other columns of ``pages`` are ignored. Host rows are joined on
     (host, salt), so one host with a third of all pages is spread over ``salts`` tasks.
     """
@@ -129,9 +129,7 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], limit: floa
                         (outcome if outcome is not None else F.lit(None)).cast("int").alias("_given"))
     rule, verdict = match_rules(F.col("host"), F.col("path"), rules)
     judged = base.select("*", rule.alias("rule"), verdict.alias("_rule_verdict"))
-    whole = [h + p for _, h, p in rules if p in ("", "/")]
-    good = F.col("_given") if outcome is not None else F.when(
-        F.col("rule").isin(*whole), (F.col("_rule_verdict") == "allow").cast("int"))
+    good = F.col("_given") if outcome is not None else (F.col("_rule_verdict") == "allow").cast("int")
     rep = host_reputation(judged.select("host", good.alias("good")), z)
     rep = rep.select("host", F.col("n").alias("n_labelled"), "upper",
                      F.explode(F.array(*[F.lit(i) for i in range(salts)])).alias("_salt"))

@@ -105,7 +105,7 @@ def test_reputation_shrinks_and_blocks_only_on_evidence(spark):
 
 
 def test_units_without_labels_are_not_blocked(spark):
-    """Bad labels elsewhere, or a block rule for some paths, do not condemn what has no label."""
+    """Bad labels elsewhere do not condemn a host without one; ruled pages are evidence about their own host."""
     bad = [(f"http://h{i}.bad{j}.{s}/x", 0) for s in ("org", "info") for i in range(4) for j in range(5) for _ in range(6)]
     good = [(f"http://h{i}.fine.com/x", 1) for i in range(5) for _ in range(4)]
     new = ["http://new.bad1.org/x", "http://a.new.org/x", "http://a.b.dev/x"]  # host, domain, suffix without labels
@@ -117,9 +117,13 @@ def test_units_without_labels_are_not_blocked(spark):
     rules = [("block", "net", "/es/"), ("allow", "com", "/"), ("block", "spam.net", "/")]
     urls = [f"http://h{i % 4}.x{i % 3}.net/{('es', 'en', 'de')[i % 5 % 3]}/{i}" for i in range(120)]
     urls += [f"http://c{i % 5}.com/{i}" for i in range(20)] + [f"http://a{i % 5}.spam.net/{i}" for i in range(20)]
+    urls += [f"http://n{i % 5}.x{i % 3}.net/en/{i}" for i in range(20)] + ["http://other.net/de/1"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    hosts = {u.split("/")[2] for u in urls if "/es/" in u}
     for r in url_reputation.filter_urls(pages, rules).collect():
-        assert r.verdict == ("block" if "/es/" in urls[r.page_id] or "spam" in urls[r.page_id] else "allow"), r
+        bad = r.host in hosts or "spam" in r.host
+        assert r.verdict == ("block" if bad else "allow"), r
+        assert r.rule is not None or r.verdict == "allow" or (r.n_labelled > 0 and r.upper < 0.5)
 
 
 def test_uncertain_parents_widen_the_bound(spark):
