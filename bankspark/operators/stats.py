@@ -306,78 +306,50 @@ def linear_trend(df: DataFrame, x: str, y: str, points: int = 100) -> DataFrame:
 
 # ---------------------------------------------------------------- running totals
 
-def range_index(v: Column, bounds, ascending: bool = True) -> Column:
-    """Index of the range of ``v`` among sorted ``bounds``: the number of bounds below ``v``
-    (above it when descending). A balanced CASE tree: log2(len(bounds)) comparisons per row,
-    all inside generated code."""
-    bounds = [float(b) for b in bounds]
-    k = len(bounds)
-
-    def node(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        if ascending:   # index >= mid + 1  <=>  bounds[mid] < v
-            return F.when(F.lit(bounds[mid]) < v, node(mid + 1, hi)).otherwise(node(lo, mid))
-        # descending: index = k - #(bounds <= v); bounds[k-1-mid] > v  <=>  index >= mid + 1
-        return F.when(F.lit(bounds[k - 1 - mid]) > v, node(mid + 1, hi)).otherwise(node(lo, mid))
-
-    return node(0, k)
+#: Rows of one range of a running total, about.
+ROWS_PER_RANGE = 1_000_000
 
 
 def running_totals(df: DataFrame, order_col: str, cols, by=(), ascending: bool = True, tie=(),
-                   buckets: int = 64, prefix: str = "cum_") -> DataFrame:
+                   ranges: int | None = None, prefix: str = "cum_") -> DataFrame:
     """Cumulative sums of ``cols`` in ``order_col`` order within each ``by`` group, without a one-task window.
 
-    Rows are cut into ``buckets`` ranges of the order column at approximate quantiles (one
-    sketch job; the limits only balance the work); each range is summed, the range offsets
-    (at most groups × buckets numbers) are broadcast, and a window partitioned by (group,
-    range) adds the running sum inside the range, so the totals are exact. Rows with equal order values share a range, so ties are never split; ``tie`` columns order rows inside a tie. The order column must be non-NULL.
+    A prefix scan of two levels: rows are range-partitioned by (group, order column) into as many
+    ranges as the row count asks for (``ROWS_PER_RANGE`` each; ``ranges`` overrides), each range is
+    summed, and the sums before a range (one row per group and range) are added to the running
+    sum inside it. Rows with equal order values share a range, so ties are never split; ``tie`` columns
+    order rows inside a tie. The order column must be non-NULL.
     ``cols`` may name a column or be ``"1"`` for a running row count (``cum_1``).
     """
-    by = list(by)
-    cols = list(cols)
+    by, cols = list(by), list(cols)
     spark = df.sparkSession
-    counts = {tuple(r[b] for b in by): r["n"] for r in
-              (df.groupBy(*by) if by else df.groupBy()).agg(F.count(F.lit(1)).alias("n")).collect() if r["n"]}
     vals = [(F.lit(1) if c == "1" else F.col(c)).alias(f"_c{i}") for i, c in enumerate(cols)]
     data = df.select("*", *vals)
-    picked: dict = {}
-    # range limits only balance the window partitions; the sums stay exact whatever the
-    # limits are, so approximate quantiles (a bounded sketch, one job) are enough
-    probs = [i / buckets for i in range(1, buckets)]
-    grouped = df.groupBy(*by) if by else df.groupBy()
-    for r in grouped.agg(F.percentile_approx(F.col(order_col).cast("double"), probs, 10 * buckets)
-                         .alias("_b")).collect():
-        picked[tuple(r[b] for b in by)] = r["_b"] or []
-    order = [F.asc(order_col) if ascending else F.desc(order_col)] + [F.asc(t) for t in ([tie] if isinstance(tie, str) else tie)]
-    w = Window.partitionBy(*by, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    v = F.col(order_col).cast("double")
-    bucket = None
-    for g in counts:
-        bounds = sorted(set(picked.get(g) or []))
-        bexpr = range_index(v, bounds, ascending)
-        cond = _groups_filter(by, g)
-        bucket = F.when(cond, bexpr) if bucket is None else bucket.when(cond, bexpr)
-    data = data.withColumn("_bucket", bucket if bucket is not None else F.lit(0))
-    sums = (data.groupBy(*by, "_bucket").agg(*[F.sum(f"_c{i}").alias(f"_s{i}") for i in range(len(cols))])
-            .collect())
+    if ranges is None:
+        data = keep(data)  # read by the count, by the sample of the ranges and by their shuffle
+        ranges = max(1, math.ceil(data.count() / ROWS_PER_RANGE))
+    place = F.asc(order_col) if ascending else F.desc(order_col)
+    data = keep(data.repartitionByRange(ranges, *by, place).withColumn("_range", F.spark_partition_id()))
+    sums = data.groupBy(*by, "_range").agg(*[F.sum(f"_c{i}").alias(f"_s{i}") for i in range(len(cols))]).collect()
     per_group: dict = {}
     for r in sums:
         per_group.setdefault(tuple(r[b] for b in by), []).append(r)
     rows = []
     for g, rs in per_group.items():
         acc = [0] * len(cols)
-        for r in sorted(rs, key=lambda r: r["_bucket"]):
-            rows.append((*g, r["_bucket"], *acc))
+        for r in sorted(rs, key=lambda r: r["_range"]):
+            rows.append((*g, r["_range"], *acc))
             acc = [a + (r[f"_s{i}"] or 0) for i, a in enumerate(acc)]
     types = dict(data.dtypes)
-    schema = ", ".join([f"`{b}` {types[b]}" for b in by] + ["_bucket int"] +
+    schema = ", ".join([f"`_by{i}` {types[b]}" for i, b in enumerate(by)] + ["_at int"] +
                        [f"_o{i} {'bigint' if types[f'_c{i}'] in ('int', 'bigint', 'smallint') else 'double'}"
                         for i in range(len(cols))])
-    offsets = F.broadcast(spark.createDataFrame(rows, schema))  # groups x buckets rows at most
-    same = [data[b].eqNullSafe(offsets[b]) for b in by + ["_bucket"]]
-    out = data.join(offsets, same, "left").drop(*[offsets[b] for b in by + ["_bucket"]])
+    offsets = spark.createDataFrame(rows, schema)  # groups + ranges rows: Catalyst sees the size
+    same = [F.col(b).eqNullSafe(F.col(f"_by{i}")) for i, b in enumerate(by)] + [F.col("_range") == F.col("_at")]
+    out = data.join(offsets, same, "left")
+    order = [place] + [F.asc(t) for t in ([tie] if isinstance(tie, str) else tie)]
+    w = Window.partitionBy(*by, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     for i, c in enumerate(cols):
         out = out.withColumn(prefix + c, F.col(f"_o{i}") + F.sum(f"_c{i}").over(w))
-    return out.drop("_bucket", *[f"_c{i}" for i in range(len(cols))], *[f"_o{i}" for i in range(len(cols))])
+    return out.drop("_range", "_at", *[f"_by{i}" for i in range(len(by))],
+                    *[f"_c{i}" for i in range(len(cols))], *[f"_o{i}" for i in range(len(cols))])

@@ -1,7 +1,8 @@
 """Registered predictive queries (survey section 2.6).
 
-Data sets, splits, scaler statistics and metrics (on a fixed score column derived from
-the loan id) have DuckDB oracles. Model fits, model metrics and scoring have none: an
+Data sets, splits, scaler statistics, metrics (on a fixed score column derived from the loan id), the
+least-squares model with all its results, the optimality of the logistic fit, and scoring by a
+stored model have DuckDB oracles. The logistic coefficients and what follows from them have none: an
 iterative fit is not one SQL statement, so the driver checks their rows only.
 """
 
@@ -11,6 +12,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import codes
+from ..operators import linear as L
 from ..operators import predict as C
 from ..plans.session import ensure_checkpoint_dir
 from .q_prep import ML_BASE_SQL, ml_base_df
@@ -204,29 +206,110 @@ def c1_model_report(spark, d):
     return C.class_report(C.score_default(model, s.where("is_test = 1")))
 
 
+@query("c1_fit_certificate", "SELECT unnest([" + ", ".join(f"'{c}'" for c in [L.INTERCEPT, *C.FEAT_C1]) +
+       "]) AS feature, 0.0::DOUBLE AS gradient", ["gradient"])
+def c1_fit_certificate(spark, d):
+    """Gradient of the regularised loss at the fitted logistic model, to 4 places: 0 at the optimum."""
+    s, model = _c1_model(spark, d)
+    train = s.where("is_test = 0")
+    feats = [c[:-2] for c in model.stages[1].getInputCols()]
+    last = model.stages[-1]
+    fitted = L.from_pipeline(spark, C.scaler_stats(train, feats).collect(), feats, last.intercept, last.coefficients)
+    out = L.logistic_certificate(fitted, train).select("feature", (F.round("gradient", 4) + 0.0).alias("gradient"))
+    s.unpersist()
+    return out
+
+
+def _solved_sql(feats) -> str:
+    """CTEs of the normal equations on standardised features, by elimination, and of the scored test part."""
+    k, on = len(feats), range(1, len(feats) + 1)
+    j = ", ".join
+    scale = lambda f, i: f"(CAST({f} AS DOUBLE) - m{i}) / s{i}"
+    out = f""", tr AS (SELECT {j(f"CAST({f} AS DOUBLE) AS x{i}" for i, f in enumerate(feats, 1))}, CAST(label AS DOUBLE) AS y
+  FROM c2s WHERE is_test = 0 AND {" AND ".join(f"{f} IS NOT NULL" for f in [*feats, "label"])}),
+st AS (SELECT avg(y) AS my, {j(f"avg(x{i}) AS m{i}, CASE WHEN stddev_pop(x{i}) = 0 THEN 1.0 ELSE stddev_pop(x{i}) END AS s{i}" for i in on)}
+  FROM tr),
+z AS (SELECT {j(f"(x{i} - m{i}) / s{i} AS z{i}" for i in on)}, y - my AS zy FROM tr, st),
+e0 AS (SELECT {j(f"avg(z{a} * z{b}) AS a{a}_{b}" for a in on for b in on)}, {j(f"avg(z{a} * zy) AS b{a}" for a in on)} FROM z)"""
+    for p in on:
+        took = lambda x, a, p=p: f"{x} - CASE WHEN a{p}_{p} > {L.PIVOT_MIN} THEN a{a}_{p} / a{p}_{p} ELSE 0 END * "
+        cols = [f"a{a}_{b}" if a <= p else took(f"a{a}_{b}", a) + f"a{p}_{b} AS a{a}_{b}" for a in on for b in on]
+        cols += [f"b{a}" if a <= p else took(f"b{a}", a) + f"b{p} AS b{a}" for a in on]
+        out += f",\ne{p} AS (SELECT {j(cols)} FROM e{p - 1})"
+    last = f"e{k}"
+    for p in reversed(on):
+        known = "".join(f" - a{p}_{b} * c{b}" for b in on if b > p)
+        out += f",\nr{p} AS (SELECT *, CASE WHEN a{p}_{p} > {L.PIVOT_MIN} THEN (b{p}{known}) / a{p}_{p} ELSE 0 END AS c{p} FROM {last})"
+        last = f"r{p}"
+    return out + f""",
+sc AS (SELECT row_id, CAST(label AS DOUBLE) AS label, my + {" + ".join(f"c{i} * {scale(f, i)}" for i, f in enumerate(feats, 1))} AS prediction
+  FROM c2s, st, {last} WHERE is_test = 1)"""
+
+
+_SOLVED = _C2 + _C2_SPLIT + _solved_sql(C.FEAT_C2)
+
+
 def _c2_model(spark, d):
     s = c2_split(spark, d).persist()
-    model = C.fit_forecast(s.where("is_test = 0"))
-    return s, model
+    return s, L.fit_least_squares(s.where("is_test = 0"), C.FEAT_C2)
 
 
-@query("c2_model_metrics")
-def c2_model_metrics(spark, d):
-    """MAE and R² of the forecast model on the held-out part."""
+def _c2_scored(spark, d):
     s, model = _c2_model(spark, d)
-    return C.regression_metrics(model.transform(s.where("is_test = 1")))
+    return L.predict_linear(model, s.where("is_test = 1"))
 
 
-@query("c2_scatter")
-def c2_scatter(spark, d):
+@query("c2_fit_coefficients", _SOLVED + f" SELECT '{L.INTERCEPT}' AS feature, round(my, 4) AS coef FROM st" + "".join(
+    f" UNION ALL SELECT '{f}', round(c{i}, 4) FROM r1" for i, f in enumerate(C.FEAT_C2, 1)), ["coef"])
+def c2_fit_coefficients(spark, d):
+    """Least-squares coefficients on standardised features, to 4 places."""
     s, model = _c2_model(spark, d)
-    return C.scatter_sample(model.transform(s.where("is_test = 1")), ["row_id"], 1000)
+    s.unpersist()
+    return model.select("feature", F.round("coef", 4).alias("coef"))
+
+
+@query("c2_model_metrics", _SOLVED + """ SELECT round(avg(abs(label - prediction)), 4) AS mae,
+  round(1 - sum((label - prediction) ** 2) / NULLIF((SELECT sum((label - m) ** 2) FROM sc, (SELECT avg(label) AS m FROM sc)), 0), 6) AS r2
+  FROM sc""", ["mae", "r2"])
+def c2_model_metrics(spark, d):
+    """MAE (4 places) and R² of the forecast model on the held-out part."""
+    return C.regression_metrics(_c2_scored(spark, d)).select(F.round("mae", 4).alias("mae"), "r2")
 
 
-@query("c2_residuals")
+@query("c2_scatter", _SOLVED + f""" SELECT row_id, label AS actual, round(prediction, 4) AS predicted FROM sc
+  ORDER BY {_KEY.format(id='row_id')}, row_id LIMIT 1000""", ["actual", "predicted"])
+def c2_scatter(spark, d):
+    """Up to 1000 actual-vs-predicted pairs (4 places), the first in the order of the split."""
+    out = C.scatter_sample(_c2_scored(spark, d), ["row_id"], 1000)
+    return out.select("row_id", "actual", F.round("predicted", 4).alias("predicted"))
+
+
+@query("c2_residuals", _SOLVED + """, v AS (SELECT round(label - prediction, 4) AS x FROM sc WHERE label - prediction IS NOT NULL),
+  rg AS (SELECT min(x) AS lo, max(x) AS hi FROM v),
+  bn AS (SELECT least(floor((x - lo) * 40 / (hi - lo)), 39)::INT AS bin, count(*)::BIGINT AS n FROM v, rg GROUP BY 1)
+  SELECT i::INT AS bin, lo + i * ((hi - lo) / 40.0::DOUBLE) AS lower, lo + (i + 1) * ((hi - lo) / 40.0::DOUBLE) AS upper, coalesce(n, 0) AS "count"
+  FROM range(40) t(i) CROSS JOIN rg LEFT JOIN bn ON bn.bin = i""", ["lower", "upper"])
 def c2_residuals(spark, d):
-    s, model = _c2_model(spark, d)
-    return C.residual_hist(model.transform(s.where("is_test = 1")), 40)
+    """Histogram of the residuals (to 4 places) of the held-out part, 40 bins."""
+    scored = _c2_scored(spark, d).withColumn("prediction", F.col("label") - F.round(F.col("label") - F.col("prediction"), 4))
+    return C.residual_hist(scored, 40)
+
+
+#: A fixed model for the check of storing and scoring: (feature, mean, std, coef).
+_STORED = [(L.INTERCEPT, 0.0, 1.0, -0.75), ("amount", 150000.0, 110000.0, 0.8), ("duration", 36.0, 17.0, -0.4),
+           ("payments", 4200.0, 2200.0, 1.1), ("age", 45.0, 15.0, -0.2), ("avg_salary", 9500.0, 1400.0, -0.3),
+           ("has_card", 0.25, 0.5, -0.6), ("txn_count", 20.0, 12.0, 0.15)]
+
+
+@query("c_score_stored_model", _C1 + f""", s AS (SELECT loan_id, label, 1.0 / (1.0 + exp(-({" + ".join(
+    str(c) if f == L.INTERCEPT else f"{c} * ((CAST({f} AS DOUBLE) - {m}) / {sd})" for f, m, sd, c in _STORED)}))) AS score FROM c1)
+  SELECT loan_id, label, score, CASE WHEN score > {codes.THRESHOLD} THEN 1 ELSE 0 END AS pred,
+  CASE WHEN score > {codes.THRESHOLD} THEN 'HIGH' WHEN score IS NOT NULL THEN 'LOW' END AS risk FROM s""", ["score"])
+def c_score_stored_model(spark, d):
+    """Store a given model as a table, load it and score every loan of the data set."""
+    path = os.path.join(ensure_checkpoint_dir(spark), "models", f"stored-{uuid.uuid4().hex[:12]}")
+    L.save_table(spark.createDataFrame(_STORED, L.MODEL), path)
+    return L.predict_risk(L.load_table(spark, path), c1(spark, d)).select("loan_id", "label", "score", "pred", "risk")
 
 
 @query("c_score_loans")

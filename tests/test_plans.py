@@ -38,8 +38,8 @@ def test_running_totals_plan_is_partitioned(spark):
     from bankspark.operators.stats import running_totals
 
     df = spark.range(0, 5000).selectExpr("id", "id * 7 % 101 AS s")
-    out = running_totals(df, "s", ["1"], tie=["id"], buckets=8)
+    out = running_totals(df, "s", ["1"], tie=["id"], ranges=8)
     opt = out._jdf.queryExecution().optimizedPlan().toString()
     specs = re.findall(r"windowspecdefinition\((.*?)\)", opt)
-    assert specs and all(sp.strip().startswith("_bucket") for sp in specs)
+    assert specs and all(sp.strip().startswith("_range") for sp in specs)
     assert out.agg({"cum_1": "max"}).first()[0] == 5000

@@ -5,6 +5,7 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -77,7 +78,7 @@ def test_quantile_bins_match_qcut(spark, xs):
 def test_running_totals_match_cumsum(spark):
     xs = [(i, (i * 7919) % 101, i % 2) for i in range(500)]
     df = spark.createDataFrame(xs, "id int, s int, g int")
-    out = S.running_totals(df, "s", ["1", "s"], by=["g"], tie=["id"], buckets=7, one_range_max=0).collect()
+    out = S.running_totals(df, "s", ["1", "s"], by=["g"], tie=["id"], ranges=7).collect()
     small = S.running_totals(df, "s", ["1"], by=["g"], tie=["id"]).collect()
     assert sorted((r["id"], r["cum_1"]) for r in small) == sorted((r["id"], r["cum_1"]) for r in out)
     for g in (0, 1):
@@ -88,6 +89,30 @@ def test_running_totals_match_cumsum(spark):
                 assert (r["cum_1"], r["cum_s"]) == want[r["id"]]
 
 
+def test_running_totals_of_a_hot_value_and_nulls(spark):
+    xs = [(i, 5 if i % 3 else i, None if i % 4 == 0 else i % 2) for i in range(300)]
+    df = spark.createDataFrame(xs, "id int, s int, g int")
+    for ranges in (None, 5):
+        got = {r["id"]: r["cum_1"] for r in S.running_totals(df, "s", ["1"], by=["g"], ascending=False, tie=["id"], ranges=ranges).collect()}
+        for g in (None, 0, 1):
+            rows = sorted((r for r in xs if r[2] == g), key=lambda r: (-r[1], r[0]))
+            assert [got[r[0]] for r in rows] == list(range(1, len(rows) + 1))
+    assert S.running_totals(df.limit(0), "s", ["1"]).count() == 0
+
+
+def test_split_of_repeated_null_and_far_ids(spark):
+    prime = 2147483647
+    ids = [None] * 7 + [11] * 90 + [3 + prime * k for k in range(120)] + list(range(1000, 1083))
+    df = spark.createDataFrame([(i,) for i in ids], "id bigint")
+    key = lambda i: -prime - 1 if i is None else (i % prime * 1583458089 + 42) % prime
+    order = sorted(ids, key=lambda i: (key(i), i or 0))
+    for test in (0.01, 0.2, 0.5, 0.999, 1.0):
+        k = math.ceil(round(len(ids) * test, 9))
+        got = split(df, "id", test=test).groupBy("id").agg(F.sum("is_test").alias("t")).collect()
+        assert {r["id"]: r["t"] for r in got} == {i: order[:k].count(i) for i in set(ids)}
+    assert split(df.limit(0), "id").count() == 0
+
+
 def test_split_is_exact_per_label(spark):
     df = spark.createDataFrame([(i, int(i % 7 == 0)) for i in range(1, 1001)], "id bigint, label int")
     out = split(df, "id", label="label")
@@ -108,22 +133,6 @@ def test_boxplot_matches_pandas(spark):
     assert r["whisker_lo"] == inside.min() and r["whisker_hi"] == inside.max() and r["outliers"] == 2
 
 
-def test_range_index_matches_count(spark):
-    import random
-
-    rnd = random.Random(7)
-    bounds = sorted(rnd.sample(range(-500, 500), 37))
-    xs = [float(rnd.randint(-600, 600)) for _ in range(300)] + [float(b) for b in bounds]
-    df = spark.createDataFrame([(x,) for x in xs], "v double")
-    from pyspark.sql import functions as F
-
-    got = df.select("v", S.range_index(F.col("v"), bounds).alias("a"),
-                    S.range_index(F.col("v"), bounds, ascending=False).alias("d")).collect()
-    for r in got:
-        assert r["a"] == sum(1 for b in bounds if b < r["v"])
-        assert r["d"] == sum(1 for b in bounds if b > r["v"])
-
-
 def test_select_ranks_tiny_ranges_terminate(spark):
     xs = [1e-310 * i for i in range(1, 40)] + [5e-324, 0.0, -5e-324]
     df = spark.createDataFrame([(x,) for x in xs], "v double")
