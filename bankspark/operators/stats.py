@@ -331,25 +331,25 @@ def running_totals(df: DataFrame, order_col: str, cols, by=(), ascending: bool =
     place = F.asc(order_col) if ascending else F.desc(order_col)
     data = keep(data.repartitionByRange(ranges, *by, place).withColumn("_range", F.spark_partition_id()))
     sums = data.groupBy(*by, "_range").agg(*[F.sum(f"_c{i}").alias(f"_s{i}") for i in range(len(cols))]).collect()
+    types = dict(data.dtypes)
+    zero = [0 if types[f"_c{i}"] in ("int", "bigint", "smallint") else 0.0 for i in range(len(cols))]
     per_group: dict = {}
     for r in sums:
         per_group.setdefault(tuple(r[b] for b in by), []).append(r)
     rows = []
     for g, rs in per_group.items():
-        acc = [0] * len(cols)
+        acc = list(zero)
         for r in sorted(rs, key=lambda r: r["_range"]):
             rows.append((*g, r["_range"], *acc))
             acc = [a + (r[f"_s{i}"] or 0) for i, a in enumerate(acc)]
-    types = dict(data.dtypes)
-    schema = ", ".join([f"`_by{i}` {types[b]}" for i, b in enumerate(by)] + ["_at int"] +
-                       [f"_o{i} {'bigint' if types[f'_c{i}'] in ('int', 'bigint', 'smallint') else 'double'}"
-                        for i in range(len(cols))])
+    schema = ", ".join([f"`_by{i}` {types[b]}" for i, b in enumerate(by)] + ["_from_range int"] +
+                       [f"_o{i} {'double' if isinstance(z, float) else 'bigint'}" for i, z in enumerate(zero)])
     offsets = spark.createDataFrame(rows, schema)  # groups + ranges rows: Catalyst sees the size
-    same = [F.col(b).eqNullSafe(F.col(f"_by{i}")) for i, b in enumerate(by)] + [F.col("_range") == F.col("_at")]
+    same = [F.col(b).eqNullSafe(F.col(f"_by{i}")) for i, b in enumerate(by)] + [F.col("_range") == F.col("_from_range")]
     out = data.join(offsets, same, "left")
     order = [place] + [F.asc(t) for t in ([tie] if isinstance(tie, str) else tie)]
     w = Window.partitionBy(*by, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     for i, c in enumerate(cols):
         out = out.withColumn(prefix + c, F.col(f"_o{i}") + F.sum(f"_c{i}").over(w))
-    return out.drop("_range", "_at", *[f"_by{i}" for i in range(len(by))],
+    return out.drop("_range", "_from_range", *[f"_by{i}" for i in range(len(by))],
                     *[f"_c{i}" for i in range(len(cols))], *[f"_o{i}" for i in range(len(cols))])

@@ -89,6 +89,16 @@ def test_running_totals_match_cumsum(spark):
                 assert (r["cum_1"], r["cum_s"]) == want[r["id"]]
 
 
+def test_running_totals_of_doubles_in_struct_order(spark):
+    xs = [(i, float(i % 13) / 2, i % 5) for i in range(200)]
+    df = spark.createDataFrame(xs, "id int, x double, s int").withColumn("at", F.struct("s", "id"))
+    got = {r["id"]: r["cum_x"] for r in S.running_totals(df, "at", ["x"], ranges=6).collect()}
+    total = 0.0
+    for r in sorted(xs, key=lambda r: (r[2], r[0])):
+        total += r[1]
+        assert got[r[0]] == total
+
+
 def test_running_totals_of_a_hot_value_and_nulls(spark):
     xs = [(i, 5 if i % 3 else i, None if i % 4 == 0 else i % 2) for i in range(300)]
     df = spark.createDataFrame(xs, "id int, s int, g int")
