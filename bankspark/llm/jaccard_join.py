@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bankspark.llm.shared import drop_singles, stage
@@ -355,8 +355,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, star_rounds:
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one row per component: the smallest doc_id; rows with a null id stay."""
+    """``docs`` with the row of the smallest doc_id of each component; rows with a null id stay.
+
+    Of rows that repeat an id with the same text one stays; rows of one id with other texts stay too.
+    """
     found = near_duplicates(docs, k, percent)
     drop = found.where("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(drop, "doc_id", "left_anti")
-    return kept.select(*docs.columns)
+    # the caller's row rides in a struct, so none of its names can meet one of these
+    rows = docs.select("doc_id", F.struct(*docs.columns).alias("doc"), F.xxhash64("text").alias("hash"), F.octet_length("text").alias("size"))
+    kept = rows.join(drop, "doc_id", "left_anti")
+    first = F.row_number().over(Window.partitionBy("doc_id", "hash", "size").orderBy("hash"))
+    once = kept.where("doc_id IS NOT NULL").withColumn("turn", first).where("turn = 1")
+    return once.select("doc.*").unionByName(kept.where("doc_id IS NULL").select("doc.*"))

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bankspark.llm.shared import stage
+from bankspark.operators.stats import running_totals
 
 ROWS_PER_BUCKET = 20_000
 
@@ -39,26 +40,46 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
     """
     s = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     w = F.array(*[F.lit(x) for x in weights])
-    # the table of sources (one row per source), not of documents, is ordered as a whole
-    s = s.withColumn("_i", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
-    s = s.withColumn("_w", F.get(w, F.pmod(F.col("_i") - 1, F.lit(len(weights)))).cast("double"))
+    # sources may be many (hosts): their running numbers and sums are prefix scans over ranges
+    s = running_totals(s.withColumn("_order", F.struct(F.col("source").isNull().alias("last"), "source")), "_order", ["1"], prefix="_i")
+    s = s.withColumn("_w", F.get(w, F.pmod(F.col("_i1") - 1, F.lit(len(weights)))).cast("double"))
     s = s.withColumn("_cap", F.col("source_size").cast("double") * max_repeats)
-    order = Window.orderBy((F.col("_cap") / F.col("_w")).asc(), F.col("_i"))
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    rest = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    every = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    s = s.withColumn("_budget", F.sum(F.col("source_size").cast("double")).over(every) * share)
-    s = s.withColumn("_filled", F.coalesce(F.sum("_cap").over(before), F.lit(0.0)))
-    s = s.withColumn("_left", F.sum("_w").over(rest))
+    total, weight = s.agg(F.sum(F.col("source_size").cast("double")), F.sum("_w")).first()
+    budget = F.lit((total or 0.0) * share)
+    s = running_totals(s.withColumn("_order", F.struct((F.col("_cap") / F.col("_w")).alias("level"), "_i1")), "_order", ["_cap", "_w"], prefix="_upto")
+    filled, left = F.col("_upto_cap") - F.col("_cap"), F.lit(weight or 0.0) - F.col("_upto_w") + F.col("_w")
     # a source is full if the level offered when it is the next to fill reaches its limit
-    s = s.withColumn("_full", F.col("_cap") * F.col("_left") <= (F.col("_budget") - F.col("_filled")) * F.col("_w"))
-    s = s.withColumn("_fixed", F.sum(F.when(F.col("_full"), F.col("_cap")).otherwise(0.0)).over(every))
-    s = s.withColumn("_open", F.sum(F.when(F.col("_full"), 0.0).otherwise(F.col("_w"))).over(every))
-    target = F.when(F.col("_full"), F.col("_cap")).otherwise(
-        F.col("_w") * (F.col("_budget") - F.col("_fixed")) / F.col("_open"))
+    full = F.col("_cap") * left <= (budget - filled) * F.col("_w")
+    fixed, free = s.agg(F.sum(F.when(full, F.col("_cap"))), F.sum(F.when(~full, F.col("_w")))).first()
+    target = F.when(full, F.col("_cap")).otherwise(F.col("_w") * F.lit((total or 0.0) * share - (fixed or 0.0)) / F.lit(free or 1.0))
     return s.select("source", "source_size", target.alias("target"))
 
 
+def border(ranges: DataFrame, budget: int, fan: int = 4096) -> tuple[int, int] | None:
+    """The range whose sum passes the budget, and the sum of the ranges before it; None if all fit.
+
+    ``ranges``: (_range from 0, _sum). Digit by digit: each step sums at most ``fan`` groups of ranges.
+    """
+    top = ranges.agg(F.max("_range")).first()[0] or 0
+    low, before, width = 0, 0, 1
+    while width * fan <= top:
+        width *= fan
+    while True:
+        digit = F.floor((F.col("_range") - low) / width)
+        sums = (ranges.where((F.col("_range") >= low) & (F.col("_range") < low + width * fan))
+                .groupBy(digit.alias("d")).agg(F.sum("_sum").alias("n")).collect())
+        for d, n in sorted((r["d"], r["n"]) for r in sums):
+            if before + n > budget:
+                break
+            before += n
+        else:
+            return None
+        low += d * width
+        if width == 1:
+            return low, before
+        width //= fan
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, max_repeats: int = 2,
         rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Words the mix takes from every document: doc_id, source, size, source_size, target, taken.
@@ -95,21 +116,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
                      / F.col("target"))
     # equal ranges of finish time up to 2; every source serves its target evenly over 0..1
     e = e.withColumn("_range", F.floor(F.least(F.col("_finish"), F.lit(2.0)) * parts).cast("long"))
-    ranges = e.groupBy("_range").agg(F.sum("size").alias("_sum"))
-    budget = F.floor(t.agg(F.sum("target")).scalar() + 1e-6)
-    upto = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranges = (ranges.withColumn("_upto", F.sum("_sum").over(upto)).withColumn("_budget", budget)
-              .withColumn("_before", F.col("_upto") - F.col("_sum")))
-    whole = F.col("_upto") <= F.col("_budget")
-    e = e.join(ranges.where("_before <= _budget").select(
-        "_range", "_before", "_budget", whole.alias("_whole")), "_range")
+    budget = int(math.floor((t.agg(F.sum("target")).first()[0] or 0.0) + 1e-6))
+    at = border(e.groupBy("_range").agg(F.sum("size").alias("_sum")), budget)
     # only the range in which the budget ends is ordered
     last = Window.partitionBy("_range").orderBy("_finish", "_key", "_turn", "doc_id", "size").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    cut = (e.where(~F.col("_whole")).withColumn("_total", F.col("_before") + F.sum("size").over(last))
-           .where(F.col("_total") <= F.col("_budget")))
+    whole = e if at is None else e.where(F.col("_range") < at[0])
+    cut = e.where(F.lit(False)) if at is None else (
+        e.where(F.col("_range") == at[0]).withColumn("_total", F.sum("size").over(last)).where(F.col("_total") <= budget - at[1]))
     cols = ["doc_id", "_key", "source", "size", "_end"]
-    got = (e.where("_whole").select(*cols).unionByName(cut.select(*cols))
+    got = (whole.select(*cols).unionByName(cut.select(*cols))
            .groupBy(*cols).agg(F.count(F.lit(1)).alias("_times")))
     same = [F.col(f"q.{c}").eqNullSafe(F.col(f"g.{c}")) for c in cols]
     joined = q.alias("q").join(got.alias("g"), same, "left")
@@ -125,12 +141,11 @@ def apply_mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: floa
     id, source and size; repeated rows share what was taken of all of them, in whole rows.
     """
     got = mix(docs, weights, share, max_repeats)
-    per = got.groupBy("doc_id", "source", "size").agg(F.sum("taken").alias("_taken"), F.count(F.lit(1)).alias("_rows"))
-    per = per.where("size > 0").withColumn("_times", F.col("_taken") / F.col("size"))
-    d = docs.withColumn("_size", word_count(F.col("text")))
-    on = d["doc_id"].eqNullSafe(per["doc_id"]) & d["source"].eqNullSafe(per["source"]) & (d["_size"] == per["size"])
-    out = d.join(per.select("doc_id", "source", "size", "_times", "_rows"), on, "left").select(
-        *[d[c] for c in docs.columns], "_times", "_rows")
-    times = F.when(F.col("_rows").isNull(), 1).when(F.col("_rows") == 1, F.col("_times")).otherwise(
-        F.round(F.col("_times") / F.col("_rows"))).cast("int")
-    return out.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), times))).select(*docs.columns)
+    per = got.groupBy("doc_id", "source", "size").agg(F.sum("taken").alias("taken"), F.count(F.lit(1)).alias("rows")).where("size > 0")
+    per = per.select(F.struct("doc_id", "source", "size").alias("key"), (F.col("taken") / F.col("size")).alias("times"), "rows")
+    # the caller's row rides in a struct, so none of its names can meet one of these
+    d = docs.select(F.struct(*docs.columns).alias("doc"), F.struct("doc_id", "source", word_count(F.col("text")).alias("size")).alias("key"))
+    out = d.alias("d").join(per.alias("p"), F.col("d.key").eqNullSafe(F.col("p.key")), "left")
+    times = F.when(F.col("rows").isNull(), 1).when(F.col("rows") == 1, F.col("times")).otherwise(
+        F.round(F.col("times") / F.col("rows"))).cast("int")
+    return out.select("doc", F.explode(F.array_repeat(F.lit(1), times))).select("doc.*")

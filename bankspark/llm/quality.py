@@ -21,6 +21,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from bankspark.llm.text import RollingHash, mix, pieces, words
 
@@ -181,17 +182,17 @@ def train(sample: DataFrame, p: Params = Params()) -> np.ndarray:
 def score(docs: DataFrame, logits: np.ndarray, p: Params = Params(), keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns of every row and ``score`` (0..1, higher: class 1 likelier).
 
-    Whole texts are read. An empty, blank or null text has no feature and gets the bias' score.
+    A kept column named ``score`` gives way to the new one. Whole texts are read. An empty, blank or null text has no feature and gets the bias' score.
     """
     sent = docs.sparkSession.sparkContext.broadcast(logits)
-    fields = [docs.schema[c] for c in keep]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", score double"
+    keep = tuple(c for c in keep if c != "score")
+    schema = StructType([*(docs.schema[c] for c in keep), StructField("score", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, bias = sent.value[:-1], float(sent.value[-1])
         for b in batches:
             out = np.zeros(b.num_rows)
-            for lo, hi, buf, off in pieces(b.column("_text")):
+            for lo, hi, buf, off in pieces(b.column(len(keep))):
                 ids, rows = features(buf, off, p)
                 total = np.bincount(rows, weights=table[ids], minlength=hi - lo)
                 out[lo:hi] = total / np.maximum(1, np.bincount(rows, minlength=hi - lo))
@@ -199,4 +200,7 @@ def score(docs: DataFrame, logits: np.ndarray, p: Params = Params(), keep: tuple
             yield pa.RecordBatch.from_arrays(
                 [*(b.column(i) for i in range(len(keep))), pa.array(probability)], names=[*keep, "score"])
 
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
+    read = "text"
+    while read in keep:
+        read = "_" + read
+    return docs.select(*keep, F.col("text").alias(read)).mapInArrow(run, schema)

@@ -70,15 +70,16 @@ def shard(docs: DataFrame, limit: int) -> DataFrame:
 
     Sizes are UTF-8 bytes of the text (null: 0). Every shard fits ``limit`` bytes, except a single
     document that is larger by itself. Rows that share one doc_id have equal hashes; if they do
-    not fit together, their bucket is cut into parts (shard_part 0, 1, ...) in running order
-    of text hash and size. Ids may be null; other columns pass through, and a column with the name
+    not fit together, their bucket is cut into parts (shard_part 0, 1, ... without gaps) in running order
+    of text hash and size, and shard_bytes is the part's. Ids may be null; other columns pass through, and a column with the name
     of a new one is replaced. An empty table gives an empty result.
     """
     new = ["n_bytes", "shard", "shard_bytes", "shard_part"]
     base = docs.drop(*new)
     text = F.coalesce(F.col("text"), F.lit(""))
-    sized = base.withColumn("n_bytes", F.octet_length(text).cast("long")).withColumn("_h", hash60(F.col("doc_id")))
-    sized = sized.withColumn("_t", F.xxhash64("text"))
+    # the caller's row rides in a struct, so none of its names can meet one of these
+    sized = base.select(F.struct(*base.columns).alias("_doc"), F.octet_length(text).cast("long").alias("n_bytes"),
+                        hash60(F.col("doc_id")).alias("_h"), F.xxhash64("text").alias("_t"))
     sizes = stage(sized.select("_h", "n_bytes"), "shard-sizes")
     d = stage(directory(sizes, limit), "shard-directory")
     buckets = (d.withColumn("shard", F.when(F.col("depth") == 0, F.lit("")).otherwise(
@@ -95,7 +96,7 @@ def shard(docs: DataFrame, limit: int) -> DataFrame:
         keys = sizes.select("_h").distinct().select("_h", tries.alias("_t")).select("_h", "_t.*")
         found = keys.join(buckets, ["_depth", "_prefix"]).select("_h", "shard", "bytes", "rows")
     out = sized.join(found, "_h")
-    cols = [*base.columns, "n_bytes", "shard", F.col("bytes").alias("shard_bytes"), "shard_part"]
+    cols = ["_doc.*", "n_bytes", "shard", F.col("bytes").alias("shard_bytes"), "shard_part"]
     # only buckets of equal hashes can still be over the limit
     over = (F.col("bytes") > limit) & (F.col("rows") > 1)
     if d.where(over).isEmpty():
@@ -107,6 +108,9 @@ def shard(docs: DataFrame, limit: int) -> DataFrame:
     tied = tied.withColumn("_max", F.max("n_bytes").over(largest))
     # parts of a width that leaves room for the row that crosses the border
     width = F.greatest(F.lit(1), F.lit(limit) - F.col("_max") + 1)
-    tied = tied.withColumn("shard_part", F.floor(F.col("_run") / width).cast("int"))
+    tied = tied.withColumn("_piece", F.floor(F.col("_run") / width).cast("long")).drop("bytes")
+    parts = tied.groupBy("_h", "_piece").agg(F.sum("n_bytes").alias("bytes"))
+    number = F.row_number().over(Window.partitionBy("_h").orderBy("_piece")) - 1
+    tied = tied.join(parts.withColumn("shard_part", number), ["_h", "_piece"])
     plain = out.where(~F.col("_cut")).withColumn("shard_part", F.lit(0))
     return plain.select(*cols).unionByName(tied.select(*cols))
