@@ -18,6 +18,8 @@ from ..plans.session import keep
 
 # Buckets per refinement pass.
 SELECT_BUCKETS = 4096
+# Groups above which the ranges of a grouped histogram are joined by a shuffle.
+HIST_GROUPS = 10_000
 
 
 def _groups_filter(by, key) -> Column:
@@ -185,7 +187,10 @@ def hist(df: DataFrame, col, bins: int, by=None, density: bool = False, name: st
            .withColumn("_lo", F.when(F.col("_mn") == F.col("_mx"), F.col("_mn") - 0.5).otherwise(F.col("_mn")))
            .withColumn("_hi", F.when(F.col("_mn") == F.col("_mx"), F.col("_mx") + 0.5).otherwise(F.col("_mx")))
            .drop("_mn", "_mx"))
-    # one row per group: AQE broadcasts it from the measured size of the aggregate
+    if by_cols:  # few groups: their ranges go to the rows, which are not shuffled by a key of few values
+        rows = rng.limit(HIST_GROUPS + 1).collect()
+        if len(rows) <= HIST_GROUPS:
+            rng = F.broadcast(df.sparkSession.createDataFrame(rows, rng.schema))
     b0 = F.least(F.floor((F.col(name) - F.col("_lo")) * F.lit(float(bins)) / (F.col("_hi") - F.col("_lo"))),
                  F.lit(bins - 1)).cast("int")
 

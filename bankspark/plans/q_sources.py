@@ -62,12 +62,34 @@ def src_csv_row_counts(spark, d):
 
 @query("src_merge_years", "SELECT * FROM trans", _TRANS_D)
 def src_merge_years(spark, d):
-    """An empty clone of the transaction table, then one yearly slice appended per year (UNION ALL)."""
+    """Transactions written to a yearly store in one scan, then all years appended to an empty clone of the table."""
     trans = raw(spark, d)["transaction"]
-    years = [r[0] for r in trans.select(F.year("Date")).distinct().collect()]
-    parts = [trans.where(F.year("Date") == y) for y in years if y is not None]
-    parts.append(trans.where(F.col("Date").isNull()))
-    return S.merge_years(S.empty_like(trans), *parts)
+    folder = _scratch(spark, "years")
+    S.write_years(trans, "Date", folder)
+    return S.merge_years(S.empty_like(trans), S.read_years(spark, folder, trans.schema))
+
+
+@query("src_years_pruned", "SELECT * FROM trans WHERE year(\"Date\") IN (1995, 1997)", _TRANS_D)
+def src_years_pruned(spark, d):
+    """Two years read from a yearly store of all transactions: only their folders are scanned."""
+    trans = raw(spark, d)["transaction"]
+    folder = _scratch(spark, "years")
+    S.write_years(trans, "Date", folder)
+    return S.read_years(spark, folder, trans.schema, [1995, 1997])
+
+
+@query("src_csv_line_breaks", """
+  SELECT trans_id, coalesce(operation, '') || chr(10) || 'say "' || coalesce(Purpose, '') || '"; ' || chr(13) || chr(10) || Type AS note,
+         amount FROM trans""", ["amount"])
+def src_csv_line_breaks(spark, d):
+    """Transactions with a note that holds line breaks, quotes and separators, through plain CSV read in parallel."""
+    t = raw(spark, d)["transaction"]
+    folder = _scratch(spark, "csvl")
+    S.write_tables({"notes": t.select("trans_id", F.concat(
+        F.coalesce("operation", F.lit("")), F.lit("\nsay \""), F.coalesce("Purpose", F.lit("")), F.lit("\"; \r\n"), "Type").alias("note"),
+        "amount")}, folder, gzip_over_mb=1 << 40)
+    return S.read_csv_table(spark, folder, "notes.csv", sep=";").select(
+        F.col("trans_id").cast(t.schema["trans_id"].dataType), "note", F.col("amount").cast("double"))
 
 
 @query("src_parquet_roundtrip", "SELECT * FROM trans", _TRANS_D)

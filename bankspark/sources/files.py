@@ -12,12 +12,17 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions.codes import DEFAULT_FILES, GZIP_THRESHOLD_MB
+from .csvrecords import compress_csv, read_csv_parallel
 from .schemas import TYPES, apply_types
 
 log = logging.getLogger(__name__)
 
+# Folder column of yearly stores.
+YEAR = "_year"
+
 
 # ---------------------------------------------------------------- file system helpers
 
@@ -81,15 +86,15 @@ def read_csv_table(spark: SparkSession, folder: str, filename: str, sep: str | N
     """Read one ``;``-separated CSV with a header (gzip picked up transparently).
 
     ``sep=None`` detects ``;`` or ``,`` from the header. With ``table`` the known columns
-    get their fixed types (see :mod:`bankspark.sources.schemas`). Quoted values may hold line breaks, so
-    one file is read by one task, whatever its size; a table written in parts is read in as many.
+    get their fixed types (see :mod:`bankspark.sources.schemas`). Quoted values may hold line breaks:
+    a scan of the lines with quotes finds the record borders (:mod:`bankspark.sources.csvrecords`), so a
+    plain file is read by as many tasks as it has splits; a gzip file has one.
     """
     path = resolve_csv_path(spark, folder, filename)
     if sep is None:
         required = [k for k in TYPES.get(table, {}) if k != "issued"][:2] if table else None
         sep = detect_sep(spark, path, required)
-    df = (spark.read.option("header", True).option("sep", sep).option("inferSchema", False)
-          .option("multiLine", True).option("mode", "PERMISSIVE").csv(path))
+    df = read_csv_parallel(spark, path, sep)
     return apply_types(df, table) if table else df
 
 
@@ -122,31 +127,25 @@ def write_csv(df: DataFrame, path: str, sep: str = ";", compression: str | None
     w.csv(path)
 
 
-def csv_size(df: DataFrame, sep: str = ";") -> int:
-    """Bytes of ``df`` as one CSV with a header, summed without writing it."""
-    line = F.to_csv(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {
-        "sep": sep, "dateFormat": "yyyy-MM-dd", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"})
-    return len(sep.join(df.columns).encode()) + 1 + int(df.select(F.sum(F.octet_length(line) + 1)).head()[0] or 0)
-
-
 def write_tables(t: dict, folder: str, files: dict | None = None, gzip_over_mb: float = GZIP_THRESHOLD_MB,
                  sep: str = ";") -> dict:
     """Write every table as ``;``-CSV with a header; a table whose CSV exceeds ``gzip_over_mb`` MB
-    is written gzip-compressed as ``<file>.gz`` instead, and a plain copy of an earlier run is removed.
+    is kept gzip-compressed as ``<file>.gz`` instead, without a plain copy.
 
-    Returns {table: (path, bytes)}. Each table is written once, by all its partitions in parallel.
+    Returns {table: (path, bytes)}. Each table's plan runs once, by all its partitions in parallel: the
+    size is that of the written files, and those over the limit are compressed record by record.
     """
     files = {**DEFAULT_FILES, **(files or {})}
     out = {}
     for name, df in t.items():
         spark = df.sparkSession
-        plain = join_path(folder, files.get(name, f"{name}.csv"))
-        big = csv_size(df, sep) > gzip_over_mb * 1024 * 1024
-        path = plain + ".gz" if big else plain
-        write_csv(df, path, sep, compression="gzip" if big else None)
-        if big:  # the reader takes the plain file first
-            remove_path(spark, plain)
+        path = join_path(folder, files.get(name, f"{name}.csv"))
+        write_csv(df, path, sep)
         size = path_size(spark, path)
+        if size > gzip_over_mb * 1024 * 1024:  # the reader takes the plain file first
+            compress_csv(spark, path, path + ".gz", sep)
+            remove_path(spark, path)
+            path, size = path + ".gz", path_size(spark, path + ".gz")
         log.info("wrote %s (%.1f MB)", path, size / 1048576)
         out[name] = (path, size)
     return out
@@ -159,6 +158,28 @@ def merge_years(*dfs: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), dfs)
 
 
+def write_years(df: DataFrame, date_col: str, path: str) -> None:
+    """Add the rows of ``df`` to the yearly store at ``path``: Parquet, one folder per year of ``date_col``.
+
+    Years that ``df`` holds replace those of earlier calls, other years stay, so a yearly load can run again.
+    One scan of ``df`` whatever the number of years; rows without a date have a folder of their own.
+    """
+    if YEAR in df.columns:
+        raise ValueError(f"the table already has a column {YEAR}")
+    (df.withColumn(YEAR, F.year(date_col)).write.partitionBy(YEAR).mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").parquet(path))
+
+
+def read_years(spark: SparkSession, path: str, schema: StructType, years=None) -> DataFrame:
+    """The table of a yearly store with the given schema; ``years`` (None among them: no date) reads only their folders."""
+    names = [f.name for f in schema.fields]
+    df = spark.read.schema(StructType([*schema.fields, StructField(YEAR, IntegerType())])).parquet(path)
+    if years is not None:
+        known = [y for y in years if y is not None]
+        df = df.where(F.col(YEAR).isin(known) | (F.col(YEAR).isNull() if len(known) < len(list(years)) else F.lit(False)))
+    return df.select(*[F.col(f"`{n}`") for n in names])
+
+
 def empty_like(df: DataFrame) -> DataFrame:
     """An empty table with the schema of ``df`` (``SELECT * INTO ... WHERE 1 = 0``)."""
     return df.where(F.lit(False))

@@ -1,10 +1,13 @@
 """Sources and sinks: CSV with separator detection and gzip fallback, JDBC through embedded Derby."""
 
+import datetime
 import os
+import random
 import tempfile
 
 import pytest
 
+from bankspark.sources import csvrecords as C
 from bankspark.sources import files as S
 from bankspark.sources import jdbc as J
 
@@ -47,6 +50,84 @@ def test_line_breaks_survive_at_every_size(spark, limit):
     assert S.read_csv_table(spark, d, "none.csv", sep=";").count() == 0
 
 
+def _records(text):
+    """Records of ;-CSV by a plain scan of characters."""
+    out, now, inside, start, i = [], "", False, True, 0
+    while i < len(text):
+        c = text[i]
+        if inside and c == "\\" and i + 1 < len(text):
+            now, i = now + text[i:i + 2], i + 2
+            continue
+        if inside and c == '"':
+            if text[i + 1:i + 2] == '"':
+                now, i = now + '""', i + 2
+                continue
+            inside = False
+        elif c == '"' and start:
+            inside = True
+        if c == "\n" and not inside:
+            out.append(now.removesuffix("\r"))
+            now, start, i = "", True, i + 1
+            continue
+        now, start, i = now + c, c == ";" and not inside, i + 1
+    return [r for r in [*out, now] if r.strip()]
+
+
+@pytest.mark.parametrize("split", [61, 1000, 1 << 20])
+def test_csv_records_at_every_split_size(spark, split):
+    """Record borders do not depend on where splits end: values of many lines, quotes, escapes, CRLF, blank lines, an open quote."""
+    rng = random.Random(split)
+    bits = ['"a\nb"', 'x', '"say \\"x\\";\n\n"', '5" pipe', '""', '"back\\\\"', '"' + "long line\n" * 30 + '"', '"q""\n""q"', "\u00e9\u4e2d"]
+    rows = [";".join(rng.choice(bits) for _ in range(3)) + rng.choice(["\n", "\r\n", "\n\n"]) for _ in range(120)]
+    d = tempfile.mkdtemp(prefix="bankspark-src-")
+    os.mkdir(f"{d}/t.csv")
+    texts = ["a;b;c\n" + "".join(rows), "a;b;c\n", 'a;b;c\nz;z;z\ny;"never closed\n1;2;3\n']
+    for i, text in enumerate(texts):
+        with open(f"{d}/t.csv/part-{i}.csv", "w", newline="") as f:
+            f.write(text)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        spark.conf.set("spark.sql.files.openCostInBytes", 0)
+        borders = C.csv_borders(spark, f"{d}/t.csv", ";")
+        got = [r.record for r in C.csv_records(spark, f"{d}/t.csv", ";", borders).collect()]
+        table = S.read_csv_table(spark, d, "t.csv", sep=";")
+        assert table.columns == ["a", "b", "c"] and table.count() == len(got)
+        assert split > 64 or table.rdd.getNumPartitions() > 8
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    want = [r for text in texts for r in _records(text)[1:]]
+    assert sorted(x.rstrip("\n") for x in got) == sorted(x.rstrip("\n") for x in want)
+    assert borders.spans and (borders.crosses or split > 1000)
+
+
+def test_csv_without_line_breaks_stays_line_wise(spark):
+    d = tempfile.mkdtemp(prefix="bankspark-src-")
+    with open(f"{d}/t.csv", "w", newline="") as f:
+        f.write('a;b\r\n"x;y";1\r\n;2\r\n')
+    df = S.read_csv_table(spark, d, "t.csv", sep=";")
+    assert "MapInArrow" not in df._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in df.collect()] == [("x;y", "1"), (None, "2")]
+
+
+def test_yearly_store(spark):
+    """A year written again replaces that year alone; reads of some years scan their folders; rows without a date stay."""
+    d = tempfile.mkdtemp(prefix="bankspark-years-") + "/store"
+    rows = "id int, day date, v string"
+    day = datetime.date
+    S.write_years(spark.createDataFrame([(1, day(1995, 1, 2), "a"), (2, day(1996, 5, 5), "b"), (2, day(1996, 5, 5), "b"), (3, None, "c")], rows), "day", d)
+    S.write_years(spark.createDataFrame([(4, day(1995, 3, 3), "d")], rows), "day", d)
+    schema = spark.createDataFrame([], rows).schema
+    ids = lambda years=None: sorted(r.id for r in S.read_years(spark, d, schema, years).collect())
+    assert ids() == [2, 2, 3, 4] and ids([1995]) == [4] and ids([None, 1996]) == [2, 2, 3] and ids([]) == [] and ids([2001]) == []
+    one = S.read_years(spark, d, schema, [1995])
+    assert len(one.inputFiles()) > 0 and "Filter (" not in one._jdf.queryExecution().executedPlan().toString()
+    assert S.read_years(spark, d, schema).schema == schema
+    with pytest.raises(ValueError):
+        S.write_years(spark.createDataFrame([(1, day(1995, 1, 2))], "_year int, day date"), "day", d)
+
+
 def test_merge_years_keeps_duplicates(spark):
     a = spark.createDataFrame([(1, "x")], "id int, v string")
     merged = S.merge_years(S.empty_like(a), a, a)

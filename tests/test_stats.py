@@ -157,3 +157,22 @@ def test_select_ranks_of_infinite_and_huge_values(spark, extra):
     df = spark.createDataFrame([(v,) for v in values], "v double")
     got = S.select_ranks(df, "v", {(): range(len(values))}, buckets=4)[()]
     assert [got[r] for r in range(len(values))] == values
+
+
+@pytest.mark.parametrize("groups", [10_000, 2])
+def test_grouped_hist_ranges_by_lookup_and_by_join(spark, monkeypatch, groups):
+    """Ranges of few groups go to the rows, which no group key shuffles; beyond the limit they are joined. Same counts."""
+    monkeypatch.setattr(S, "HIST_GROUPS", groups)
+    rows = [(i % 3, float((i * 37) % 100)) for i in range(600)] + [(None, 1.0), (1, None)]
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        out = S.hist(spark.createDataFrame(rows, "g int, x double"), "x", 7, by="g")
+        got = {(r.g, r.bin): r["count"] for r in out.collect()}
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert ("BroadcastHashJoin" in plan) == (groups > 3)
+    for g in range(3):
+        want = np.histogram([x for k, x in rows if k == g and x is not None], 7)[0]
+        assert [got[g, b] for b in range(7)] == want.tolist()
