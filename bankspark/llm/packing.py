@@ -15,13 +15,13 @@ or have a null id too. An empty table gives no rows; extra columns are not read.
 from __future__ import annotations
 
 import os
-import re
 import zlib
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,17 +44,19 @@ class Params:
 
 
 #: A word of Latin-1 letters (composed already) and the marks after it: such a chunk has one or two pre-tokens.
-_PLAIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([.,;:!?()\"-]*)")
+_PLAIN = '^(?P<word>[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)(?P<marks>[-!"#$%&()*+,./:;=?@^~]*)$'
+_MARKS = '-!"#$%&()*+,./:;=?@^~'
 _PROBE = ["a", "Word", "TIME", "caf\u00c9", "\u00d1and\u00da", "Stra\u00dfe", "qzxv\u00fe\u00ff", "\u00c6\u00d8\u00e5"]
 
 
 class Encoder:
     """Ids of texts, as bytes of 32-bit numbers, by a tokenizer that drops white space.
 
-    Distinct chunks between white space are encoded once. Plain words of a byte-level model go to the
-    model itself, past the normaliser, if that gives the whole tokenizer's ids for a few words of
-    all their letters; everything else takes the whole way. The memory holds at most ``limit`` chunks
-    of at most ``chunk`` bytes.
+    The distinct chunks between white space of a batch are encoded once, and so are words that differ in
+    capitals or in the marks behind them. Plain words of a byte-level model go to the model itself, past the
+    normaliser, if that gives the whole tokenizer's ids for a few words of all their letters and marks; everything
+    else takes the whole way. The memory holds about ``limit`` words and chunks of at most ``chunk``
+    characters in two generations, so those in use stay.
     """
 
     def __init__(self, path: str, limit: int = 1 << 19, chunk: int = 64):
@@ -62,53 +64,68 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok, self.limit, self.chunk = Tokenizer.from_file(path), limit, chunk
-        self.known: dict[bytes, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.tokenize = self.tok.model.tokenize
+        self.number = [i.to_bytes(4, "little") for i in range(self.tok.get_vocab_size())]
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         # the printable form of bytes that byte-level models use: themselves, or the next code points from 256
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = iter(range(256, 512))
         self.form = {b: chr(b if b in printable else next(hidden)) for b in range(256)}
-        self.plain = all(self._word(w.lower()) == self._whole([w])[0] for w in _PROBE)
+        self.plain = all(self._word(w.lower()) + b"".join(self._whole([m])) == self._whole([w + m])[0]
+                         for w in _PROBE for m in ["", *_MARKS, _MARKS])
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
 
     def _word(self, word: str) -> bytes:
-        got = self.words.get(word)
-        if got is None:
-            parts = self.tok.model.tokenize(word.encode().decode("latin-1").translate(self.form))
-            got = self.words[word] = b"".join([t.id.to_bytes(4, "little") for t in parts])
-        return got
-
-    def _learn(self, chunks: Iterable[bytes], into: dict[bytes, bytes]) -> None:
-        rest = []
-        for c in chunks:
-            text = c.decode()
-            m = _PLAIN.fullmatch(text) if self.plain else None
-            if not m:
-                rest.append((c, text))
-                continue
-            got = self._word(m[1].lower())
-            if m[2]:
-                if m[2] not in self.words:
-                    self.words[m[2]] = self._whole([m[2]])[0]
-                got += self.words[m[2]]
-            into[c] = got
-        into.update(zip([c for c, _ in rest], self._whole([t for _, t in rest])))
-
-    def ids(self, texts: list[bytes]) -> list[bytes]:
-        chunks = [t.split() for t in texts]
-        if len(self.known) > self.limit or len(self.words) > self.limit:
-            self.known.clear()
-            self.words.clear()
-        new = set().union(*chunks).difference(self.known)
-        long = {c for c in new if len(c) > self.chunk}
-        self._learn(new - long, self.known)
-        if not long:
-            return [b"".join(map(self.known.__getitem__, c)) for c in chunks]
-        extra: dict[bytes, bytes] = {}
-        self._learn(long, extra)
-        return [b"".join([extra[x] if x in extra else self.known[x] for x in c]) for c in chunks]
+        form = word if word.isascii() else word.encode().decode("latin-1").translate(self.form)
+        number = self.number
+        return b"".join([number[t.id] for t in self.tokenize(form)])
+
+    def _look_up(self, texts: pa.Array, plain: bool = False) -> pa.Array:
+        """Ids of distinct texts: lower-case plain words, or chunks that take the whole way."""
+        texts = texts.to_numpy(zero_copy_only=False).tolist()
+        got = list(map(self.known.get, texts))
+        missing = [i for i, g in enumerate(got) if g is None]
+        new = []
+        for i in missing:
+            got[i] = self.older.get(texts[i])
+            if got[i] is None:
+                new.append(i)
+        for i, ids in zip(new, [self._word(texts[i]) for i in new] if plain else self._whole([texts[i] for i in new])):
+            got[i] = ids
+        if 2 * len(self.known) > self.limit:
+            self.known, self.older = {}, self.known
+        self.known.update((texts[i], got[i]) for i in missing if len(texts[i]) <= self.chunk)
+        return pa.array(got, pa.large_binary())
+
+    def _chunk_ids(self, chunks: pa.Array) -> pa.Array:
+        """Ids of distinct chunks."""
+        if not self.plain:
+            return self._look_up(chunks)
+        split = pc.extract_regex(chunks, _PLAIN)
+        plain = pc.is_valid(split)
+        split = split.filter(plain)
+        word = pc.utf8_lower(pc.struct_field(split, "word")).dictionary_encode()
+        marks = pc.struct_field(split, "marks").dictionary_encode()
+        ids = pc.binary_join_element_wise(self._look_up(word.dictionary, True).take(word.indices),
+                                          self._look_up(marks.dictionary).take(marks.indices), pa.scalar(b"", pa.large_binary()))
+        plain = plain.to_numpy(zero_copy_only=False)
+        place = np.empty(len(chunks), np.int64)
+        place[np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])] = np.arange(len(chunks))
+        return pa.concat_arrays([ids, self._look_up(chunks.filter(pa.array(~plain)))]).take(pa.array(place))
+
+    def ids(self, texts: pa.Array) -> list[bytes]:
+        """Ids of every text of a string array without nulls."""
+        lists = pc.ascii_split_whitespace(texts)
+        chunks = lists.flatten().dictionary_encode()
+        if not len(chunks):
+            return [b""] * len(texts)
+        flat = self._chunk_ids(chunks.dictionary).take(chunks.indices)  # its bytes are the texts' ids in order
+        ends = np.concatenate([[0], np.cumsum(pc.binary_length(flat).to_numpy())])[np.asarray(lists.offsets) - lists.offsets[0].as_py()]
+        data = flat.buffers()[2]
+        return [data[a:b].to_pybytes() if b > a else b"" for a, b in zip(ends.tolist(), ends[1:].tolist())]
 
 
 def pieces_of(path: str, p: Params) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -117,11 +134,10 @@ def pieces_of(path: str, p: Params) -> Callable[[Iterator[pa.RecordBatch]], Iter
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end, schema = Encoder(path), p.end_id.to_bytes(4, "little"), None
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                texts = [(t or "").encode() for t in part.column(1).to_pylist()]
+            for lo in range(0, batch.num_rows, 1024):
+                part = batch.slice(lo, 1024)
                 row, start, length, crc, total, ids = [], [], [], [], [], []
-                for i, flat in enumerate(enc.ids(texts)):
+                for i, flat in enumerate(enc.ids(part.column(1).fill_null(""))):
                     flat += end
                     for a in range(0, len(flat), 4 * p.window):
                         cut = flat[a: a + 4 * p.window]

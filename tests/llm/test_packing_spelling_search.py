@@ -3,10 +3,12 @@
 import math
 import random
 import re
+import string
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,9 +43,10 @@ def test_encoder_equals_the_tokenizer():
     texts = ["", " ", "don't STOP 123", "x" * 500, "<|endoftext|> a", "é ́e"]
     texts += ["".join(rng.choice(alphabet) for _ in range(rng.randint(1, 80))) for _ in range(300)]
     texts += ["".join(rng.choice("abcXYZàÉñßÿ×÷µ.,!-\"") for _ in range(rng.randint(1, 9))) for _ in range(400)]
+    texts += ["".join(rng.choice("abÉ") for _ in range(3)) + "".join(rng.choice(string.punctuation) for _ in range(rng.randint(1, 5))) for _ in range(2000)]
     assert enc.plain
     for lo in range(0, len(texts), 7):
-        for t, got in zip(texts[lo: lo + 7], enc.ids([t.encode() for t in texts[lo: lo + 7]])):
+        for t, got in zip(texts[lo: lo + 7], enc.ids(pa.array(texts[lo: lo + 7], pa.string()))):
             assert np.frombuffer(got, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
 
 
