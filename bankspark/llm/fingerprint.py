@@ -12,6 +12,8 @@ Everything happens inside array expressions of one row: no row per k-mer is made
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,10 +21,11 @@ from bankspark.llm.shared import stage
 
 TUPLES = 32
 BINS = 2 * TUPLES
-#: Bits of a word's place, of a hash next to a place, and of the bin number.
-PLACE, VALUE = 24, 33
+#: Bits of a word's place (Spark strings end at 2^31 bytes, so at 2^30 words), and of a hash next to bin and place.
+PLACE = 30
+VALUE = 64 - PLACE - (BINS - 1).bit_length()
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-ROWS_PER_BUCKET, MAX_BUCKETS = 1_000, 4_096
+ROWS_PER_BUCKET = 1_000
 
 
 def _words(text: Column) -> Column:
@@ -33,12 +36,10 @@ def _words(text: Column) -> Column:
 def _kmers(words: Column, k: int) -> Column:
     """Hash and place of every k-mer in one long; the whole of a shorter text is its only k-mer."""
     last = F.greatest(F.size(words) - k, F.lit(0))
-    mask = (1 << (63 - PLACE)) - 1
 
     def one(i: Column) -> Column:
         h = F.xxhash64(*[F.get(words, i + j) for j in range(k)])
-        return F.shiftleft(h.bitwiseAND(F.lit(mask)), PLACE).bitwiseOR(
-            F.least(i, F.lit((1 << PLACE) - 1)).cast("long"))
+        return F.shiftleft(h, PLACE).bitwiseOR(i.cast("long"))
 
     return F.when(F.size(words) == 0, F.array().cast("array<long>")).otherwise(
         F.transform(F.sequence(F.lit(0), last), one))
@@ -47,8 +48,12 @@ def _kmers(words: Column, k: int) -> Column:
 def _numbered(sorted_kmers: Column) -> Column:
     """Bin, hash of (k-mer, occurrence number) and place of every k-mer of a sorted array.
 
-    The number of a repeated k-mer is its distance from the first equal one, found by halving steps.
+    The number of a repeated k-mer is its distance from the first equal one, found by halving steps
+    that begin at the array's size.
     """
+    powers = F.array(*[F.lit(1 << b) for b in range(PLACE - 1, -1, -1)])
+    bits = F.length(F.bin(F.size(sorted_kmers)))
+
     def one(x: Column, j: Column) -> Column:
         kmer = F.shiftright(x, PLACE)
         again = F.coalesce(F.shiftright(F.get(sorted_kmers, j - 1), PLACE) == kmer, F.lit(False))
@@ -58,8 +63,7 @@ def _numbered(sorted_kmers: Column) -> Column:
             return F.when(F.coalesce(F.shiftright(F.get(sorted_kmers, to), PLACE) == kmer, F.lit(False)),
                           to).otherwise(at)
 
-        steps = F.array(*[F.lit(1 << b) for b in range(PLACE - 1, -1, -1)])
-        first = F.aggregate(steps, j, back)
+        first = F.aggregate(F.slice(powers, F.lit(PLACE + 1) - bits, bits), j, back)
         # halving steps reach the first equal one: each power of two is taken at most once
         number = F.when(again, j - first).otherwise(F.lit(0))
         h = F.xxhash64(kmer, number)
@@ -123,13 +127,18 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(used == 0, F.lit(1.0)).otherwise(same / used)
 
 
-def _bucket_tree(value: Column, limits: list[int], base: int = 0) -> Column:
-    """Number of limits at or below ``value``, as a balanced CASE tree."""
+def _bucket(value: Column, limits: list[int]) -> Column:
+    """Number of limits at or below ``value``, by halving steps over one constant array."""
     if not limits:
-        return F.lit(base)
-    mid = len(limits) // 2
-    return F.when(value >= limits[mid], _bucket_tree(value, limits[mid + 1:], base + mid + 1)).otherwise(
-        _bucket_tree(value, limits[:mid], base))
+        return F.lit(0)
+    # one text constant, folded to an array by the optimizer: the plan has no node per limit
+    cuts = F.split(F.lit(",".join(map(str, limits))), ",").cast("array<bigint>")
+    steps = F.array(*[F.lit(1 << b) for b in range(len(limits).bit_length() - 1, -1, -1)])
+
+    def ahead(at: Column, step: Column) -> Column:
+        return F.when(F.coalesce(F.get(cuts, at + step - 1) <= value, F.lit(False)), at + step).otherwise(at)
+
+    return F.aggregate(steps, F.lit(0), ahead)
 
 
 def with_next(docs: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
@@ -138,14 +147,16 @@ def with_next(docs: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFr
     of every document is in its own bucket.
 
     Order: doc_id (null first), then the hash of the text. Buckets are cut at approximate quantiles of
-    doc_id (the cuts only balance the work): at most 4096 of them, larger ones for more rows.
+    doc_id (the cuts only balance the work). A bucket has ``rows_per_bucket`` rows, or the square root of all
+    rows where that is more, so that neither the list of cuts nor a bucket outgrows the other: 1e10 documents
+    give 1e5 cuts and buckets of 1e5 rows.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     n = d.count()
-    parts = min(MAX_BUCKETS, max(1, n // rows_per_bucket))
+    parts = max(1, n // max(rows_per_bucket, math.isqrt(n)))
     cuts = d.stat.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts) if parts > 1 else []
     limits = sorted({int(c) for c in cuts})
-    d = d.withColumn("_bucket", F.when(F.col("doc_id").isNull(), 0).otherwise(_bucket_tree(F.col("doc_id"), limits)))
+    d = d.withColumn("_bucket", F.when(F.col("doc_id").isNull(), 0).otherwise(_bucket(F.col("doc_id"), limits)))
     d = d.withColumn("_order", F.xxhash64("text"))
     # first document of each bucket (one row per bucket), as a ghost of the bucket before it
     firsts = d.groupBy("_bucket").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("i"),
@@ -156,7 +167,7 @@ def with_next(docs: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFr
                            F.col("f.i").alias("_i"), F.col("f.o").alias("_o"))
     firsts = stage(firsts, "bucket-firsts")
     key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
-    # at most MAX_BUCKETS rows: a broadcast of bounded size
+    # three numbers a bucket, at most as many rows as the square root of the table's: 2 MB at 1e10 documents
     ghosts = (d.join(F.broadcast(firsts), (key == F.col("_i")) & (F.col("_order") == F.col("_o")))
               .groupBy("_to").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"),
                                   F.first("_order").alias("_order"))
