@@ -44,7 +44,8 @@ def cents(c) -> Column:
 
 def _sum(c, per_key: bool) -> Column:
     # per_key: the sum of one account (or account-month) cannot reach 9e16 currency units, so
-    # BIGINT cents are exact and fast; totals over whole tables use DECIMAL, which cannot overflow
+    # BIGINT cents are exact and fast; totals over whole tables use DECIMAL, exact to cents (an amount
+    # beyond DECIMAL(18,2) fails)
     if per_key:
         return F.sum(cents(c)).cast("double") / F.lit(100.0)
     return F.sum(money(c)).cast("double")

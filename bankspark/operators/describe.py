@@ -6,6 +6,8 @@ keys (pandas semantics) unless stated; counts are BIGINT, means and rates DOUBLE
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -110,6 +112,14 @@ def a3_txn_summary(p: dict, notebook: bool = False) -> DataFrame:
     return s.withColumn("credit_debit_ratio", safe_div(F.col("total_credit"), F.col("total_debit")))
 
 
+def totals_of_rollup(rollup: DataFrame) -> DataFrame:
+    """total_txns, total_credit, total_debit from a roll-up by account."""
+    whole = lambda c: F.coalesce(
+        (F.sum(F.col(c).cast("decimal(20,0)")) * F.lit(Decimal("0.01"))).cast("double"), F.lit(0.0))
+    return rollup.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("total_txns"), whole("credit").alias("total_credit"),
+                      whole("debit").alias("total_debit"))
+
+
 def a3_type_counts(p: dict) -> DataFrame:
     return value_counts(p["transaction"], "Type")
 

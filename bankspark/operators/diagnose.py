@@ -39,17 +39,25 @@ def high_debit_threshold(ratios: DataFrame, threshold: float | None = None) -> f
     return exact_quantiles(ratios, "debit_ratio", [0.75])[()][0]
 
 
-def b1_flags(p: dict, threshold: float | None = None) -> DataFrame:
+def ratios_of_rollup(rollup: DataFrame) -> DataFrame:
+    """The rows of ``b1_debit_ratio`` from a roll-up by account."""
+    whole = lambda c: F.coalesce(F.sum(c).cast("double") / F.lit(100.0), F.lit(0.0))
+    return (rollup.where((F.col("typed") > 0) & F.col("account_id").isNotNull()).groupBy("account_id")
+            .agg(whole("credit").alias("Credit"), whole("debit").alias("Debit"))
+            .withColumn("debit_ratio", safe_div(F.col("Debit"), F.col("Credit") + F.col("Debit") + F.lit(1.0))))
+
+
+def b1_flags(p: dict, threshold: float | None = None, ratios: DataFrame | None = None) -> DataFrame:
     # per-account ratios are read by the quantile passes and by the final plan: compute them once
-    ratios = keep(b1_debit_ratio(p))
+    ratios = keep(b1_debit_ratio(p) if ratios is None else ratios)
     thr = high_debit_threshold(ratios, threshold)
     return ratios.withColumn("threshold", F.lit(thr).cast("double")).withColumn(
         "is_high_debit", flag(F.col("debit_ratio") > F.col("threshold")))
 
 
-def b1_high_debit(p: dict, threshold: float | None = None) -> DataFrame:
+def b1_high_debit(p: dict, threshold: float | None = None, ratios: DataFrame | None = None) -> DataFrame:
     """threshold, accounts, high_debit_rate (% of accounts above the threshold)."""
-    f = b1_flags(p, threshold)
+    f = b1_flags(p, threshold, ratios)
     return f.agg(F.first("threshold").alias("threshold"), F.count(F.lit(1)).alias("accounts"),
                  pct(F.col("is_high_debit")).alias("high_debit_rate"))
 
@@ -183,16 +191,17 @@ def active_ids(trans: DataFrame) -> DataFrame:
     return trans.select("account_id").where(F.col("account_id").isNotNull()).distinct()
 
 
-def b5_dormant_ids(p: dict) -> DataFrame:
+def b5_dormant_ids(p: dict, trans: DataFrame | None = None) -> DataFrame:
     accounts = p["account"].select("account_id").where(F.col("account_id").isNotNull()).distinct()
-    return accounts.join(active_ids(p["transaction"]), "account_id", "left_anti")
+    return accounts.join(active_ids(p["transaction"] if trans is None else trans), "account_id", "left_anti")
 
 
-def b5_dormant(p: dict) -> DataFrame:
-    """active_accounts, total_accounts, dormant_accounts, dormant_rate (%)."""
-    act = active_ids(p["transaction"]).agg(F.count(F.lit(1)).alias("active_accounts"))
+def b5_dormant(p: dict, trans: DataFrame | None = None) -> DataFrame:
+    """active_accounts, total_accounts, dormant_accounts, dormant_rate (%); ``trans`` may be the roll-up."""
+    trans = p["transaction"] if trans is None else trans
+    act = active_ids(trans).agg(F.count(F.lit(1)).alias("active_accounts"))
     tot = p["account"].agg(F.countDistinct("account_id").alias("total_accounts"))
-    dor = b5_dormant_ids(p).agg(F.count(F.lit(1)).alias("dormant_accounts"))
+    dor = b5_dormant_ids(p, trans).agg(F.count(F.lit(1)).alias("dormant_accounts"))
     return (attach_scalars(act, tot, dor)
             .withColumn("dormant_rate", safe_div(F.col("dormant_accounts"), F.col("total_accounts")) * F.lit(100.0)))
 

@@ -24,6 +24,7 @@ from ..functions.columns import (
     birth_month_raw,
     birth_text,
     birth_year_raw,
+    cents,
     century_year,
     flag,
     gender_from_month,
@@ -213,6 +214,22 @@ def txn_feat(trans_p: DataFrame) -> DataFrame:
                  money_sum_where("amount", F.col("type_lbl") == F.lit("Debit"), per_key=True).alias("total_debit")))
 
 
+def txn_rollup(trans_p: DataFrame, by=("account_id", "year", "month")) -> DataFrame:
+    """One row per key, NULL keys included: rows, ids, typed rows, and counts and cents of
+    credit, debit, amount and balance.
+
+    Totals, per-account ratios and means, activity and monthly means are sums over these rows, so one scan of the
+    transactions serves them all. Cents of an account are exact in BIGINT.
+    """
+    is_type = lambda t: F.col("type_lbl") == F.lit(t)
+    return trans_p.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("rows"), F.count("trans_id").alias("ids"), F.count("type_lbl").alias("typed"),
+        F.sum(F.when(is_type("Credit"), cents("amount"))).alias("credit"),
+        F.sum(F.when(is_type("Debit"), cents("amount"))).alias("debit"),
+        F.count("amount").alias("amounts"), F.sum(cents("amount")).alias("amount"),
+        F.count("balance").alias("balances"), F.sum(cents("balance")).alias("balance"))
+
+
 ML_MEDIAN_COLS = ["age", "avg_salary", "avg_txn_amount", "avg_balance", "txn_count"]
 
 
@@ -237,7 +254,10 @@ def ml_base(loan_cli_df: DataFrame, txn_feat_df: DataFrame, card_flag_df: DataFr
 
 
 def prepare(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """All cleaned and derived tables from the 8 raw ones (lazy; nothing runs here)."""
+    """All cleaned and derived tables from the 8 raw ones .
+
+    The tables are lazy; one bounded count runs, which decides whether the district table is broadcast.
+    """
     client = prep_client(t["client"])
     account = prep_account(t["account"])
     trans = prep_transaction(t["transaction"])

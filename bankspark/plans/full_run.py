@@ -21,6 +21,7 @@ from ..operators import predict as C
 from ..operators import prep as P
 from ..sources import files as S
 from ..sources import jdbc as J
+from .session import release_kept
 
 log = logging.getLogger(__name__)
 
@@ -75,6 +76,7 @@ def run_all(spark: SparkSession, tables: dict, model_dir: str | None = None, cac
         c2.unpersist()
         return {"kpis": kpis, "c1": m1, "c2": m2}
     finally:
+        release_kept(spark)
         if cache:
             release(p)
 

@@ -75,4 +75,16 @@ def keep(df: DataFrame) -> DataFrame:
     """
     from pyspark import StorageLevel
 
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    _KEPT.append(kept)
+    return kept
+
+
+_KEPT: list[DataFrame] = []
+
+
+def release_kept(spark: SparkSession) -> None:
+    """Drop the cached intermediates of ``keep`` in this session. Frames built on them stay right: they recompute."""
+    for df in [d for d in _KEPT if d.sparkSession is spark]:
+        df.unpersist()
+    _KEPT[:] = [d for d in _KEPT if d.sparkSession is not spark]
