@@ -25,8 +25,10 @@ def p(spark):
                      rng.choice(["Credit", "Debit", None]), None if i % 31 == 0 else rng.randint(-500, 90_000) / 100,
                      None if account == 5 else rng.randint(-500, 90_000) / 100))
     rows += [rows[10], (1000, 7, dt.date(1993, 1, 1), 1996, 2, None, None, None)]
-    return {"transaction": spark.createDataFrame(rows, SCHEMA),
+    t = spark.createDataFrame(rows, SCHEMA)
+    return {"transaction": t,
             "account": spark.createDataFrame([(i,) for i in (1, 2, 3, 8, 9, None)], "account_id long"),
+            "txn_feat": prep.txn_feat(t),
             "card_flag": spark.createDataFrame([(1, 2, 1), (4, 1, 1)], "account_id long, card_count long, has_card int")}
 
 
@@ -66,7 +68,7 @@ def test_forecast_rows_against_plain_python(p):
 
 
 def test_empty_transactions(p):
-    none = {**p, "transaction": p["transaction"].limit(0)}
+    none = {**p, "transaction": p["transaction"].limit(0), "txn_feat": p["txn_feat"].limit(0)}
     r = prep.txn_rollup(none["transaction"])
     assert rows_of(describe.totals_of_rollup(r)) == [(0, 0.0, 0.0)]
     assert diagnose.ratios_of_rollup(r).count() == 0 and predict.c2_dataset(none).count() == 0
