@@ -15,10 +15,11 @@ join keeps Spark's skew splitting. Only sums and one row per host are shuffled.
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bankspark.llm.shared import stage
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Second-level labels under which names are registered (co.uk and the like).
 REGISTRY_LABELS = ("ac", "co", "com", "edu", "gov", "net", "org")
@@ -60,11 +61,12 @@ def match_rules(host: Column, path: Column, rules: list[tuple[str, str, str]]) -
     return rule, verdict
 
 
-def _strength(units: DataFrame, mean: str, floor: float, ceiling: float) -> Column:
-    """Moment estimate of the prior strength of a level as a scalar column.
+def _strength(units: DataFrame, mean: str, floor: float, ceiling: float) -> float:
+    """Moment estimate of the prior strength of a level, from one row of sums.
 
     The spread of unit rates round their prior mean beyond binomial noise gives the correlation
-    rho; the strength is (1 - rho) / rho, kept between ``floor`` and ``ceiling``.
+    rho; the strength is (1 - rho) / rho, kept between ``floor`` and ``ceiling``. It is a number:
+    as a subquery it would hold the plans of all levels above, and every use of it again.
     """
     m = F.col(mean)
     s = units.where(F.col("n") > 0).agg(
@@ -74,7 +76,7 @@ def _strength(units: DataFrame, mean: str, floor: float, ceiling: float) -> Colu
     rho = F.when(s["over"] > 0, (s["spread"] - s["noise"]) / s["over"]).otherwise(F.lit(0.5))
     raw = (1 - rho) / F.greatest(rho, F.lit(1e-9))
     limited = F.least(F.greatest(raw, F.lit(floor)), F.lit(ceiling))
-    return s.select(F.coalesce(F.round(limited, 6), F.lit(floor))).scalar()
+    return s.select(F.coalesce(F.round(limited, 6), F.lit(floor))).head()[0]
 
 
 def host_reputation(outcomes: DataFrame, z: float = 1.645, floor: float = 2.0,
@@ -82,17 +84,18 @@ def host_reputation(outcomes: DataFrame, z: float = 1.645, floor: float = 2.0,
     """Posterior of the good share of every host in ``outcomes`` (host, good: 1, 0 or null).
 
     A null ``good`` is a page without a label: its host gets a row, but no evidence. Hosts may
-    repeat; an empty table gives no rows. Returns host, n, good, mean, lower, upper (bounds at
+    repeat; an empty table gives no rows. The counts (one row per host) are staged, so ``outcomes`` is read once
+    and the plans of the levels stay small. Returns host, n, good, mean, lower, upper (bounds at
     ``z`` posterior standard deviations, within 0..1).
     """
-    hosts = (outcomes.groupBy("host")
-             .agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"))
-             .withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host"))))
+    hosts = stage(outcomes.groupBy("host").agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("good")),
+                  "host-counts")
+    hosts = (hosts.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host"))))
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
-    whole = suffixes.agg(((F.sum("good") + 1) / (F.sum("n") + 2)).alias("m"), (F.sum("n") + 2).alias("k"))
-    top = F.coalesce(whole.select("m").scalar(), F.lit(0.5))
-    size = F.coalesce(whole.select("k").scalar(), F.lit(2)).cast("double")
+    whole = suffixes.agg(F.coalesce((F.sum("good") + 1) / (F.sum("n") + 2), F.lit(0.5)).alias("m"),
+                         F.coalesce(F.sum("n") + 2, F.lit(2)).cast("double").alias("k")).head()
+    top, size = F.lit(whole["m"]), F.lit(whole["k"])
 
     def posterior(units: DataFrame, prior: str, out: str) -> DataFrame:
         """Mean and variance of every unit; the prior's are in ``prior`` and ``prior``_v."""

@@ -126,6 +126,14 @@ def test_units_without_labels_are_not_blocked(spark):
         assert r.rule is not None or r.verdict == "allow" or (r.n_labelled > 0 and r.upper < 0.5)
 
 
+def test_url_plan_stays_small(spark):
+    """The levels' strengths are numbers: as subqueries their plans held one another (over 100 exchanges)."""
+    pages = spark.createDataFrame([(i, f"http://h{i % 7}.x{i % 3}.net/es/{i}") for i in range(50)], "page_id long, url string")
+    out = url_reputation.filter_urls(pages, [("block", "net", "/es/")])
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange") < 20
+    assert "ubquery" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_uncertain_parents_widen_the_bound(spark):
     out = [(f"h{i}.a{i}.{'org' if i % 2 else 'net'}", int(i % 2)) for i in range(40)] * 3 + [("new.b.dev", None)]
     rep = {r.host: r for r in url_reputation.host_reputation(spark.createDataFrame(out, "host string, good int")).collect()}
