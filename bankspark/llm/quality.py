@@ -26,6 +26,8 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from bankspark.llm.text import RollingHash, mix, pieces, words
 
 _U = np.uint64
+#: Bytes of a piece of texts: every byte has about three features of 8 to 16 bytes, several arrays of which live at once.
+PIECE = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -69,7 +71,7 @@ def features(buf: np.ndarray, off: np.ndarray, p: Params) -> tuple[np.ndarray, n
 
 def _bags(texts: pa.Array, p: Params) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Distinct table rows of each text with their shares of all its features."""
-    for lo, hi, buf, off in pieces(texts):
+    for lo, hi, buf, off in pieces(texts, PIECE):
         ids, rows = features(buf, off, p)
         key, count = np.unique(rows.astype(np.int64) * p.buckets + ids, return_counts=True)
         at = np.searchsorted(key // p.buckets, np.arange(hi - lo + 1))
@@ -179,28 +181,28 @@ def train(sample: DataFrame, p: Params = Params()) -> np.ndarray:
     return np.append(table @ (out[:, 1] - out[:, 0]), bias[1] - bias[0]).astype(np.float32)
 
 
-def score(docs: DataFrame, logits: np.ndarray, p: Params = Params(), keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns of every row and ``score`` (0..1, higher: class 1 likelier).
+def score(docs: DataFrame, logits: np.ndarray, p: Params = Params(), keep: tuple[str, ...] = ("doc_id",),
+          name: str = "score") -> DataFrame:
+    """``keep`` columns of every row and ``name`` (0..1, higher: class 1 likelier).
 
-    A kept column named ``score`` gives way to the new one. Whole texts are read. An empty, blank or null text has no feature and gets the bias' score.
+    A kept column of that name gives way to the new one. Whole texts are read; a kept text travels once. An empty, blank or null text has no feature and gets the bias' score.
     """
     sent = docs.sparkSession.sparkContext.broadcast(logits)
-    keep = tuple(c for c in keep if c != "score")
-    schema = StructType([*(docs.schema[c] for c in keep), StructField("score", DoubleType())])
+    keep = tuple(c for c in keep if c != name)
+    schema = StructType([*(docs.schema[c] for c in keep), StructField(name, DoubleType())])
+    read = keep if "text" in keep else (*keep, "text")
+    at = read.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, bias = sent.value[:-1], float(sent.value[-1])
         for b in batches:
             out = np.zeros(b.num_rows)
-            for lo, hi, buf, off in pieces(b.column(len(keep))):
+            for lo, hi, buf, off in pieces(b.column(at), PIECE):
                 ids, rows = features(buf, off, p)
                 total = np.bincount(rows, weights=table[ids], minlength=hi - lo)
                 out[lo:hi] = total / np.maximum(1, np.bincount(rows, minlength=hi - lo))
             probability = 1 / (1 + np.exp(-np.clip(out + bias, -30, 30)))
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(i) for i in range(len(keep))), pa.array(probability)], names=[*keep, "score"])
+                [*(b.column(i) for i in range(len(keep))), pa.array(probability)], names=[*keep, name])
 
-    read = "text"
-    while read in keep:
-        read = "_" + read
-    return docs.select(*keep, F.col("text").alias(read)).mapInArrow(run, schema)
+    return docs.select(*read).mapInArrow(run, schema)

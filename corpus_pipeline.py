@@ -25,10 +25,11 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     p = quality.Params()
     labels = table(spark, sf_dir, "labels")
     model = quality.train(quality.labelled_sample(docs, labels, "quality", F.lit(True), p), p)
-    # the row rides in a struct: a column of its own named score stays what it is
-    rows = docs.select(F.struct(*docs.columns).alias("doc"), "text")
-    scored = quality.score(rows, model, p, keep=("doc",))
-    return scored.where(F.col("score") >= QUALITY_LIMIT).select("doc.*")
+    name = "score"
+    while name in {c.lower() for c in docs.columns}:  # a column of its own named score stays what it is
+        name = "_" + name
+    scored = quality.score(docs, model, p, keep=tuple(docs.columns), name=name)
+    return scored.where(F.col(name) >= QUALITY_LIMIT).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
