@@ -250,7 +250,7 @@ _SOLVED = _C2 + _C2_SPLIT + _solved_sql(C.FEAT_C2)
 
 
 def _c2_model(spark, d):
-    s = c2_split(spark, d).persist()
+    s = c2_split(spark, d)  # a projection of rows that the split keeps
     return s, L.fit_least_squares(s.where("is_test = 0"), C.FEAT_C2)
 
 
@@ -263,8 +263,7 @@ def _c2_scored(spark, d):
     f" UNION ALL SELECT '{f}', round(c{i}, 4) FROM r1" for i, f in enumerate(C.FEAT_C2, 1)), ["coef"])
 def c2_fit_coefficients(spark, d):
     """Least-squares coefficients on standardised features, to 4 places."""
-    s, model = _c2_model(spark, d)
-    s.unpersist()
+    _, model = _c2_model(spark, d)
     return model.select("feature", F.round("coef", 4).alias("coef"))
 
 

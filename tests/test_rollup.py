@@ -80,3 +80,13 @@ def test_kept_frames_are_released(spark):
     assert keep(df).is_cached and keep(df).count() == 10
     release_kept(spark)
     assert not df.is_cached and df.count() == 10
+
+
+def test_parts_of_the_transactions_follow_the_rows(spark, raw0001, monkeypatch):
+    from bankspark.sources import bankviews
+
+    monkeypatch.setattr(bankviews, "_PLANS", {})
+    monkeypatch.setattr(bankviews, "JOIN_ROWS", 100)
+    t = bankviews.bank_tables(spark, "/root/testdata/sf0.001")["transaction"]
+    assert t._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 2
+    assert rows_of(t) == rows_of(raw0001["transaction"])
