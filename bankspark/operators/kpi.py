@@ -15,12 +15,14 @@ KPI_ORDER = ["total_clients", "avg_age", "female_pct", "total_accounts", "total_
              "avg_penetration", "card_adoption_rate"]
 
 
-def kpi_summary(p: dict, c1: DataFrame | None = None, c2: DataFrame | None = None) -> DataFrame:
+def kpi_summary(p: dict, c1: DataFrame | None = None, c2: DataFrame | None = None,
+                rollup: DataFrame | None = None) -> DataFrame:
     """One row with every KPI; ``c1`` / ``c2`` are the one-row model metric frames (auc / r2) when trained.
 
-    All numbers of transactions follow from one roll-up by account, which is kept: the table is scanned once.
+    All numbers of transactions follow from one roll-up by account, which is kept (or the caller's): the table is scanned once.
     """
-    rollup = keep(txn_rollup(p["transaction"], ["account_id"]).select("account_id", "rows", "typed", "credit", "debit"))
+    if rollup is None:
+        rollup = keep(txn_rollup(p["transaction"], ["account_id"]).select("account_id", "rows", "typed", "credit", "debit"))
     parts = [
         a1_demographics(p).select("total_clients", "avg_age", "female_pct"),
         a2_account_summary(p),

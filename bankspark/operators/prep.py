@@ -227,7 +227,17 @@ def txn_rollup(trans_p: DataFrame, by=("account_id", "year", "month")) -> DataFr
         F.sum(F.when(is_type("Credit"), cents("amount"))).alias("credit"),
         F.sum(F.when(is_type("Debit"), cents("amount"))).alias("debit"),
         F.count("amount").alias("amounts"), F.sum(cents("amount")).alias("amount"),
-        F.count("balance").alias("balances"), F.sum(cents("balance")).alias("balance"))
+        F.count("balance").alias("balances"), F.sum(cents("balance")).alias("balance"),
+        F.count("Date").alias("dated"), F.min(F.when(F.col("month").isNotNull(), F.col("year"))).alias("first_year"))
+
+
+def feat_of_rollup(rollup: DataFrame) -> DataFrame:
+    """The rows of ``txn_feat`` from a roll-up by account."""
+    money = lambda c: F.col(c).cast("double") / F.lit(100.0)
+    return rollup.where(F.col("account_id").isNotNull()).select(
+        "account_id", F.col("ids").alias("txn_count"), safe_div(money("amount"), F.col("amounts")).alias("avg_txn_amount"),
+        safe_div(money("balance"), F.col("balances")).alias("avg_balance"),
+        F.coalesce(money("credit"), F.lit(0.0)).alias("total_credit"), F.coalesce(money("debit"), F.lit(0.0)).alias("total_debit"))
 
 
 ML_MEDIAN_COLS = ["age", "avg_salary", "avg_txn_amount", "avg_balance", "txn_count"]

@@ -82,6 +82,22 @@ def test_kept_frames_are_released(spark):
     assert not df.is_cached and df.count() == 10
 
 
+def test_account_features_and_report_of_the_rollup(spark, p, raw0001):
+    from bankspark.plans.full_run import parse_report
+
+    r = prep.txn_rollup(p["transaction"], ["account_id"])
+    feat = prep.txn_feat(p["transaction"])
+    assert rows_of(prep.feat_of_rollup(r).select(feat.columns)) == rows_of(feat)
+    first = r.where("account_id IS NOT NULL").agg(F.min("first_year"))
+    assert rows_of(predict.c2_dataset(p, first)) == rows_of(predict.c2_dataset(p))
+    whole = prep.prepare(raw0001)
+    report = parse_report(whole)
+    assert [tuple(x) for x in parse_report(whole, prep.txn_rollup(whole["transaction"], ["account_id"])).collect()] == [
+        tuple(x) for x in report.collect()]
+    # two columns of the transactions are counted in one pass over their join; it was made twice
+    assert report._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 1
+
+
 def test_parts_of_the_transactions_follow_the_rows(spark, raw0001, monkeypatch):
     from bankspark.sources import bankviews
 
